@@ -5,6 +5,7 @@ from terrapix.functions.spectral import (
     BAND_NAMES,
     INDEX_NAMES,
     bsi,
+    clamp01,
     clear_sky,
     date_in,
     eligible_sensor,
@@ -15,6 +16,7 @@ from terrapix.functions.spectral import (
     norm_diff,
     reflectance,
     safe_div,
+    scaled_dn,
     sensors_for_year,
 )
 from terrapix.functions.years import in_years, split_label, year_list
@@ -23,6 +25,7 @@ __all__ = [
     "BAND_NAMES",
     "INDEX_NAMES",
     "bsi",
+    "clamp01",
     "clear_sky",
     "date_in",
     "eligible_sensor",
@@ -36,6 +39,7 @@ __all__ = [
     "path_year",
     "reflectance",
     "safe_div",
+    "scaled_dn",
     "sensors_for_year",
     "split_label",
     "year_list",

@@ -59,19 +59,26 @@ def clear_sky(qa) -> Column:
     return _c(qa).bitwiseAND(QA_MASK) == 0
 
 
+def scaled_dn(dn) -> Column:
+    """``DN * scale + offset`` (unclamped surface reflectance)."""
+    return _c(dn).cast("double") * F.lit(SR_SCALE) + F.lit(SR_OFFSET)
+
+
+def clamp01(x) -> Column:
+    """Clamp to [0, 1]; NULL stays NULL and NaN stays NaN (``least`` /
+    ``greatest`` alone would turn them into numbers)."""
+    x = _c(x)
+    return F.when(x.isNull() | F.isnan(x), x).otherwise(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)))
+
+
 def reflectance(dn) -> Column:
     """Scale a raw DN to surface reflectance and clamp it to [0, 1].
 
-    NULL stays NULL and NaN stays NaN (``least``/``greatest`` would turn
-    them into numbers).
+    For wide projections prefer ``scaled_dn`` into its own column and
+    ``clamp01`` over that column: the scaled value is then computed once
+    instead of being repeated inside the clamp.
     """
-    x = _c(dn).cast("double") * F.lit(SR_SCALE) + F.lit(SR_OFFSET)
-    return (
-        F.when(x.isNull() | F.isnan(x), x)
-        .when(x < 0.0, F.lit(0.0))
-        .when(x > 1.0, F.lit(1.0))
-        .otherwise(x)
-    )
+    return clamp01(scaled_dn(dn))
 
 
 def norm_diff(a, b) -> Column:

@@ -171,7 +171,8 @@ def tuning_sweep(df: DataFrame, trials: list[dict], train_years=TRAIN_YEARS, val
     """
     spark = df.sparkSession
     split = split_label("year", train_years, val_years, test_years)
-    rows = df.withColumn("split", split).filter(F.col("split").isNotNull())
+    # Materialise the split rows once: counts, feature fit and assembly all read them.
+    rows = materialize(df.withColumn("split", split).filter(F.col("split").isNotNull()), "split-rows")
     cnt = {(r["split"], r["presence"]): r["n"] for r in
            rows.groupBy("split", "presence").agg(F.count("*").alias("n")).collect()}  # <= 6 rows
     pos, neg = cnt.get(("train", 1), 0), cnt.get(("train", 0), 0)

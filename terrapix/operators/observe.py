@@ -15,13 +15,14 @@ from terrapix.functions.spectral import (
     MAX_CLOUD,
     SEASON_END,
     SEASON_START,
+    clamp01,
     clear_sky,
     date_in,
     eligible_sensor,
     harmonised_band,
     index_columns,
     month_day_in,
-    reflectance,
+    scaled_dn,
 )
 
 RAW_BANDS = ("b1", "b2", "b3", "b4", "b5", "b6", "b7")
@@ -77,7 +78,10 @@ def eligible_observations(
 
 def harmonise_bands(obs: DataFrame, drop_raw: bool = True) -> DataFrame:
     """Map sensor-specific raw bands to BLUE..SWIR2 surface reflectance."""
-    out = obs.withColumns({n: reflectance(harmonised_band(n)) for n in BAND_NAMES})
+    # Two projections: the scaled value is a column of its own, so the clamp
+    # references it instead of repeating the sensor CASE (keeps codegen small).
+    scaled = obs.withColumns({f"_sr_{n}": scaled_dn(harmonised_band(n)) for n in BAND_NAMES})
+    out = scaled.withColumns({n: clamp01(f"_sr_{n}") for n in BAND_NAMES}).drop(*[f"_sr_{n}" for n in BAND_NAMES])
     return out.drop(*[c for c in RAW_BANDS if c in out.columns]) if drop_raw else out
 
 
