@@ -49,13 +49,20 @@ RUN_METRICS_SCHEMA = T.StructType([
 
 def imbalance_by_year(labels: DataFrame) -> DataFrame:
     """Per year: total / positive / negative / nodata pixels, percentages,
-    neg:pos ratio (infinity without positives) and raster width / height."""
+    neg:pos ratio (infinity without positives) and raster width / height.
+    One aggregate over the label rows (partial counts before the shuffle)."""
     c = labels.groupBy("year").agg(
         F.count("*").alias("total_pixels"),
         F.count(F.when(F.col("presence") == 1, 1)).alias("positive_pixels"),
         F.count(F.when(F.col("presence") == 0, 1)).alias("negative_pixels"),
         (F.max("col_idx") + 1).alias("width"),
         (F.max("row_idx") + 1).alias("height"))
+    return imbalance_from_counts(c)
+
+
+def imbalance_from_counts(c: DataFrame) -> DataFrame:
+    """Percentages and ratio from per-year counts
+    (``year total_pixels positive_pixels negative_pixels width height``)."""
     tot = F.col("total_pixels").cast("double")
     pos = F.col("positive_pixels").cast("double")
     neg = F.col("negative_pixels").cast("double")

@@ -56,8 +56,13 @@ def read_run_metrics(spark: SparkSession, path: str, pattern: str = "*_metrics.j
 
 
 def unreadable_runs(runs: DataFrame) -> DataFrame:
-    """Files that could not be parsed (to report, not to load)."""
-    return runs.filter(F.col("_corrupt_record").isNotNull()).select("source_file")
+    """Files that could not be parsed (to report, not to load).
+
+    A document that fails to parse has every field NULL; testing ``app_name``
+    too keeps Spark from rejecting a query on the corrupt-record column alone.
+    """
+    return (runs.filter(F.col("_corrupt_record").isNotNull() & F.col("app_name").isNull())
+            .select("source_file"))
 
 
 def save_model(model, path: str) -> None:
