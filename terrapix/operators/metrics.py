@@ -33,19 +33,35 @@ def scores(predictions: DataFrame, label: str = "presence", prob: str = "probabi
                               vector_to_array(prob)[1].cast("float").alias("predicted_prob"))
 
 
+def bounded_sample(df: DataFrame, max_rows: int | None = None, seed: int = 42,
+                   fraction: float = 1.0) -> DataFrame:
+    """Seeded Bernoulli sample: ``max_rows / count`` when the table is larger,
+    else the explicit ``fraction``.  The size is approximate (as with any
+    ``sample``); use it only for plotting subsets, never for metrics, which are
+    computed over all rows."""
+    if max_rows:
+        n = df.count()
+        if n > max_rows:
+            return df.sample(withReplacement=False, fraction=max_rows / n, seed=seed)
+        return df
+    return df.sample(withReplacement=False, fraction=fraction, seed=seed) if fraction < 1.0 else df
+
+
 def score_points(df: DataFrame, label: str = "presence", score: str = "prob",
-                 num_partitions: int | None = None) -> DataFrame:
-    """One row per distinct score, descending, with counts and cumulative counts.
+                 num_partitions: int | None = None, by: list[str] | None = None) -> DataFrame:
+    """One row per distinct score (per ``by`` group), descending, with counts
+    and cumulative counts.
 
-    Columns: ``threshold, pos, neg, tp, fp, n_pos, n_neg`` where ``tp``/``fp``
-    count rows with score >= threshold.
+    Columns: ``*by, threshold, pos, neg, tp, fp, n_pos, n_neg`` where
+    ``tp``/``fp`` count rows with score >= threshold.
     """
-    g = df.groupBy(F.col(score).cast("double").alias("threshold")).agg(
+    by = list(by or [])
+    g = df.groupBy(*by, F.col(score).cast("double").alias("threshold")).agg(
         F.count(F.when(F.col(label) == 1, 1)).alias("pos"),
         F.count(F.when(F.col(label) != 1, 1)).alias("neg"))
-    r = running_totals(g, [], [F.col("threshold").desc()], {"pos": "pos", "neg": "neg"},
+    r = running_totals(g, by, [F.col("threshold").desc()], {"pos": "pos", "neg": "neg"},
                        with_total=True, num_partitions=num_partitions)
-    return r.select("threshold", "pos", "neg", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),
+    return r.select(*by, "threshold", "pos", "neg", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),
                     F.col("tot_pos").alias("n_pos"), F.col("tot_neg").alias("n_neg"))
 
 
@@ -54,7 +70,7 @@ def _prec(tp, fp):
 
 
 def curve_areas(df: DataFrame, label: str = "presence", score: str = "prob",
-                num_partitions: int | None = None) -> DataFrame:
+                num_partitions: int | None = None, by: list[str] | None = None) -> DataFrame:
     """Exact ROC AUC and two PR areas in one aggregate over the curve points.
 
     * ``roc_auc``: trapezoids between consecutive distinct thresholds, from
@@ -64,8 +80,11 @@ def curve_areas(df: DataFrame, label: str = "presence", score: str = "prob",
     * ``pr_auc_trapezoid``: same curve but starting at (0, 1), as a plotting
       library's precision-recall curve does.
     * ``baseline``: positive share.
+
+    With ``by``, one row per group from the same single pass.
     """
-    p = score_points(df, label, score, num_partitions)
+    by = list(by or [])
+    p = score_points(df, label, score, num_partitions, by)
     P, N = F.col("n_pos").cast("double"), F.col("n_neg").cast("double")
     tp, fp, pos, neg = F.col("tp"), F.col("fp"), F.col("pos"), F.col("neg")
     prev_tp, prev_fp = tp - pos, fp - neg
@@ -74,7 +93,7 @@ def curve_areas(df: DataFrame, label: str = "presence", score: str = "prob",
     prev_prec = F.when(first, prec).otherwise(_prec(prev_tp, prev_fp))
     prev_prec_1 = F.when(first, F.lit(1.0)).otherwise(_prec(prev_tp, prev_fp))
     roc_term = neg.cast("double") * (2 * tp - pos).cast("double")
-    return p.agg(
+    return p.groupBy(*by).agg(
         safe_div(F.sum(roc_term), 2.0 * F.first(P) * F.first(N)).alias("roc_auc"),
         safe_div(F.sum(pos.cast("double") * (prec + prev_prec) / 2.0), F.first(P)).alias("pr_auc"),
         safe_div(F.sum(pos.cast("double") * (prec + prev_prec_1) / 2.0), F.first(P)).alias("pr_auc_trapezoid"),

@@ -191,10 +191,11 @@ def tuning_sweep(df: DataFrame, trials: list[dict], train_years=TRAIN_YEARS, val
         if model_path:
             PipelineModel(stages=[feats, model]).write().overwrite().save(f"{model_path.rstrip('/')}/{name}")
         scored = positive_probability(model.transform(assembled.filter(F.col("split").isin("val", "test"))))
-        areas = {}
+        # Both splits' areas in one pass (grouped by split).
+        areas = {r["split"]: (r["roc_auc"], r["pr_auc"])
+                 for r in curve_areas(scored, "presence", "prob", by=["split"]).collect()}
         for s in ("val", "test"):
-            a = curve_areas(scored.filter(F.col("split") == s), "presence", "prob").first()
-            areas[s] = (a["roc_auc"], a["pr_auc"])
+            areas.setdefault(s, (None, None))
         p = {**GBT_DEFAULTS, **params}
         out.append((name, datetime.now(timezone.utc).isoformat(),
                     pos + neg, cnt.get(("val", 1), 0) + cnt.get(("val", 0), 0),

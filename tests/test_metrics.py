@@ -65,3 +65,14 @@ def test_histogram_density_and_counts(spark):
         assert g["count"].tolist() == counts.tolist()
         assert np.allclose(g["lo"], edges[:-1]) and np.allclose(g["hi"], edges[1:])
         assert ((g.hi - g.lo) * g.density).sum() == pytest.approx(1.0)
+
+
+def test_bounded_sample(spark):
+    from terrapix.operators.metrics import bounded_sample
+
+    df = spark.range(20000)
+    s = bounded_sample(df, max_rows=2000, seed=42)
+    n = s.count()
+    assert 1500 < n < 2500 and n == bounded_sample(df, max_rows=2000, seed=42).count()
+    assert bounded_sample(df, max_rows=50000).count() == 20000
+    assert 800 < bounded_sample(df, fraction=0.05).count() < 1200
