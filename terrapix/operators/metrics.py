@@ -15,6 +15,7 @@ from pyspark.sql.types import DoubleType
 
 from terrapix.functions.spectral import safe_div
 from terrapix.operators.prefix import running_totals
+from terrapix.sources.store import materialize
 
 # ---------------------------------------------------------------------------
 # Published evaluation defaults.
@@ -148,32 +149,43 @@ def histogram(df: DataFrame, col: str, bins: int, by: str | None = None, density
     bin is ``floor((x - lo) * (bins / (hi - lo)))`` corrected by one when
     rounding put it across an edge.  When min == max the range becomes
     [min - 0.5, max + 0.5].  With ``density``, ``density = count / (n * width)``.
-    Two aggregates: the per-group range (one row per group) and the
-    bin counts (one row per group and bin).
+
+    Two passes are inherent (range, then bins).  The narrow (group, value)
+    projection is written once to the checkpoint folder so an expensive
+    upstream (labels, model scoring) is not recomputed for the second pass.
+    Per-group ranges join back on the group key; without groups they are
+    scalar subqueries (no join at all).
     """
-    keys = [by] if by else ["_g"]
+    keys = [by] if by else []
     x = F.col(col).cast("double")
-    src = df if by else df.withColumn("_g", F.lit(0))
-    vals = src.select(*keys, x.alias("_x")).filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
-    rng = vals.groupBy(*keys).agg(F.min("_x").alias("_mn"), F.max("_x").alias("_mx"), F.count("*").alias("_n"))
+    vals = materialize(df.select(*keys, x.alias("_x")).filter(F.col("_x").isNotNull() & ~F.isnan("_x")),
+                       "histogram-values")
+    stats = vals.groupBy(*keys).agg(F.min("_x").alias("_mn"), F.max("_x").alias("_mx"), F.count("*").alias("_n"))
     same = F.col("_mn") == F.col("_mx")
-    rng = rng.select(*keys, "_n",
-                     F.when(same, F.col("_mn") - 0.5).otherwise(F.col("_mn")).alias("_lo"),
-                     F.when(same, F.col("_mx") + 0.5).otherwise(F.col("_mx")).alias("_hi"))
+    rng = stats.select(*keys, "_n",
+                       F.when(same, F.col("_mn") - 0.5).otherwise(F.col("_mn")).alias("_lo"),
+                       F.when(same, F.col("_mx") + 0.5).otherwise(F.col("_mx")).alias("_hi"))
+    if keys:
+        # One row per group: AQE broadcasts it when its measured size is small.
+        j = vals.join(rng, keys, "inner")
+        base = rng
+    else:
+        sub = {c: rng.select(c).scalar() for c in ("_n", "_lo", "_hi")}
+        j = vals.withColumns(sub)
+        base = vals.sparkSession.range(1).select(*[v.alias(c) for c, v in sub.items()])
     nb = F.lit(float(bins))
     step = (F.col("_hi") - F.col("_lo")) / nb
 
     def edge(i):
         return F.when(i == bins, F.col("_hi")).otherwise(i * step + F.col("_lo"))
 
-    # One row per group: AQE broadcasts it when its measured size is small.
-    j = vals.join(rng, keys, "inner")
     raw = F.floor((F.col("_x") - F.col("_lo")) * (nb / (F.col("_hi") - F.col("_lo")))).cast("int")
     i0 = F.least(F.greatest(raw, F.lit(0)), F.lit(bins - 1))
     i1 = F.when(F.col("_x") < edge(i0), i0 - 1).otherwise(i0)
     i2 = F.when((F.col("_x") >= edge(i1 + 1)) & (i1 != bins - 1), i1 + 1).otherwise(i1)
     counts = j.groupBy(*keys, i2.alias("bin")).agg(F.count("*").alias("count"))
-    allbins = rng.select(*keys, "_n", "_lo", "_hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    allbins = base.filter(F.col("_n") > 0).select(
+        *keys, "_n", "_lo", "_hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     out = allbins.join(counts, [*keys, "bin"], "left").select(
         *keys, "bin",
         edge(F.col("bin")).alias("lo"),
@@ -183,4 +195,4 @@ def histogram(df: DataFrame, col: str, bins: int, by: str | None = None, density
     )
     if density:
         out = out.withColumn("density", (F.col("count") / (F.col("n") * (F.col("hi") - F.col("lo")))).cast(DoubleType()))
-    return out if by else out.drop("_g")
+    return out

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from terrapix.functions.years import TEST_YEARS, TRAIN_YEARS, VAL_YEARS, in_years, split_label, year_list
 from terrapix.operators.composite import COMPOSITE_BANDS
 from terrapix.operators.metrics import curve_areas
+from terrapix.operators.prefix import literal_rows
 from terrapix.sources.store import materialize
 
 # ---------------------------------------------------------------------------
@@ -134,7 +135,7 @@ def evaluate_saved(spark, model_path: str, samples: DataFrame, years) -> DataFra
     areas = evaluate(model, samples.filter(sel)).first()
     row = (model_path, ys, datetime.now(timezone.utc).isoformat(), c["total"], c["ev"], c["pos"], c["neg"],
            (c["neg"] / c["pos"]) if c["pos"] else None, areas["roc_auc"], areas["pr_auc"])
-    return spark.createDataFrame([row], EVAL_SCHEMA)
+    return literal_rows(spark, [row], EVAL_SCHEMA)
 
 
 RUN_SCHEMA = T.StructType([
@@ -202,4 +203,4 @@ def tuning_sweep(df: DataFrame, trials: list[dict], train_years=TRAIN_YEARS, val
                     cnt.get(("test", 1), 0) + cnt.get(("test", 0), 0), pos, neg, float(ratio),
                     int(p["maxDepth"]), float(p["stepSize"]), int(p["maxIter"]),
                     areas["val"][0], areas["val"][1], areas["test"][0], areas["test"][1]))
-    return spark.createDataFrame(out, RUN_SCHEMA)
+    return literal_rows(spark, out, RUN_SCHEMA)

@@ -24,6 +24,14 @@ def _num_partitions(df: DataFrame, n: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def literal_rows(spark, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """A small DataFrame of literal rows, built from expressions (no RDD).
+    Only for driver-side summaries with a proven size bound."""
+    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, schema.fields)])
+               for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def _sort_col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -96,7 +104,7 @@ def running_totals(
     if carry_rows:
         schema = T.StructType([T.StructField("_pid", T.IntegerType()), *key_fields,
                                *[T.StructField(f"_c_{k}", T.LongType()) for k in names]])
-        carry = spark.createDataFrame(carry_rows, schema)
+        carry = literal_rows(spark, carry_rows, schema)
         out = out.join(F.broadcast(carry), ["_pid", *keys], "left")
         cols = {f"cum_{k}": F.col(f"_lc_{k}") + F.coalesce(F.col(f"_c_{k}"), F.lit(0)) for k in names}
     if with_total:
@@ -104,7 +112,7 @@ def running_totals(
         brows = [(*key, *tot) for key, tot in totals.items() if parts[key] > 1]
         if brows:
             schema = T.StructType([*key_fields, *[T.StructField(f"_b_{k}", T.LongType()) for k in names]])
-            btot = spark.createDataFrame(brows, schema)
+            btot = literal_rows(spark, brows, schema)
             out = out.join(F.broadcast(btot), keys, "left")
             cols |= {f"tot_{k}": F.coalesce(F.col(f"_b_{k}"), F.col(f"_lt_{k}")) for k in names}
 
