@@ -26,13 +26,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrapix.llm.text_hash import mix64, span_hashes
+from terrapix.llm.text_hash import BASE, BYTE_CODE, INVERSE, mix64, powers, span_hashes
 from terrapix.sources.store import materialize
 
 LENGTH = 50
 GRAM = 24
 BATCH_BYTES = 4_000_000
 KEY_BITS = 48
+PLACES = 1 << 20          # places within a slice that a gram's rank can tell apart
+SLICE = PLACES // 8       # windows worked on at a time
 NO_ID = np.iinfo(np.int64).max  # place of null ids: after all others
 
 BATCH = "batch long, ids binary, lengths binary, texts binary"
@@ -93,54 +95,49 @@ class RunIndex:
 def window_anchors(buf: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first window, last window, anchor key) of each maximal run of windows with one anchor.
 
-    ``ends``: where the texts in ``buf`` end; windows do not cross texts.
+    ``ends``: where the texts in ``buf`` end; windows do not cross texts.  The
+    buffer is worked through in slices that stay in a processor's cache.
     """
-    n = len(buf)
-    if n < length:
+    windows = len(buf) - length + 1
+    if windows <= 0:
         z = np.empty(0, dtype=np.int64)
         return z, z, z.astype(np.uint64)
-    at = np.arange(n - gram + 1)
-    h = span_hashes(buf, at, at + gram)
-    key = h >> np.uint64(64 - KEY_BITS)
-    place = np.uint64((1 << (64 - 40)) - 1)
-    # Rank of a k-gram: 40 bits of another hash, then its place (of equal grams the first one counts).
-    if n > int(place):
-        return _long_anchors(buf, ends, length, gram, h)
-    best = (mix64(h) & ~place) | at.astype(np.uint64)
-    wide, have = length - gram + 1, 1
-    while have < wide:
-        step = min(have, wide - have)
-        best = np.minimum(best[:len(best) - step], best[step:])
-        have += step
-    anchor = (best & place).astype(np.int64)
-    return _runs(anchor, ends, n, length, key)
-
-
-def _runs(anchor: np.ndarray, ends: np.ndarray, n: int, length: int, key: np.ndarray):
-    text = np.repeat(np.arange(len(ends)), np.diff(np.concatenate(([0], ends))))
-    ok = text[:n - length + 1] == text[length - 1:]
-    p = np.flatnonzero(ok)
-    a, t = anchor[p], text[p]
-    if not len(p):
-        return p, p, key[:0]
-    head = np.append(True, (a[1:] != a[:-1]) | (t[1:] != t[:-1]))
-    first = np.flatnonzero(head)
-    last = np.append(first[1:], len(p)) - 1
-    return p[first], p[last], key[a[first]]
-
-
-def _long_anchors(buf, ends, length, gram, h):
-    """The same for buffers whose places need more bits than ranks leave: one text or slice at a time."""
-    cut = 1 << 23
-    parts = []
-    begin = 0
-    for end in ends.tolist():
-        for a in range(begin, max(begin + 1, end - length + 1), cut):
-            b = min(end, a + cut + length - 1)
-            f, l, k = window_anchors(buf[a:b], np.array([b - a]), length, gram)
-            parts.append((f + a, l + a, k))
-        begin = end
-    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, np.int64),) * 2 + (h[:0],)
+    valid = np.ones(windows, dtype=bool)
+    for e in ends.tolist():
+        valid[max(0, e - length + 1):e] = False
+    head = np.zeros(windows, dtype=bool)
+    keys, before = [], -1
+    power, inverse = powers(BASE, SLICE + length), powers(INVERSE, SLICE + length)
+    place = np.arange(SLICE + length, dtype=np.uint64)
+    low = np.uint64(PLACES - 1)
+    for a in range(0, windows, SLICE):
+        b = min(windows, a + SLICE)
+        part = buf[a:b + length - 1]
+        n = len(part)
+        total = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(BYTE_CODE[part] * power[:n], out=total[1:])
+        grams = n - gram + 1
+        h = (total[gram:] - total[:grams]) * inverse[:grams]
+        # A gram's rank: the high bits of its hash, then its place (of equal grams the first counts).
+        best = (h & ~low) | place[:grams]
+        wide, have = length - gram + 1, 1
+        while have < wide:
+            step = min(have, wide - have)
+            best = np.minimum(best[:len(best) - step], best[step:])
+            have += step
+        anchor = (best & low).astype(np.int64)
+        new = head[a:b]
+        np.not_equal(anchor[1:], anchor[:-1], out=new[1:])
+        new[0] = anchor[0] + a != before
+        new[1:] |= ~valid[a:b - 1]
+        if a:
+            new[0] |= not valid[a - 1]
+        new &= valid[a:b]
+        keys.append(mix64(h[anchor[new]]) >> np.uint64(64 - KEY_BITS))
+        before = anchor[-1] + a
+    tail = valid.copy()
+    tail[:-1] &= head[1:] | ~valid[1:]
+    return np.flatnonzero(head), np.flatnonzero(tail), np.concatenate(keys)
 
 
 class Batch:

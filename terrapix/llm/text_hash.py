@@ -12,8 +12,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 BASE = 0x9E3779B97F4A7C15  # odd, so powers have inverses modulo 2**64
-_INVERSE = pow(BASE, -1, 1 << 64)
-_BYTE_CODE = np.random.default_rng(20240117).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+INVERSE = pow(BASE, -1, 1 << 64)
+BYTE_CODE = np.random.default_rng(20240117).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -44,8 +44,8 @@ def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     """64-bit hashes of buf[start:end] for many spans; equal bytes, equal hash."""
     n = len(buf)
     total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE_CODE[buf] * powers(BASE, n), out=total[1:])
-    h = (total[end] - total[start]) * powers(_INVERSE, n + 1)[start]
+    np.cumsum(BYTE_CODE[buf] * powers(BASE, n), out=total[1:])
+    h = (total[end] - total[start]) * powers(INVERSE, n + 1)[start]
     return mix64(h + (end - start).astype(np.uint64))
 
 
