@@ -27,13 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrapix.llm.text_hash import BASE, BYTE_CODE, INVERSE, mix64, powers, span_hashes
-from terrapix.sources.store import materialize
+from terrapix.sources.store import materialize, release_shuffles
 
 LENGTH = 50
 GRAM = 24
 BATCH_BYTES = 4_000_000
 KEY_BITS = 48
 PLACES = 1 << 20          # places within a slice that a gram's rank can tell apart
+PORTION = 400_000         # windows that one run index holds
 SLICE = PLACES // 8       # windows worked on at a time
 NO_ID = np.iinfo(np.int64).max  # place of null ids: after all others
 
@@ -54,11 +55,10 @@ class RunIndex:
     """
 
     def __init__(self, text: np.ndarray, start: np.ndarray, before: np.ndarray, doc: np.ndarray, length: int):
-        words = np.concatenate([text, np.zeros(8, np.uint8)])
-        word = np.ndarray(len(words) - 7, dtype=">u8", buffer=words, strides=(1,))
+        word = np.ndarray(len(text) - 7, dtype=">u8", buffer=np.ascontiguousarray(text), strides=(1,))
         cls = np.zeros(len(start), dtype=np.int64)
         order = np.arange(len(start))
-        offsets = [*range(0, length - 7, 8), length - 8] if length >= 8 else [0]
+        offsets = [*range(0, length - 7, 8), length - 8]
         for off in dict.fromkeys(offsets):
             # Only windows whose class still has others are sorted further.
             size = np.bincount(cls[order]) if len(order) else np.zeros(0, dtype=np.int64)
@@ -67,13 +67,9 @@ class RunIndex:
                 break
             sub = order[open_]
             w = word[start[sub] + off].astype(np.uint64)
-            if length < 8:
-                w >>= np.uint64(8 * (8 - length))
             sub = sub[np.lexsort((before[sub], w, cls[sub]))]
             order[open_] = sub
             w = word[start[order] + off].astype(np.uint64)
-            if length < 8:
-                w >>= np.uint64(8 * (8 - length))
             c = cls[order]
             new = np.append(True, (c[1:] != c[:-1]) | ((w[1:] != w[:-1]) & (size[c[1:]] > 1)))
             cls = np.empty_like(cls)
@@ -303,18 +299,10 @@ def context_masks(packed: DataFrame, shared: DataFrame, n: int, length: int, gra
         least = np.full(len(one), NO_ID)
         np.minimum.at(least, of, doc)
         windows = size[one] - length + 1
-        owner = np.repeat(np.arange(len(one)), windows)
-        inner = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-        at = start[one][owner] + inner
-        prev = np.where(inner > 0, text[np.maximum(at - 1, 0)], before[one][owner])
-        index = RunIndex(text, at, prev, least[owner], length)
-        early = index.earliest()
+        own = _held_earlier(text, start[one], windows, before[one], least, length)
         # Stream the contexts: bit i of a mask is the window at place i.  In a
         # later copy of a context every window is held by an earlier document.
-        base = np.cumsum(windows) - windows
-        bit = np.uint64(1) << inner.astype(np.uint64)
-        own = np.bitwise_or.reduceat(np.where(early < least[owner], bit, np.uint64(0)), base)
-        whole = np.bitwise_or.reduceat(bit, base)
+        whole = (np.uint64(1) << windows.astype(np.uint64)) - np.uint64(1)
         mask = np.where(doc > least[of], whole[of], own[of])
         cut = np.concatenate(([0], np.cumsum(counts)))
         return pd.DataFrame({"batch": pdf["batch"].to_numpy(), "bucket": np.int32(key[0]),
@@ -324,6 +312,28 @@ def context_masks(packed: DataFrame, shared: DataFrame, n: int, length: int, gra
     return joined.mapInPandas(emit, CONTEXTS).groupBy("bucket").applyInPandas(index, MASKS)
 
 
+def _held_earlier(text: np.ndarray, start: np.ndarray, windows: np.ndarray, before: np.ndarray, doc: np.ndarray,
+                  length: int) -> np.ndarray:
+    """For each context a bit for each of its windows whose matching statistic against earlier documents
+    reaches ``length``.  Windows are indexed in portions by their first bytes, so equal ones stay together."""
+    owner = np.repeat(np.arange(len(start), dtype=np.int32), windows)
+    inner = (np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)).astype(np.uint8)
+    head = np.ndarray(len(text) - 7, dtype=np.uint64, buffer=np.ascontiguousarray(text), strides=(1,))
+    portions = max(1, -(-len(owner) // PORTION))
+    portion = (mix64(head[start[owner] + inner]) % np.uint64(portions)).astype(np.uint32)
+    order = np.argsort(portion, kind="stable")
+    edge = np.searchsorted(portion[order], np.arange(portions + 1))
+    hit = np.zeros(len(owner), dtype=bool)
+    for a, b in zip(edge, edge[1:]):
+        w = np.sort(order[a:b])
+        o, i = owner[w], inner[w].astype(np.int64)
+        at = start[o] + i
+        prev = np.where(i > 0, text[np.maximum(at - 1, 0)], before[o])
+        hit[w] = RunIndex(text, at, prev, doc[o], length).earliest() < doc[o]
+    bit = np.where(hit, np.uint64(1) << inner.astype(np.uint64), np.uint64(0))
+    return np.bitwise_or.reduceat(bit, np.cumsum(windows) - windows)
+
+
 def _maximal(covered: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of True, cut where texts end."""
     change = np.zeros(len(covered) + 1, dtype=bool)
@@ -353,7 +363,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = materialize(pack_batches(docs, doc_id, text, batch_bytes), "llm-batches")
     shared = materialize(shared_anchors(packed, n, length, gram), "llm-anchors")
+    release_shuffles(spark)
     masks = materialize(context_masks(packed, shared, n, length, gram), "llm-masks")
+    release_shuffles(spark)
     both = packed.join(_gather(shared, "bits"), "batch", "left").join(_gather(masks, "masks"), "batch", "left")
 
     def finish(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
