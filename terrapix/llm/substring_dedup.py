@@ -292,6 +292,7 @@ def context_masks(packed: DataFrame, shared: DataFrame, n: int, length: int, gra
         size, doc = np.concatenate(size), np.concatenate([np.frombuffer(x, np.int64) for x in pdf["docs"]])
         before = np.frombuffer(b"".join(pdf["before"]), np.uint8)
         text = np.frombuffer(b"".join(z.decompress(x) for x in pdf["texts"]), np.uint8)
+        del pdf["texts"], pdf["docs"], pdf["lengths"]
         start = np.cumsum(size) - size
         # A context that several batches sent is indexed once, with its earliest document.
         name = span_hashes(text, start, start + size)

@@ -14,6 +14,7 @@ import numpy as np
 BASE = 0x9E3779B97F4A7C15  # odd, so powers have inverses modulo 2**64
 INVERSE = pow(BASE, -1, 1 << 64)
 BYTE_CODE = np.random.default_rng(20240117).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+SLICE = 1 << 17
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -32,7 +33,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64, kept for the next batch."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, 1 << 16, 0 if have is None else 2 * len(have))
+        size = max(n, 2 * SLICE)
         step = np.full(size, base, dtype=np.uint64)
         step[0] = 1
         have = np.multiply.accumulate(step)
@@ -41,12 +42,24 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of buf[start:end] for many spans; equal bytes, equal hash."""
-    n = len(buf)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(BYTE_CODE[buf] * powers(BASE, n), out=total[1:])
-    h = (total[end] - total[start]) * powers(INVERSE, n + 1)[start]
-    return mix64(h + (end - start).astype(np.uint64))
+    """64-bit hashes of buf[start:end] for many spans in order of their starts; equal bytes, equal hash.
+
+    Spans may overlap.  The buffer is worked through in slices, so that
+    memory besides the result is bounded by a slice and the longest span.
+    """
+    out = np.empty(len(start), dtype=np.uint64)
+    i = 0
+    while i < len(start):
+        a = int(start[i])
+        j = int(np.searchsorted(start, a + SLICE, side="left"))
+        part = buf[a:int(end[i:j].max())]
+        total = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(BYTE_CODE[part] * powers(BASE, len(part)), out=total[1:])
+        s, e = start[i:j] - a, end[i:j] - a
+        h = (total[e] - total[s]) * powers(INVERSE, len(part) + 1)[s]
+        out[i:j] = mix64(h + (e - s).astype(np.uint64))
+        i = j
+    return out
 
 
 def batches(texts: Iterable[str | None], max_bytes: int = 4_000_000) -> Iterator[list[bytes]]:
