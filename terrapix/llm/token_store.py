@@ -16,7 +16,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -24,9 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from terrapix.llm.text_hash import span_hashes
+
 BLOCK_TOKENS = 1 << 20   # a block ends with the document that reaches this
 SAMPLE = 512             # bits between two sampled counts of ones
-VOCAB_KEPT = 500_000     # pieces whose ids a task remembers before it starts anew
+VOCAB_KEPT = 2_000_000    # pieces whose ids a task remembers before it starts anew
 
 BLOCK = ("shard int, block int, shard_offset long, n_tokens long, n_docs long, doc_ids binary, doc_null binary, "
          "doc_lengths binary, alphabet binary, zeros binary, planes binary, counts binary")
@@ -144,33 +146,51 @@ class WaveletMatrix:
         return self.alphabet[cur] if self.n else np.empty(0, dtype=np.uint32)
 
 
-_SPACED = re.compile(r" \s|\s ")
-_BREAK = re.compile(r"(?<=\S) (?=\S)")
+# Classes of bytes for places where the byte-level pre-tokenizer always breaks.
+_LETTER, _VISIBLE, _BLANK, _OTHER_BLANK = 1, 2, 3, 4
+_CLASS = np.zeros(256, dtype=np.uint8)  # 0: control characters and bytes of other scripts
+_CLASS[33:127] = _VISIBLE
+_CLASS[65:91] = _CLASS[97:123] = _LETTER
+_CLASS[32], _CLASS[9:14] = _BLANK, _OTHER_BLANK
+# White space outside these classes; texts that hold any are encoded whole.
+_RARE_BLANK = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
 
+def pieces(buf: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where pieces start: with each text, with each run of white space, after one that is a single
+    character other than a space, and between an ASCII letter and a visible ASCII non-letter.
 
-_END = ("", "end")
+    Tokens end at all of these places, whatever stands around, so pieces can be encoded apart.
+    """
+    c = _CLASS[buf]
+    blank = c >= _BLANK
+    cut = np.zeros(len(buf), dtype=bool)
+    cut[1:] = (blank[1:] & ~blank[:-1]) | ((c[1:] == _VISIBLE) & (c[:-1] == _LETTER))
+    opens = np.zeros(len(buf) + 1, dtype=bool)
+    opens[first] = True
+    alone = c == _OTHER_BLANK
+    alone[1:] &= ~blank[:-1] | opens[1:-1]
+    cut[1:] |= alone[:-1] & ~blank[1:]
+    cut |= opens[:-1]
+    return np.flatnonzero(cut)
 
 
-class _Codes(dict):
-    """Numbers pieces as they are met, and lists those not yet encoded."""
+_encoders: dict[str, Encoder] = {}
 
-    def __init__(self):
-        super().__init__()
-        self.new: list = []
 
-    def __missing__(self, piece) -> int:
-        c = self[piece] = len(self)
-        self.new.append(piece)
-        return c
+def encoder(path: str) -> Encoder:
+    """This Python worker's encoder; the pieces it remembers serve all tasks that the worker runs."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 class Encoder:
     """Ids of whole texts, the same as the tokenizer's own on the text.
 
-    The byte-level pre-tokenizer always breaks before a space that stands
-    alone between two other characters, so the pieces there can be encoded
-    apart; each different piece is encoded once and remembered.  Strings of
-    special tokens in a text are ordinary text.
+    Texts are cut into pieces at places where tokens always end; each
+    different piece, told apart by a 64-bit hash, is encoded once and
+    remembered.  Strings of special tokens in a text are ordinary text.
     """
 
     def __init__(self, path: str):
@@ -179,40 +199,88 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        line = self.tok.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else None
         self._forget()
 
     def _forget(self) -> None:
-        self.code = _Codes()
-        self.pool, self.off = np.empty(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
-
-    def _learn(self, end_id: int) -> None:
-        """Encode the pieces met for the first time."""
-        new = self.code.new
-        plain = [w[0] if isinstance(w, tuple) else " " + w for w in new]
-        ids = [e.ids for e in self.tok.encode_batch_fast(plain, add_special_tokens=False)]
-        ids = [[end_id] if w == _END else x for w, x in zip(new, ids)]
-        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), np.uint32)])
-        self.off = np.concatenate([self.off, self.off[-1] + np.cumsum([len(x) for x in ids])])
-        new.clear()
+        self.known = np.empty(0, dtype=np.uint64)  # sorted hashes, and their pieces' places in the pool
+        self.begin, self.size = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        self.pool = np.empty(0, dtype=np.uint32)
+
+    def _ids(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids end to end, the order of the pieces there, and the number of ids of each piece.
+
+        Pieces without white space, or with one space in front, are encoded many
+        at a time with line ends between, which are tokens of their own there.
+        """
+        plain = np.array([self.line is not None and b[:1] > b" " or b[:1] == b" " and b[1:2] > b" " for b in new], dtype=bool)
+        texts = [b.decode("utf-8", "surrogatepass") for b in new]
+        size = np.zeros(len(new), dtype=np.int64)
+        together = np.flatnonzero(plain)
+        parts: list[np.ndarray] = []
+        groups = ["\n".join([texts[i] for i in together[a:a + 500]]) + "\n" for a in range(0, len(together), 500)]
+        for e in self.tok.encode_batch_fast(groups, add_special_tokens=False):
+            parts.append(np.array(e.ids, dtype=np.uint32))
+        ids = np.concatenate(parts) if parts else np.empty(0, np.uint32)
+        end = np.flatnonzero(ids == self.line) if len(ids) else np.empty(0, np.int64)
+        size[together] = np.diff(np.concatenate(([-1], end))) - 1
+        ids = ids[ids != self.line] if len(ids) else ids
+        apart = np.flatnonzero(~plain)
+        more = [e.ids for e in self.tok.encode_batch_fast([texts[i] for i in apart], add_special_tokens=False)]
+        size[apart] = [len(x) for x in more]
+        order = np.concatenate([together, apart])
+        return np.concatenate([ids, np.fromiter(chain.from_iterable(more), np.uint32)]), order, size
+
+    def _learn(self, name: np.ndarray, new: list[bytes]) -> None:
+        ids, order, size = self._ids(new)
+        begin = np.empty(len(new), dtype=np.int64)
+        begin[order] = len(self.pool) + np.cumsum(size[order]) - size[order]
+        self.pool = np.concatenate([self.pool, ids])
+        at = np.argsort(np.concatenate([self.known, name]), kind="stable")
+        self.known = np.concatenate([self.known, name])[at]
+        self.begin = np.concatenate([self.begin, begin])[at]
+        self.size = np.concatenate([self.size, size])[at]
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by ``end_id``; number of ids of each)."""
-        if len(self.code) > VOCAB_KEPT:
+        if len(self.known) > VOCAB_KEPT:
             self._forget()
-        code, pieces, first = self.code, [], []
-        for t in texts:
-            parts = _BREAK.split(t) if _SPACED.search(t) or t[:1].isspace() or t[-1:].isspace() else t.split(" ")
-            first.append(len(pieces))
-            pieces.append(code[(parts[0],)])  # the piece that opens a text has no space before it
-            pieces.extend(map(code.__getitem__, islice(parts, 1, None)))
-            pieces.append(code[_END])
-        if code.new:
-            self._learn(end_id)
-        at = np.array(pieces, dtype=np.int64)
-        begin, size = self.off[at], self.off[at + 1] - self.off[at]
-        done = np.cumsum(size)
-        out = self.pool[np.repeat(begin - (done - size), size) + np.arange(done[-1] if len(done) else 0)]
-        per_text = np.add.reduceat(size, first) if first else np.empty(0, dtype=np.int64)
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        buf = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        length = np.array([len(b) for b in raw], dtype=np.int64)
+        first = np.cumsum(length) - length
+        per_text = np.ones(len(texts), dtype=np.int64)
+        ids = np.empty(0, dtype=np.uint32)
+        if len(buf):
+            start = pieces(buf, first)
+            odd = [i for i, t in enumerate(texts) if not t.isascii() and _RARE_BLANK.search(t) or
+                   t.isascii() and any(c in t for c in "\x1c\x1d\x1e\x1f")]
+            if odd:
+                inside = np.zeros(len(buf) + 1, dtype=bool)
+                for i in odd:
+                    inside[first[i] + 1:first[i] + length[i]] = True
+                start = start[~inside[start]]
+            end = np.append(start[1:], len(buf))
+            name, at, of = np.unique(span_hashes(buf, start, end), return_index=True, return_inverse=True)
+            place = np.searchsorted(self.known, name)
+            have = np.zeros(len(name), dtype=bool)
+            inner = place < len(self.known)
+            have[inner] = self.known[place[inner]] == name[inner]
+            if not have.all():
+                new = at[~have]
+                data = buf.tobytes()
+                self._learn(name[~have], [data[a:b] for a, b in zip(start[new].tolist(), end[new].tolist())])
+                place = np.searchsorted(self.known, name)
+            begin, size = self.begin[place][of], self.size[place][of]
+            done = np.cumsum(size)
+            ids = self.pool[np.repeat(begin - (done - size), size) + np.arange(done[-1])]
+            owner = np.searchsorted(first, start, side="right") - 1
+            per_text += np.bincount(owner, size, minlength=len(texts)).astype(np.int64)
+        out = np.full(len(ids) + len(texts), end_id, dtype=np.uint32)
+        body = np.ones(len(out), dtype=bool)
+        body[np.cumsum(per_text) - 1] = False
+        out[body] = ids
         return out, per_text
 
 
@@ -234,7 +302,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, do
         from pyspark import TaskContext
 
         shard, block, offset = TaskContext.get().partitionId(), 0, 0
-        enc = Encoder(tokenizer)
+        enc = encoder(tokenizer)
         ids, lengths, docs_, nulls, held = [], [], [], [], 0
 
         def close():
@@ -265,7 +333,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, do
             at = 0
             while at < len(texts):
                 upto, chars = at, 0
-                while upto < len(texts) and chars < block_tokens:  # so many characters have no more tokens, but for rare bytes
+                while upto < len(texts) and chars < 2 * block_tokens:
                     chars += len(texts[upto])
                     upto += 1
                 add(keys[at:upto], texts[at:upto])
