@@ -126,7 +126,7 @@ def blob_findings(spark: SparkSession, ledger: str, rules: tuple[Rule, ...] = BA
     current = F.filter(listed, lambda x: (x["kind"] == F.col("kind")) & (x["version"] == F.col("version")))
     rows = (read_ledger(spark, ledger).where(F.size("spans") > 0)
             .dropDuplicates(["blob", "kind", "version"])
-            .withColumn("rule", F.element_at(F.transform(current, lambda x: x["rank"]), 1))
+            .withColumn("rule", F.get(F.transform(current, lambda x: x["rank"]), F.lit(0)))
             .where("rule is not null"))
     shaped = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("rule").alias("rank"),
                                                      F.col("kind").alias("kind"), s["end"].alias("end")))

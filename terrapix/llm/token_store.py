@@ -153,7 +153,9 @@ _CLASS[33:127] = _VISIBLE
 _CLASS[65:91] = _CLASS[97:123] = _LETTER
 _CLASS[32], _CLASS[9:14] = _BLANK, _OTHER_BLANK
 # White space outside these classes; texts that hold any are encoded whole.
-_RARE_BLANK = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_RARE = "\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_RARE_BLANK = re.compile(f"[{_RARE}]")
+_PLAIN = re.compile(f" ?[^\\t-\\r {_RARE}]+")
 
 
 def pieces(buf: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -214,8 +216,8 @@ class Encoder:
         Pieces without white space, or with one space in front, are encoded many
         at a time with line ends between, which are tokens of their own there.
         """
-        plain = np.array([self.line is not None and b[:1] > b" " or b[:1] == b" " and b[1:2] > b" " for b in new], dtype=bool)
         texts = [b.decode("utf-8", "surrogatepass") for b in new]
+        plain = np.array([self.line is not None and _PLAIN.fullmatch(t) is not None for t in texts], dtype=bool)
         size = np.zeros(len(new), dtype=np.int64)
         together = np.flatnonzero(plain)
         parts: list[np.ndarray] = []

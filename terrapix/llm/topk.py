@@ -46,18 +46,20 @@ class Lists:
 
     def __init__(self, data: np.ndarray, ids: np.ndarray, keys: np.ndarray):
         self.ids, self.keys = ids, keys
-        top = int(np.abs(data).max(initial=0))
-        reach = top * top * data.shape[1]
-        # Products and sums are exact in the chosen type.
-        self.kind = np.float32 if reach < 1 << 24 else np.float64 if reach < 1 << 53 else object
-        self.data = np.ascontiguousarray(data.astype(self.kind))
+        self.raw, self.top = data, int(np.abs(data).max(initial=0))
+        self.cast: dict = {}
         self.order = np.argsort(data, axis=0, kind="stable")
         self.sorted = np.take_along_axis(data, self.order, axis=0)
 
     def search(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(position, score) of every vector that may be among the k best, the query's own row left out."""
         n = len(self.ids)
-        qk = q.astype(self.kind)
+        # Products and sums are exact in the chosen type.
+        reach = max(self.top, 1) * int(np.abs(q).max(initial=0)) * len(q)
+        kind = np.float32 if max(reach, self.top) < 1 << 24 else np.float64 if max(reach, self.top) < 1 << 53 else object
+        if kind not in self.cast:
+            self.cast[kind] = np.ascontiguousarray(self.raw.astype(kind))
+        data, qk = self.cast[kind], q.astype(kind)
         up, down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
         seen = self.keys == own
         pos, score = [], []
@@ -75,15 +77,13 @@ class Lists:
             new = np.flatnonzero(fresh)
             if len(new):
                 pos.append(new)
-                score.append(self.data[new] @ qk)
+                score.append(data[new] @ qk)
                 allof = np.concatenate(score)
                 if len(allof) >= k:
                     kth = np.partition(allof, len(allof) - k)[len(allof) - k]
             depth, step = stop, step * 2
-            bound = (q[up].astype(object) @ self.sorted[n - depth, up].astype(object) if self.kind is object
-                     else qk[up] @ self.sorted[n - depth, up].astype(self.kind)) + \
-                    (q[down].astype(object) @ self.sorted[depth - 1, down].astype(object) if self.kind is object
-                     else qk[down] @ self.sorted[depth - 1, down].astype(self.kind))
+            bound = (qk[up] @ self.sorted[n - depth, up].astype(kind)
+                     + qk[down] @ self.sorted[depth - 1, down].astype(kind))
             if kth is not None and bound < kth:  # at a tie an unread vector could still win by its id
                 break
         if not pos:
@@ -91,10 +91,15 @@ class Lists:
         p, s = np.concatenate(pos), np.concatenate(score)
         if kth is not None:
             p, s = p[s >= kth], s[s >= kth]
-        if self.kind is object:
+        if kind is object:
             s = np.array([min(max(int(x), -(1 << 63)), (1 << 63) - 1) for x in s], dtype=np.int64)
-        best = np.lexsort((self.ids[p], -s.astype(np.int64).astype(np.float64) if self.kind is not object else -s))[:k]
-        return p[best], s[best].astype(np.int64)
+        s = s.astype(np.int64)
+        best = np.lexsort((self.ids[p], ~s))[:k]  # ~s falls as s rises, and cannot overflow
+        return p[best], s[best]
+
+
+def with_nulls(ids: np.ndarray) -> pd.arrays.IntegerArray:
+    return pd.arrays.IntegerArray(ids, ids == NO_ID)
 
 
 def _pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -102,7 +107,7 @@ def _pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({
         "dim": [np.int32(key[0])], "block": [np.int64(key[1])], "kind": [key[2]], "rows": [len(pdf)],
         "keys": [pdf["rid"].to_numpy(np.int64).tobytes()],
-        "ids": [pdf["vec_id"].fillna(NO_ID).to_numpy(np.int64).tobytes()],
+        "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()],
         "data": [np.stack(pdf["q"].to_numpy()).astype(np.int64).tobytes()]})
 
 
@@ -125,7 +130,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = TOP, vec_id: str = "vec
 
     def dealt(df: DataFrame, kind: str, n: int) -> DataFrame:
         return (df.select("dim", F.pmod(F.xxhash64("rid"), F.lit(n)).alias("block"), F.lit(kind).alias("kind"),
-                          "rid", "vec_id", "q")
+                          "rid", F.coalesce("vec_id", F.lit(NO_ID)).alias("vec_id"), "q")
                 .groupBy("dim", "block", "kind").applyInPandas(_pack, BLOCK))
 
     cand = dealt(rows, "c", n_cand).select("dim", "block", "keys", "ids", "data")
@@ -147,10 +152,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = TOP, vec_id: str = "vec
                 n = [len(p) for p, _ in out]
                 found = lists.ids[np.concatenate([p for p, _ in out])]
                 yield pd.DataFrame({
-                    "qrid": np.repeat(qkeys, n), "query_id": np.repeat(qids, n),
-                    "vec_id": pd.array(found, dtype="Int64").copy() if NO_ID not in found else
-                    pd.array([None if x == NO_ID else x for x in found], dtype="Int64"),
-                    "score": np.concatenate([s for _, s in out])})
+                    "qrid": np.repeat(qkeys, n), "query_id": with_nulls(np.repeat(qids, n)),
+                    "vec_id": with_nulls(found), "score": np.concatenate([s for _, s in out])})
 
     found = asks.join(cand, ["dim", "block"]).mapInPandas(search, FOUND)
     order = Window.partitionBy("qrid").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
