@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,19 +17,25 @@ TEST_YEARS = {"start": 2019, "end": 2023}
 
 
 def year_list(spec) -> list[int]:
-    """Expand a year-set argument.
+    """The years of a year-set argument: a list, a mapping with start and end, or text ``a-b``.
 
-    Accepts a list of years, a ``{"start": a, "end": b}`` mapping or an
-    ``"a-b"`` string; both range forms are end-exclusive.
+    A range leaves out its end and must not be empty.
     """
-    if isinstance(spec, (list, tuple)):
-        return [int(y) for y in spec]
-    if isinstance(spec, dict) and "start" in spec and "end" in spec:
-        return list(range(int(spec["start"]), int(spec["end"])))
-    if isinstance(spec, str) and "-" in spec:
-        a, b = (int(x) for x in spec.split("-"))
-        return list(range(a, b))
-    raise ValueError(f"Invalid year format: {spec!r}")
+    if isinstance(spec, str):
+        bounds = spec.split("-")
+    elif isinstance(spec, Mapping):
+        bounds = [spec.get("start"), spec.get("end")]
+    else:
+        bounds = None
+    try:
+        if bounds is None:
+            return list(map(int, spec))
+        start, end = map(int, bounds)
+    except (TypeError, ValueError):
+        raise ValueError(f"not a set of years: {spec!r}") from None
+    if start >= end:
+        raise ValueError(f"a range of years must start before it ends: {spec!r}")
+    return list(range(start, end))
 
 
 def in_years(year, spec) -> Column:

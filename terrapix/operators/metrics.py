@@ -15,7 +15,6 @@ from pyspark.sql.types import DoubleType
 
 from terrapix.functions.spectral import safe_div
 from terrapix.operators.prefix import running_totals
-from terrapix.sources.store import materialize
 
 # ---------------------------------------------------------------------------
 # Published evaluation defaults.
@@ -105,20 +104,29 @@ def curve_areas(df: DataFrame, label: str = "presence", score: str = "prob",
 
 def roc_curve(df: DataFrame, label: str = "presence", score: str = "prob",
               num_partitions: int | None = None) -> DataFrame:
-    """ROC points (threshold, fpr, tpr), one per distinct score."""
+    """ROC points (threshold, fpr, tpr): (0, 0) with a null threshold, then one per distinct score."""
     p = score_points(df, label, score, num_partitions)
-    return p.select("threshold",
-                    safe_div(F.col("fp").cast("double"), F.col("n_neg").cast("double")).alias("fpr"),
-                    safe_div(F.col("tp").cast("double"), F.col("n_pos").cast("double")).alias("tpr"))
+    points = p.select("threshold",
+                      safe_div(F.col("fp").cast("double"), F.col("n_neg").cast("double")).alias("fpr"),
+                      safe_div(F.col("tp").cast("double"), F.col("n_pos").cast("double")).alias("tpr"))
+    return points.unionByName(_end_point(p, fpr=0.0, tpr=0.0))
+
+
+def _end_point(points: DataFrame, **values: float) -> DataFrame:
+    """The curve's point above all scores; none where there are no scores."""
+    return points.limit(1).select(F.lit(None).cast("double").alias("threshold"),
+                                  *[F.lit(v).alias(k) for k, v in values.items()])
 
 
 def pr_curve(df: DataFrame, label: str = "presence", score: str = "prob",
              num_partitions: int | None = None) -> DataFrame:
-    """Precision-recall points (threshold, recall, precision), one per distinct score."""
+    """Precision-recall points (threshold, recall, precision): (0, 1) with a null threshold,
+    then one per distinct score."""
     p = score_points(df, label, score, num_partitions)
-    return p.select("threshold",
-                    safe_div(F.col("tp").cast("double"), F.col("n_pos").cast("double")).alias("recall"),
-                    _prec(F.col("tp"), F.col("fp")).alias("precision"))
+    points = p.select("threshold",
+                      safe_div(F.col("tp").cast("double"), F.col("n_pos").cast("double")).alias("recall"),
+                      _prec(F.col("tp"), F.col("fp")).alias("precision"))
+    return points.unionByName(_end_point(p, recall=0.0, precision=1.0))
 
 
 def confusion(df: DataFrame, threshold: float = DEFAULT_THRESHOLD, label: str = "presence",
@@ -150,24 +158,26 @@ def histogram(df: DataFrame, col: str, bins: int, by: str | None = None, density
     rounding put it across an edge.  When min == max the range becomes
     [min - 0.5, max + 0.5].  With ``density``, ``density = count / (n * width)``.
 
-    Two passes are inherent (range, then bins).  The narrow (group, value)
-    projection is written once to the checkpoint folder so an expensive
-    upstream (labels, model scoring) is not recomputed for the second pass.
-    Per-group ranges join back on the group key; without groups they are
-    scalar subqueries (no join at all).
+    Two passes are inherent (range, then bins); both aggregate before they
+    shuffle.  ``by`` must have few values (classes): the ranges of all groups
+    come back as one map from a scalar subquery, so no row is joined or moved
+    for its group.  Null groups are left out.
     """
     keys = [by] if by else []
     x = F.col(col).cast("double")
-    vals = materialize(df.select(*keys, x.alias("_x")).filter(F.col("_x").isNotNull() & ~F.isnan("_x")),
-                       "histogram-values")
+    vals = df.select(*keys, x.alias("_x")).filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    if keys:
+        vals = vals.filter(F.col(by).isNotNull())
     stats = vals.groupBy(*keys).agg(F.min("_x").alias("_mn"), F.max("_x").alias("_mx"), F.count("*").alias("_n"))
     same = F.col("_mn") == F.col("_mx")
     rng = stats.select(*keys, "_n",
                        F.when(same, F.col("_mn") - 0.5).otherwise(F.col("_mn")).alias("_lo"),
                        F.when(same, F.col("_mx") + 0.5).otherwise(F.col("_mx")).alias("_hi"))
     if keys:
-        # One row per group: AQE broadcasts it when its measured size is small.
-        j = vals.join(rng, keys, "inner")
+        entry = F.struct(F.col(by), F.struct("_n", "_lo", "_hi"))
+        ranges = rng.agg(F.map_from_entries(F.collect_list(entry)).alias("_m")).scalar()
+        j = (vals.withColumn("_m", ranges).withColumn("_r", F.element_at("_m", F.col(by)))
+             .select(*keys, "_x", "_r.*"))
         base = rng
     else:
         sub = {c: rng.select(c).scalar() for c in ("_n", "_lo", "_hi")}

@@ -4,9 +4,8 @@
 so a key holding a third of the data becomes a single straggler (or an OOM).
 ``running_totals`` instead range-partitions on ``(key, order)``: a hot key is
 spread over many consecutive partitions, each partition computes local running
-sums, and a per-partition summary (at most one row per partition, so its size
-is bounded by the partition count, not by the data) supplies the carry-in for
-keys that cross a partition boundary.
+sums, and a window over the totals of each key in each partition supplies the
+carry-in for keys that cross a partition boundary.  Nothing passes the driver.
 """
 
 from __future__ import annotations
@@ -18,6 +17,10 @@ from pyspark.sql import types as T
 from terrapix.sources.store import materialize
 
 
+# Beyond so many partitions the carries are joined by a shuffle.
+MAX_BROADCAST_PARTITIONS = 200_000
+
+
 def _num_partitions(df: DataFrame, n: int | None) -> int:
     if n:
         return int(n)
@@ -67,7 +70,8 @@ def running_totals(
     names = list(weights)
     df = df.withColumns({f"_w_{k}": _sort_col(v).cast("long") for k, v in weights.items()})
 
-    # One range shuffle: a hot key spans many partitions, never one task.
+    # A hot key's range spans many partitions, never one task; the windows inside
+    # a partition then need its rows once more by (partition, key).
     ranged = df.repartitionByRange(n, *[F.col(k) for k in keys], *order_cols)
     ranged = ranged.withColumn("_pid", F.spark_partition_id())
     w_run = Window.partitionBy("_pid", *keys).orderBy(*order_cols).rowsBetween(
@@ -79,45 +83,25 @@ def running_totals(
     ).drop(*[f"_w_{k}" for k in names])
     local = materialize(local, "running-totals")
 
-    # Partition summary: first/last key and that key's local totals.  At most one
-    # row per partition, so collecting it is bounded by n, not by the data.
-    kstruct = F.struct(*[F.col(k) for k in keys])
-    tstruct = F.struct(*[F.col(f"_lt_{k}").alias(k) for k in names])
-    stats = sorted(local.groupBy("_pid").agg(
-        F.min(kstruct).alias("fk"), F.min_by(tstruct, kstruct).alias("ft"),
-        F.max(kstruct).alias("lk"), F.max_by(tstruct, kstruct).alias("lt"),
-    ).collect(), key=lambda r: r["_pid"])
-
-    carry_rows, seen, totals, parts = [], {}, {}, {}
-    for r in stats:
-        fk, lk = tuple(r["fk"]), tuple(r["lk"])
-        if fk in seen:  # the first key also ended earlier partitions
-            carry_rows.append((r["_pid"], *fk, *seen[fk]))
-        for key, tot in ((fk, r["ft"]),) + (((lk, r["lt"]),) if lk != fk else ()):
-            totals[key] = tuple(a + b for a, b in zip(totals.get(key, (0,) * len(names)), tot))
-            parts[key] = parts.get(key, 0) + 1
-        seen = {lk: tuple(a + b for a, b in zip(seen.get(lk, (0,) * len(names)), r["lt"]))} \
-            if lk == fk else {lk: tuple(r["lt"])}
-    key_fields = [local.schema[k] for k in keys]
-    out = local
-    cols = {f"cum_{k}": F.col(f"_lc_{k}") for k in names}
-    if carry_rows:
-        schema = T.StructType([T.StructField("_pid", T.IntegerType()), *key_fields,
-                               *[T.StructField(f"_c_{k}", T.LongType()) for k in names]])
-        carry = literal_rows(spark, carry_rows, schema)
-        out = out.join(F.broadcast(carry), ["_pid", *keys], "left")
-        cols = {f"cum_{k}": F.col(f"_lc_{k}") + F.coalesce(F.col(f"_c_{k}"), F.lit(0)) for k in names}
+    # Totals of each key in each partition it reaches, one row each; a window over
+    # them gives what came before a partition and the key's grand total.
+    per_part = local.groupBy(*keys, "_pid").agg(*[F.first(f"_lt_{k}").alias(f"_t_{k}") for k in names])
+    own = Window.partitionBy(*keys)
+    before = own.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    crossing = (per_part.withColumn("_parts", F.count("*").over(own))
+                .withColumns({f"_c_{k}": F.sum(f"_t_{k}").over(before) for k in names}
+                             | {f"_b_{k}": F.sum(f"_t_{k}").over(own) for k in names})
+                .filter(F.col("_parts") > 1)
+                .drop("_parts", *[f"_t_{k}" for k in names]))
+    # Only the first and the last key of a range can cross its ends, so these are
+    # two rows a partition at most, whatever the data.
+    small = F.broadcast(crossing) if n <= MAX_BROADCAST_PARTITIONS else crossing
+    out = local.join(small, [*keys, "_pid"], "left")
+    cols = {f"cum_{k}": F.col(f"_lc_{k}") + F.coalesce(F.col(f"_c_{k}"), F.lit(0)) for k in names}
     if with_total:
-        cols |= {f"tot_{k}": F.col(f"_lt_{k}") for k in names}
-        brows = [(*key, *tot) for key, tot in totals.items() if parts[key] > 1]
-        if brows:
-            schema = T.StructType([*key_fields, *[T.StructField(f"_b_{k}", T.LongType()) for k in names]])
-            btot = literal_rows(spark, brows, schema)
-            out = out.join(F.broadcast(btot), keys, "left")
-            cols |= {f"tot_{k}": F.coalesce(F.col(f"_b_{k}"), F.col(f"_lt_{k}")) for k in names}
-
+        cols |= {f"tot_{k}": F.coalesce(F.col(f"_b_{k}"), F.col(f"_lt_{k}")) for k in names}
     out = out.withColumns(cols)
-    drop = ["_pid"] + [c for c in out.columns if c.startswith(("_lc_", "_lt_", "_c_", "_b_"))]
+    drop = ["_pid"] + [f"{x}{k}" for x in ("_lc_", "_lt_", "_c_", "_b_") for k in names]
     if drop_key:
         drop.append("_rk")
     return out.drop(*drop)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrapix.functions.spectral import safe_div
 from terrapix.operators.metrics import histogram
+from terrapix.operators.prefix import running_totals
 
 # ---------------------------------------------------------------------------
 # Published report layout.
@@ -21,7 +25,8 @@ DISPLAY_COLUMNS = ("app_name", "val_auc", "test_auc", "val_pr_auc", "test_pr_auc
                    "subsample", "colsample_bytree", "min_child_weight", "reg_lambda")
 # ---------------------------------------------------------------------------
 
-HYPERPARAMETER_TYPES = {"max_depth": T.LongType()}
+# Whole numbers may be written with a fraction (8.0), so all are read as doubles.
+WHOLE_HYPERPARAMETERS = ("max_depth",)
 
 RUN_METRICS_SCHEMA = T.StructType([
     T.StructField("config_path", T.StringType()),
@@ -39,7 +44,7 @@ RUN_METRICS_SCHEMA = T.StructType([
         T.StructField("weight_ratio", T.DoubleType()),
     ])),
     T.StructField("hyperparameters", T.StructType(
-        [T.StructField(h, HYPERPARAMETER_TYPES.get(h, T.DoubleType())) for h in HYPERPARAMETER_NAMES])),
+        [T.StructField(h, T.DoubleType()) for h in HYPERPARAMETER_NAMES])),
     T.StructField("metrics", T.StructType([T.StructField(m, T.DoubleType()) for m in METRIC_NAMES])),
     T.StructField("_corrupt_record", T.StringType()),
 ])
@@ -112,29 +117,44 @@ def parse_run_metrics(docs: DataFrame, col: str = "js") -> DataFrame:
 
 
 def good_runs(runs: DataFrame) -> DataFrame:
-    """Readable run documents only (unreadable ones are skipped)."""
-    return runs.filter(F.col("_corrupt_record").isNull())
+    """Run documents that are JSON at all.
+
+    A document with a field of another type keeps its other fields (that one
+    is null) and is still listed by ``unreadable_runs``.
+    """
+    parsed = [F.col(f.name).isNotNull() for f in RUN_METRICS_SCHEMA.fields if f.name != "_corrupt_record"]
+    return runs.filter(reduce(or_, parsed, F.col("_corrupt_record").isNull()))
 
 
 def flatten_run_metrics(runs: DataFrame) -> DataFrame:
     """One flat leaderboard row per run: name (``'unknown'`` when absent),
-    four metrics and seven hyperparameters (NULL when absent)."""
+    four metrics (NULL when absent or NaN) and seven hyperparameters (NULL when absent)."""
+    def number(c: str) -> Column:
+        return F.when(~F.isnan(c), F.col(c))
+
     return good_runs(runs).select(
         F.coalesce(F.col("app_name"), F.lit("unknown")).alias("app_name"),
-        *[F.col(f"metrics.{m}").alias(m) for m in METRIC_NAMES],
-        *[F.col(f"hyperparameters.{h}").alias(h) for h in HYPERPARAMETER_NAMES],
+        *[number(f"metrics.{m}").alias(m) for m in METRIC_NAMES],
+        *[F.col(f"hyperparameters.{h}").cast("long" if h in WHOLE_HYPERPARAMETERS else "double").alias(h)
+          for h in HYPERPARAMETER_NAMES],
     )
 
 
 def leaderboard(flat: DataFrame, top_n: int | None = LEADERBOARD_TOP_N,
                 columns=DISPLAY_COLUMNS) -> DataFrame:
-    """Runs by validation AUC, best first (NULLs last); ``top_n`` rows of the
-    display columns (``TakeOrderedAndProject``: a per-partition top-n, then a
-    merge of n rows per partition).  Ties broken by name."""
-    out = flat.orderBy(F.col("val_auc").desc_nulls_last(), F.col("app_name").asc())
+    """Runs by validation AUC, best first (NULLs last), ties by name, with their ``rank``.
+
+    ``top_n`` rows of the display columns (``TakeOrderedAndProject``: a
+    per-partition top-n, then a merge of n rows per partition), or all runs,
+    ranked by running totals.
+    """
+    order = [F.col("val_auc").desc_nulls_last(), F.col("app_name").asc()]
+    shown = [c for c in columns if c in flat.columns]
     if top_n is not None:
-        out = out.limit(int(top_n))
-    return out.select(*[c for c in columns if c in flat.columns])
+        out = flat.orderBy(*order).limit(int(top_n))
+        return out.select(F.row_number().over(Window.orderBy(*order)).cast("long").alias("rank"), *shown)
+    ranked = running_totals(flat, [], order, {"rank": F.lit(1)})
+    return ranked.orderBy("cum_rank").select(F.col("cum_rank").alias("rank"), *shown)
 
 
 def best_model(flat: DataFrame) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrapix.operators.composite import COMPOSITE_BANDS
-from terrapix.operators.prefix import running_totals
+from terrapix.sources.store import materialize
 
 # ---------------------------------------------------------------------------
 # Published sampling defaults.
@@ -14,7 +14,9 @@ from terrapix.operators.prefix import running_totals
 MAX_POSITIVES_PER_YEAR = 1_500_000
 NEGATIVE_RATIO = 1.0
 # Selection key: a pure function of (pixel, year), computable in any SQL engine.
-HASH_A, HASH_B, HASH_M = 7919, 104729, 1000003
+HASH_A, HASH_B, HASH_C, HASH_D, HASH_M = 7919, 104729, 15485863, 31, 1000003
+DEFAULT_SEED = 42
+KEY_BUCKET = 1000  # keys in one bucket
 # ---------------------------------------------------------------------------
 
 SAMPLE_COLUMNS = ("year", "presence", "nlcd_class") + COMPOSITE_BANDS
@@ -44,38 +46,53 @@ def valid_pixels(df: DataFrame, bands=COMPOSITE_BANDS + ("pixel_count",)) -> Dat
     return df.filter(cond)
 
 
-def selection_key(pixel="pixel_id", year="year"):
-    """Deterministic per pixel-year selection hash (ties broken by pixel)."""
-    return (F.col(pixel).cast("long") * HASH_A + F.col(year).cast("long") * HASH_B) % HASH_M
+def selection_key(pixel="pixel_id", year="year", seed: int = DEFAULT_SEED):
+    """Deterministic per pixel-year selection hash (ties broken by pixel).
+
+    A linear key would pick a lattice of pixels; its square modulo the prime,
+    added in, mixes it.  Plain integer arithmetic, so any SQL engine agrees.
+    """
+    k = (F.col(pixel).cast("long") * HASH_A + F.col(year).cast("long") * HASH_B + F.lit(seed * HASH_C)) % HASH_M
+    return (k * k % HASH_M * HASH_D + k) % HASH_M
 
 
 def stratified_sample(df: DataFrame, max_pos: int = MAX_POSITIVES_PER_YEAR,
-                      neg_ratio: float = NEGATIVE_RATIO, num_partitions: int | None = None) -> DataFrame:
+                      neg_ratio: float = NEGATIVE_RATIO, seed: int = DEFAULT_SEED) -> DataFrame:
     """Per year: up to ``max_pos`` positives, then ``int(n_pos * neg_ratio)``
     negatives (all of them when fewer), both without replacement.
 
-    The selection is exact and repeatable: rows are ranked inside their
-    (year, presence) stratum by ``selection_key`` and the first ``target``
-    are kept.  Ranks come from ``running_totals``, which splits a huge stratum
-    (one year's negatives can be most of the raster) over many tasks.  The
-    per-stratum counts are one small aggregate (two rows per year).
+    The selection is exact and repeatable: the first ``target`` rows of each
+    (year, presence) stratum by (``selection_key``, pixel); another ``seed``
+    draws another sample.  Counts per stratum and key bucket (a partial
+    aggregate) tell the bucket in which a stratum's target falls; only the
+    (key, pixel) pairs of that bucket are ranked, and the last one taken is the
+    stratum's threshold.  Rows are then kept by comparison: no full row is
+    shuffled, and a stratum with most of the raster is ranked by nobody.
     """
-    keyed = df.filter(F.col("presence").isin(0, 1)).withColumn("_h", selection_key())
-    ranked = running_totals(keyed, ["year", "presence"], ["_h", "pixel_id"], {"rank": F.lit(1)},
-                            with_total=True, num_partitions=num_partitions)
-    # Stratum sizes come with the ranks (read from the materialised ranking, so the
-    # upstream plan is not recomputed); one row per year.
-    counts = ranked.groupBy("year").agg(
-        F.coalesce(F.max(F.when(F.col("presence") == 1, F.col("tot_rank"))), F.lit(0)).alias("n_pos"),
-        F.coalesce(F.max(F.when(F.col("presence") == 0, F.col("tot_rank"))), F.lit(0)).alias("n_neg"))
+    keyed = df.filter(F.col("presence").isin(0, 1)).withColumn("_h", selection_key(seed=seed))
+    bucket = F.floor(F.col("_h") / KEY_BUCKET).cast("int")
+    stratum = ["year", "presence"]
+    upto = Window.partitionBy(*stratum).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    per_bucket = materialize(keyed.groupBy(*stratum, bucket.alias("_b")).agg(F.count("*").alias("_n"))
+                             .withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0))), "sample-buckets")
+    counts = per_bucket.groupBy("year").agg(
+        F.sum(F.when(F.col("presence") == 1, F.col("_n")).otherwise(0)).alias("n_pos"),
+        F.sum(F.when(F.col("presence") == 0, F.col("_n")).otherwise(0)).alias("n_neg"))
     pos_t = F.least(F.col("n_pos"), F.lit(int(max_pos)))
     neg_t = F.least(F.col("n_neg"), F.floor(pos_t * F.lit(float(neg_ratio))).cast("long"))
-    targets = counts.select("year", pos_t.alias("pos_target"), neg_t.alias("neg_target"))
     target = F.when(F.col("presence") == 1, F.col("pos_target")).otherwise(F.col("neg_target"))
-    # targets has one row per year: a calendar-bounded side for the join.
-    out = ranked.join(F.broadcast(targets), "year", "inner").filter(F.col("cum_rank") <= target)
+    # One row a stratum: at most two for each calendar year.
+    cut = (per_bucket.join(counts.select("year", pos_t.alias("pos_target"), neg_t.alias("neg_target")), "year")
+           .filter((F.col("_before") < target) & (target <= F.col("_before") + F.col("_n")))
+           .select(*stratum, F.col("_b").alias("_cut"), (target - F.col("_before")).alias("_need")))
+    rank = F.row_number().over(Window.partitionBy(*stratum).orderBy("_h", "pixel_id"))
+    last = (keyed.select(*stratum, "_h", "pixel_id", bucket.alias("_cut")).join(F.broadcast(cut), [*stratum, "_cut"])
+            .withColumn("_rank", rank).filter(F.col("_rank") <= F.col("_need"))
+            .groupBy(*stratum).agg(F.max(F.struct("_h", F.col("pixel_id").alias("_p"))).alias("_last")))
+    out = (keyed.join(F.broadcast(materialize(last, "sample-thresholds")), stratum)
+           .filter(F.struct("_h", F.col("pixel_id").alias("_p")) <= F.col("_last")))
     # Mix classes inside each partition (row order is not part of the result).
-    return out.sortWithinPartitions(F.xxhash64("_h", "pixel_id")).drop("_h", "cum_rank", "tot_rank", "pos_target", "neg_target")
+    return out.sortWithinPartitions(F.xxhash64("_h", "pixel_id")).drop("_h", "_last")
 
 
 def sample_totals(samples: DataFrame) -> DataFrame:

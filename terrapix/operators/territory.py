@@ -2,38 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrapix.functions.paths import path_year
 
-MAX_LABEL_YEARS = 10_000  # sanity bound on distinct label years (calendar years)
+
+class Raster(NamedTuple):
+    """Origin (outer corner of pixel 0, 0), pixel size and, for clipping, shape.
+
+    ``dy`` is negative where rows run from north to south.
+    """
+
+    x0: float = 0.0
+    y0: float = 0.0
+    dx: float = 1.0
+    dy: float = 1.0
+    n_cols: int | None = None
+    n_rows: int | None = None
+
+
+UNIT = Raster()
 
 
 def valid_territories(territories: DataFrame, skip: str | None = None,
                       path_col: str = "path", ring_col: str = "ring") -> DataFrame:
-    """Drop null / degenerate rings (a closed ring needs >= 4 vertices) and,
-    optionally, files whose path contains ``skip`` (e.g. ``".zip"``).
+    """Drop null and degenerate rings (a closed one needs 4 vertices, an open one 3)
+    and, optionally, files whose path contains ``skip`` (e.g. ``".zip"``).
 
-    Raises when nothing is left, like the published loader.
+    Raises when no polygon is left.
     """
-    out = territories.filter(F.col(ring_col).isNotNull() & (F.size(ring_col) >= 4))
+    ring = F.col(ring_col)
+    closed = F.get(ring, F.lit(0)) == F.get(ring, F.size(ring) - 1)
+    out = territories.filter(ring.isNotNull() & (F.size(ring) >= F.when(closed, 4).otherwise(3)))
     if skip is not None and path_col in territories.columns:
         out = out.filter(~F.col(path_col).contains(skip))
     if out.isEmpty():
-        raise RuntimeError("No valid geometries loaded from territory files.")
+        raise RuntimeError("the territory files hold no usable polygon")
     return out
 
 
 def ring_edges(territories: DataFrame, ring_col: str = "ring") -> DataFrame:
-    """Explode closed rings ``ARRAY<STRUCT<x,y>>`` to edges ``x1 y1 x2 y2``.
+    """Explode rings ``ARRAY<STRUCT<x,y>>`` to edges ``x1 y1 x2 y2``; open rings are closed.
 
     Consecutive vertices are paired with array functions inside each row, so
     no shuffle and no per-polygon grouping is needed.
     """
-    n = F.size(ring_col)
-    pairs = F.arrays_zip(F.slice(ring_col, 1, n - 1).alias("a"), F.slice(ring_col, 2, n - 1).alias("b"))
-    return (territories.select("poly_id", "year", F.explode(pairs).alias("e"))
+    ring = F.col(ring_col)
+    first = F.slice(ring, 1, 1)
+    shut = F.when(F.get(ring, F.lit(0)) == F.get(ring, F.size(ring) - 1), ring).otherwise(F.concat(ring, first))
+    closed = territories.filter(F.size(ring) >= 2).withColumn("_ring", shut)
+    n = F.size("_ring")
+    pairs = F.arrays_zip(F.slice("_ring", 1, n - 1).alias("a"), F.slice("_ring", 2, n - 1).alias("b"))
+    return (closed.select("poly_id", "year", F.explode(pairs).alias("e"))
             .select("poly_id", "year", F.col("e.a.x").alias("x1"), F.col("e.a.y").alias("y1"),
                     F.col("e.b.x").alias("x2"), F.col("e.b.y").alias("y2")))
 
@@ -54,39 +77,48 @@ def study_area(edges: DataFrame, buffer_km: float = 15.0, units_per_km: float =
     ys = F.least("y1", "y2")
     return edges.agg(
         F.count("*").alias("n_edges"),
-        F.countDistinct("poly_id", "year").alias("n_polygons"),
         (F.min(xs) - F.lit(b)).alias("x0"), (F.min(ys) - F.lit(b)).alias("y0"),
         (F.max(F.greatest("x1", "x2")) + F.lit(b)).alias("x1"),
         (F.max(F.greatest("y1", "y2")) + F.lit(b)).alias("y1"),
     )
 
 
-def pixel_rows_cols(grid: DataFrame) -> DataFrame:
-    """Unit raster indices of pixel centres ``(col + 0.5, row + 0.5)``."""
-    return grid.withColumns({"row_idx": F.floor("py").cast("int"), "col_idx": F.floor("px").cast("int")})
+def pixel_rows_cols(grid: DataFrame, raster: Raster = UNIT) -> DataFrame:
+    """Raster indices of pixel centres (px, py)."""
+    return grid.withColumns({"row_idx": F.floor((F.col("py") - raster.y0) / raster.dy).cast("int"),
+                             "col_idx": F.floor((F.col("px") - raster.x0) / raster.dx).cast("int")})
+
+
+def _indices(a: Column, b: Column, origin: float, step: float, count: int | None) -> Column:
+    """Indices of the pixels whose centres may lie between coordinates ``a`` and ``b``, clipped to the raster."""
+    u, v = (a - F.lit(origin)) / F.lit(step), (b - F.lit(origin)) / F.lit(step)
+    lo = F.floor(F.least(u, v)).cast("int") - 1
+    hi = F.ceil(F.greatest(u, v)).cast("int")
+    if count is not None:
+        lo, hi = F.greatest(lo, F.lit(0)), F.least(hi, F.lit(count - 1))
+    return F.when(lo <= hi, F.sequence(lo, hi))
 
 
-def inside_pixels(edges: DataFrame) -> DataFrame:
-    """(year, row_idx, col_idx) of every pixel centre strictly inside some polygon.
+def inside_pixels(edges: DataFrame, raster: Raster = UNIT) -> DataFrame:
+    """(year, row_idx, col_idx) of every pixel whose true centre lies inside some polygon.
 
     Even-odd rule with the half-open crossing test ``(y1 > py) != (y2 > py)``
     and ``px < x_cross``; a centre on a crossing point counts as inside only on
-    the span's left end.  Each edge is expanded to the pixel rows it crosses
+    the span's left end.  Each edge is expanded to the raster rows it crosses
     (cost follows edge height, not grid x edges); the sorted crossings of one
-    polygon on one row pair into spans, and only the pixels inside spans are
-    emitted, so the output is proportional to the positive pixels.
+    polygon on one row (as many as that polygon's edges, at most) pair into
+    spans, and only the pixels inside spans are emitted, so the output is
+    proportional to the positive pixels.
     """
-    lo = F.floor(F.least("y1", "y2")).cast("int") - 1
-    hi = F.ceil(F.greatest("y1", "y2")).cast("int")
     rows = edges.select("poly_id", "year", "x1", "y1", "x2", "y2",
-                        F.explode(F.sequence(lo, hi)).alias("row_idx"))
-    py = F.col("row_idx") + F.lit(0.5)
+                        F.explode(_indices(F.col("y1"), F.col("y2"), raster.y0, raster.dy, raster.n_rows)).alias("row_idx"))
+    py = (F.col("row_idx") + F.lit(0.5)) * F.lit(raster.dy) + F.lit(raster.y0)
     crossings = rows.filter((F.col("y1") > py) != (F.col("y2") > py)).select(
         "poly_id", "year", "row_idx",
         ((F.col("x2") - F.col("x1")) * (py - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")).alias("xc"),
     )
-    # Crossings of one polygon on one row: bounded by that polygon's edge count.
-    per_row = crossings.groupBy("year", "poly_id", "row_idx").agg(F.sort_array(F.collect_list("xc")).alias("xs"))
+    per_row = (crossings.groupBy("year", "poly_id", "row_idx").agg(F.sort_array(F.collect_list("xc")).alias("xs"))
+               .filter(F.size("xs") >= 2))
     spans = per_row.select(
         "year", "row_idx",
         F.explode(F.transform(
@@ -96,33 +128,23 @@ def inside_pixels(edges: DataFrame) -> DataFrame:
     )
     cols = spans.select(
         "year", "row_idx", F.col("s.xa").alias("xa"), F.col("s.xb").alias("xb"),
-        F.explode(F.sequence(F.floor(F.col("s.xa") - 0.5).cast("int"),
-                             F.ceil(F.col("s.xb") - 0.5).cast("int"))).alias("col_idx"),
+        F.explode(_indices(F.col("s.xa"), F.col("s.xb"), raster.x0, raster.dx, raster.n_cols)).alias("col_idx"),
     )
-    px = F.col("col_idx") + F.lit(0.5)
+    px = (F.col("col_idx") + F.lit(0.5)) * F.lit(raster.dx) + F.lit(raster.x0)
     return cols.filter((px >= F.col("xa")) & (px < F.col("xb"))).select("year", "row_idx", "col_idx").distinct()
 
 
-def label_years(edges: DataFrame) -> list[int]:
-    """Distinct years that have polygons (a calendar-bounded, tiny list)."""
-    years = sorted(r[0] for r in edges.select("year").distinct().limit(MAX_LABEL_YEARS + 1).collect())
-    if len(years) > MAX_LABEL_YEARS:
-        raise ValueError("too many distinct label years")
-    return years
-
-
-def presence_labels(grid: DataFrame, edges: DataFrame) -> DataFrame:
+def presence_labels(grid: DataFrame, edges: DataFrame, raster: Raster = UNIT) -> DataFrame:
     """0/1 presence for every pixel of ``grid`` in every year that has polygons.
 
     Overlapping polygons collapse (a pixel inside any polygon is 1).  Years
     without polygons produce no labels (they are skipped, not an error).
     """
-    years = label_years(edges)
-    g = pixel_rows_cols(grid)
-    pos = inside_pixels(edges).withColumn("_in", F.lit(1))
-    # Every pixel once per label year: generated per row, no join with a year table.
-    gy = g.select("pixel_id", "row_idx", "col_idx",
-                  F.explode(F.array(*[F.lit(y) for y in years]).cast("array<int>")).alias("year"))
+    # One row with the distinct years, read where it is needed as a scalar subquery.
+    years = edges.agg(F.array_sort(F.collect_set(F.col("year").cast("int"))).alias("years")).scalar()
+    pos = inside_pixels(edges, raster).withColumn("_in", F.lit(1))
+    gy = (pixel_rows_cols(grid, raster).withColumn("_years", years)
+          .select("pixel_id", "row_idx", "col_idx", F.explode("_years").alias("year")))
     out = gy.join(pos, ["year", "row_idx", "col_idx"], "left")
     return out.select("year", "pixel_id", "row_idx", "col_idx",
                       F.coalesce(F.col("_in"), F.lit(0)).alias("presence"))

@@ -121,7 +121,8 @@ ALIGNED = COMPOSITE + LABELS + [
 ]
 
 SAMPLE = ALIGNED + [
-    ("keyed", "SELECT *, (CAST(pixel_id AS BIGINT) * 7919 + CAST(year AS BIGINT) * 104729) % 1000003 AS h FROM aligned"),
+    ("keyed0", "SELECT *, (CAST(pixel_id AS BIGINT) * 7919 + CAST(year AS BIGINT) * 104729 + 42 * 15485863) % 1000003 AS k FROM aligned"),
+    ("keyed", "SELECT * EXCLUDE (k), (k * k % 1000003 * 31 + k) % 1000003 AS h FROM keyed0"),
     ("cnt", """SELECT year, count(*) FILTER (WHERE presence = 1) AS n_pos, count(*) FILTER (WHERE presence = 0) AS n_neg
  FROM keyed GROUP BY year"""),
     ("tgt", """SELECT year, least(n_pos, 1500000) AS pos_t,
@@ -220,8 +221,24 @@ def build() -> dict[str, str]:
         " CASE WHEN year >= 1999 THEN 'L7' END, CASE WHEN year >= 2013 THEN 'L8' END,"
         " CASE WHEN year >= 2022 THEN 'L9' END) AS sensors, 'median_growing_season' AS composite FROM comp")
     q["presence_labels"] = _ctes(["grid", "edges"], LABELS) + "\nSELECT * FROM labels"
+    # The same crossing count at the true centres of a north-up raster of 30 m pixels.
+    north_up = [
+        ("grid30", "SELECT pixel_id, px * 30.0 + 500000.0 AS px, 4100300.0 - py * 30.0 AS py FROM grid"),
+        ("edges30", "SELECT poly_id, year, x1 * 30.0 + 500000.0 + 7.0 AS x1, 4100300.0 - y1 * 30.0 - 11.0 AS y1,"
+                    " x2 * 30.0 + 500000.0 + 7.0 AS x2, 4100300.0 - y2 * 30.0 - 11.0 AS y2 FROM edges"),
+        ("cross30", """SELECT g.pixel_id, e.year, e.poly_id,
+ SUM(CASE WHEN ((e.y1 > g.py) <> (e.y2 > g.py)) AND (g.px < (e.x2 - e.x1) * (g.py - e.y1) / (e.y2 - e.y1) + e.x1) THEN 1 ELSE 0 END) AS n
+ FROM grid30 g CROSS JOIN edges30 e GROUP BY g.pixel_id, e.year, e.poly_id"""),
+        ("pos30", "SELECT DISTINCT pixel_id, year FROM cross30 WHERE n % 2 = 1"),
+        ("years30", "SELECT DISTINCT year FROM edges"),
+    ]
+    q["presence_labels_30m"] = _ctes(["grid", "edges"], north_up) + """
+SELECT y.year, g.pixel_id, CAST(floor((4100300.0 - g.py) / 30.0) AS INT) AS row_idx, CAST(floor((g.px - 500000.0) / 30.0) AS INT) AS col_idx,
+ CASE WHEN p.pixel_id IS NULL THEN 0 ELSE 1 END AS presence
+FROM grid30 g CROSS JOIN years30 y LEFT JOIN pos30 p ON p.pixel_id = g.pixel_id AND p.year = y.year"""
+    q["territory_rings"] = _ctes(["edges"], []) + "\nSELECT poly_id, year, x1, y1, x2, y2 FROM edges"
     q["study_area"] = _ctes(["edges"], []) + (
-        "\nSELECT count(*) AS n_edges, (SELECT count(*) FROM (SELECT DISTINCT poly_id, year FROM edges)) AS n_polygons,"
+        "\nSELECT count(*) AS n_edges,"
         " round(min(least(x1, x2)) - 15000.0, 6) AS x0, round(min(least(y1, y2)) - 15000.0, 6) AS y0,"
         " round(max(greatest(x1, x2)) + 15000.0, 6) AS x1, round(max(greatest(y1, y2)) + 15000.0, 6) AS y1 FROM edges")
     stem = r"regexp_replace(regexp_extract(path, '([^/]*)$', 1), '^(.+)\.[^.]+$', '\1')"
@@ -248,6 +265,19 @@ def build() -> dict[str, str]:
         f"\nSELECT pixel_id, year, {_r(ALL + ('pixel_count',), 6)}, presence, nlcd_class FROM aligned")
     q["stratified_sample"] = _ctes(["raw_obs", "grid", "edges", "nlcd"], SAMPLE) + (
         f"\nSELECT pixel_id, year, {_r(ALL + ('pixel_count',), 6)}, presence, nlcd_class FROM sample")
+    q["stratified_sample_capped"] = _ctes(["grid", "edges"], LABELS + [
+        ("k1", "SELECT *, (CAST(pixel_id AS BIGINT) * 7919 + CAST(year AS BIGINT) * 104729 + 7 * 15485863) % 1000003 AS k FROM labels"),
+        ("k2", "SELECT *, (k * k % 1000003 * 31 + k) % 1000003 AS h FROM k1"),
+        ("k3", "SELECT *, row_number() OVER (PARTITION BY year, presence ORDER BY h, pixel_id) AS rn FROM k2"),
+        ("k4", "SELECT year, count(*) FILTER (WHERE presence = 1) AS p FROM labels GROUP BY year"),
+    ]) + ("\nSELECT k3.year, k3.pixel_id, k3.presence FROM k3 JOIN k4 ON k4.year = k3.year"
+          " WHERE k3.rn <= CASE WHEN k3.presence = 1 THEN least(k4.p, 5) ELSE 3 * least(k4.p, 5) END")
+    q["samples_written"] = _ctes(["grid", "edges"], LABELS) + (
+        "\nSELECT pixel_id, row_idx, col_idx, presence, year FROM labels WHERE year BETWEEN 1995 AND 2015")
+    q["report_csv"] = q["imbalance_by_year"]
+    q["predictions_written"] = _ctes(["scored"], []) + (
+        "\nSELECT presence AS true_label, round(CAST(CAST(prob AS FLOAT) AS DOUBLE), 6) AS predicted_prob, count(*) AS n"
+        " FROM scored GROUP BY 1, 2")
     q["sample_totals"] = _ctes(["raw_obs", "grid", "edges", "nlcd"], SAMPLE) + (
         "\nSELECT count(*) AS total, count(*) FILTER (WHERE presence = 1) AS positives,"
         " count(*) FILTER (WHERE presence = 0) AS negatives FROM sample")
@@ -277,11 +307,13 @@ def build() -> dict[str, str]:
     q["roc_curve"] = _ctes(["scored"], POINTS) + (
         "\nSELECT round(threshold, 9) AS threshold,"
         " round(CASE WHEN n_neg = 0 THEN 0.0 ELSE CAST(fp AS DOUBLE) / CAST(n_neg AS DOUBLE) END, 9) AS fpr,"
-        " round(CASE WHEN n_pos = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / CAST(n_pos AS DOUBLE) END, 9) AS tpr FROM pts")
+        " round(CASE WHEN n_pos = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / CAST(n_pos AS DOUBLE) END, 9) AS tpr FROM pts"
+        " UNION ALL SELECT NULL, 0.0, 0.0 FROM (SELECT 1 FROM pts LIMIT 1)")
     q["pr_curve"] = _ctes(["scored"], POINTS) + (
         "\nSELECT round(threshold, 9) AS threshold,"
         " round(CASE WHEN n_pos = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / CAST(n_pos AS DOUBLE) END, 9) AS recall,"
-        f" round({prec}, 9) AS precision FROM pts")
+        f" round({prec}, 9) AS precision FROM pts"
+        " UNION ALL SELECT NULL, 0.0, 1.0 FROM (SELECT 1 FROM pts LIMIT 1)")
     q["confusion_at_threshold"] = _ctes(["scored"], [
         ("cm", """SELECT count(*) FILTER (WHERE presence = 1 AND prob >= 0.5) AS tp,
  count(*) FILTER (WHERE presence <> 1 AND prob >= 0.5) AS fp,
@@ -302,8 +334,10 @@ def build() -> dict[str, str]:
     q["aoi_scene_count"] = _ctes(["scenes", "aoi"], CATALOG) + (
         "\nSELECT aoi_id, count(*) AS n_scenes FROM pairs GROUP BY aoi_id")
     q["leaderboard"] = _ctes(["trials"], LEADER) + (
-        "\nSELECT app_name, val_auc, test_auc, val_pr_auc, test_pr_auc, max_depth, eta, subsample, colsample_bytree,"
+        "\nSELECT row_number() OVER (ORDER BY val_auc DESC NULLS LAST, app_name ASC) AS rank, app_name, val_auc, test_auc, val_pr_auc, test_pr_auc, max_depth, eta, subsample, colsample_bytree,"
         " min_child_weight, reg_lambda FROM runs ORDER BY val_auc DESC NULLS LAST, app_name ASC LIMIT 10")
+    q["leaderboard_full"] = q["leaderboard"].removesuffix(" LIMIT 10")
+    q["run_documents"] = q["leaderboard_full"]
     q["best_model"] = _ctes(["trials"], LEADER + [
         ("b", "SELECT * FROM runs ORDER BY val_auc DESC NULLS LAST, app_name ASC LIMIT 1"),
     ]) + ("\nSELECT (SELECT count(*) FROM runs) AS n_models, b.app_name AS best_app_name, b.val_auc AS best_val_auc,"

@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 from terrapix.functions.paths import path_year as path_year_col
 from terrapix.operators import catalog, composite, metrics, model, observe, report, samples, territory
 from terrapix.sources import fixtures as fx
+from terrapix.sources import sinks, tables
+from terrapix.sources.store import shared_path
 
 BANDS = composite.COMPOSITE_BANDS
 
@@ -66,6 +68,33 @@ def q_presence_labels(spark: SparkSession, sf: str) -> DataFrame:
     return labels_table(spark, sf)
 
 
+# A north-up raster of 30 m pixels in projected coordinates.
+RASTER_30M = territory.Raster(x0=500_000.0, y0=4_100_300.0, dx=30.0, dy=-30.0, n_cols=10, n_rows=10)
+
+
+def q_presence_labels_30m(spark: SparkSession, sf: str) -> DataFrame:
+    def x(c: str):
+        return F.col(c) * 30.0 + 500_000.0
+
+    def y(c: str):
+        return F.lit(4_100_300.0) - F.col(c) * 30.0
+
+    grid = fx.grid(spark, sf).withColumns({"px": x("px"), "py": y("py")})
+    edges = fx.edges(spark, sf).withColumns({"x1": x("x1") + 7.0, "x2": x("x2") + 7.0,
+                                             "y1": y("y1") - 11.0, "y2": y("y2") - 11.0})
+    return territory.presence_labels(grid, edges, RASTER_30M)
+
+
+def q_territory_rings(spark: SparkSession, sf: str) -> DataFrame:
+    """Open rings of the territory fixture, closed and exploded to edges."""
+    s = tables.read_table(spark, sf, "supplier", ["s_suppkey"])
+    ax, ay = (F.col("s_suppkey") * 3 % 7).cast("double"), (F.col("s_suppkey") * 5 % 7).cast("double")
+    ring = F.array(*[F.struct((ax + a).alias("x"), (ay + b).alias("y")) for a, b in ((0.0, 0.0), (4.0, 1.0), (1.0, 4.0))])
+    rings = s.select(F.col("s_suppkey").alias("poly_id"), (F.lit(1995) + F.col("s_suppkey") % 28).cast("int").alias("year"),
+                     ring.alias("ring"))
+    return territory.ring_edges(territory.valid_territories(rings))
+
+
 def q_study_area(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(territory.study_area(fx.edges(spark, sf)))
 
@@ -106,6 +135,28 @@ def q_stratified_sample(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(sample_table(spark, sf))
 
 
+def q_stratified_sample_capped(spark: SparkSession, sf: str) -> DataFrame:
+    """The sampler with a cap that is reached and three negatives for each positive."""
+    out = samples.stratified_sample(labels_table(spark, sf), max_pos=5, neg_ratio=3.0, seed=7)
+    return out.select("year", "pixel_id", "presence")
+
+
+def q_samples_written(spark: SparkSession, sf: str) -> DataFrame:
+    """Samples written by year and read back with their declared schema, training years only."""
+    path = shared_path(spark, "samples")
+    sinks.write_samples(labels_table(spark, sf), path)
+    schema = "pixel_id int, row_idx int, col_idx int, presence int, year int"
+    return tables.read_samples(spark, path, schema).filter(model.in_years("year", model.TRAIN_YEARS))
+
+
+def q_report_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """The yearly imbalance report as CSV, read back."""
+    path = shared_path(spark, "report")
+    by_year = q_imbalance_by_year(spark, sf)
+    sinks.write_csv(by_year, path)
+    return spark.read.schema(by_year.schema).option("header", True).csv(path)
+
+
 def q_sample_totals(spark: SparkSession, sf: str) -> DataFrame:
     return samples.sample_totals(sample_table(spark, sf))
 
@@ -143,6 +194,19 @@ def q_prob_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(h, 6)
 
 
+def q_predictions_written(spark: SparkSession, sf: str) -> DataFrame:
+    """Positive-class probabilities taken from a vector, written as predictions and read back."""
+    from pyspark.ml.functions import array_to_vector
+
+    path = shared_path(spark, "predictions")
+    s = fx.scored(spark, sf)
+    vec = s.withColumn("probability", array_to_vector(F.array(1 - F.col("prob"), F.col("prob"))))
+    sinks.write_predictions(metrics.scores(vec), path)
+    p = spark.read.parquet(path)
+    return p.groupBy("true_label", F.round(F.col("predicted_prob").cast("double"), 6).alias("predicted_prob")).agg(
+        F.count("*").alias("n"))
+
+
 # -------------------------------------------------------------- scene catalog
 
 def _catalog(spark: SparkSession, sf: str) -> DataFrame:
@@ -168,6 +232,18 @@ def q_leaderboard(spark: SparkSession, sf: str) -> DataFrame:
     return report.leaderboard(_runs(spark, sf), report.LEADERBOARD_TOP_N)
 
 
+def q_leaderboard_full(spark: SparkSession, sf: str) -> DataFrame:
+    return report.leaderboard(_runs(spark, sf), None)
+
+
+def q_run_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Run documents written as JSON, read back from the files, ranked in full."""
+    path = shared_path(spark, "runs")
+    sinks.write_metrics(report.good_runs(report.parse_run_metrics(fx.trials(spark, sf))).drop("_corrupt_record"), path)
+    runs = sinks.read_run_metrics(spark, path, pattern="*.json", multiline=False)
+    return report.leaderboard(report.flatten_run_metrics(runs), None)
+
+
 def q_best_model(spark: SparkSession, sf: str) -> DataFrame:
     return report.best_model(_runs(spark, sf))
 
@@ -197,6 +273,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "composite_ndvi": q_composite_ndvi,
     "composite_full": q_composite_full,
     "presence_labels": q_presence_labels,
+    "presence_labels_30m": q_presence_labels_30m,
+    "territory_rings": q_territory_rings,
     "study_area": q_study_area,
     "path_year": q_path_year,
     "imbalance_by_year": q_imbalance_by_year,
@@ -204,6 +282,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "imbalance_hist": q_imbalance_hist,
     "aligned_pixels": q_aligned_pixels,
     "stratified_sample": q_stratified_sample,
+    "stratified_sample_capped": q_stratified_sample_capped,
+    "samples_written": q_samples_written,
+    "report_csv": q_report_csv,
     "sample_totals": q_sample_totals,
     "split_counts": q_split_counts,
     "class_weights": q_class_weights,
@@ -212,9 +293,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pr_curve": q_pr_curve,
     "confusion_at_threshold": q_confusion_at_threshold,
     "prob_histogram": q_prob_histogram,
+    "predictions_written": q_predictions_written,
     "aoi_scene_topk": q_aoi_scene_topk,
     "aoi_scene_count": q_aoi_scene_count,
     "leaderboard": q_leaderboard,
+    "leaderboard_full": q_leaderboard_full,
+    "run_documents": q_run_documents,
     "best_model": q_best_model,
     "train_eval_gbt": q_train_eval_gbt,
     "tuning_sweep": q_tuning_sweep,

@@ -56,13 +56,11 @@ def read_run_metrics(spark: SparkSession, path: str, pattern: str = "*_metrics.j
 
 
 def unreadable_runs(runs: DataFrame) -> DataFrame:
-    """Files that could not be parsed (to report, not to load).
-
-    A document that fails to parse has every field NULL; testing ``app_name``
-    too keeps Spark from rejecting a query on the corrupt-record column alone.
-    """
-    return (runs.filter(F.col("_corrupt_record").isNotNull() & F.col("app_name").isNull())
-            .select("source_file"))
+    """Files that were not parsed in full (to report): not JSON, or a field of another type."""
+    # A pruned field is not parsed, so all are named here for their faults to show.
+    fields = [f.name for f in RUN_METRICS_SCHEMA.fields if f.name != "_corrupt_record"]
+    parsed = F.coalesce(F.length(F.to_json(F.struct(*fields))), F.lit(0)) >= 0
+    return runs.filter(F.col("_corrupt_record").isNotNull() & parsed).select("source_file")
 
 
 def save_model(model, path: str) -> None:

@@ -14,7 +14,6 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from terrapix.operators.observe import spectral_observations
-from terrapix.sources.store import checkpoint_root
 
 RAW_OBS_SCHEMA = T.StructType([
     T.StructField("scene_id", T.LongType()), T.StructField("sensor", T.StringType()),
@@ -35,15 +34,15 @@ def observation_stream(spark: SparkSession, source_dir: str, schema: T.StructTyp
     return spectral_observations(reader.parquet(source_dir))
 
 
-def ingest_observations(stream: DataFrame, out_path: str, name: str = "observations",
-                        available_now: bool = True) -> StreamingQuery:
+def ingest_observations(stream: DataFrame, out_path: str, available_now: bool = True) -> StreamingQuery:
     """Append the stream to a year-partitioned Parquet table.
 
-    Progress is kept under the shared checkpoint folder, so a restarted or
-    failed job resumes exactly where it stopped (file sink + checkpoint give
-    exactly-once output).  ``available_now`` processes what is there and stops.
+    Progress is kept beside the table it describes (``_progress``, a name that
+    readers skip), so a restarted job resumes where that table stopped and
+    another table starts from the beginning.  ``available_now`` processes what
+    is there and stops.
     """
-    ck = f"{checkpoint_root(stream.sparkSession).rstrip('/')}/terrapix/streams/{name}"
+    ck = f"{out_path.rstrip('/')}/_progress"
     w = (stream.writeStream.format("parquet").outputMode("append")
          .option("checkpointLocation", ck).partitionBy("year"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")

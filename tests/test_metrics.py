@@ -37,11 +37,13 @@ def test_areas_match_evaluator_and_rank_form(spark):
 
 def test_curves_monotone(spark):
     df = spark.createDataFrame(scored(6))
-    roc = roc_curve(df, num_partitions=4).toPandas().sort_values("threshold", ascending=False)
+    roc = roc_curve(df, num_partitions=4).toPandas().sort_values("threshold", ascending=False, na_position="first")
     assert (np.diff(roc.fpr) >= 0).all() and (np.diff(roc.tpr) >= 0).all()
     assert roc.fpr.iloc[-1] == 1.0 and roc.tpr.iloc[-1] == 1.0
-    pr = pr_curve(df).toPandas().sort_values("threshold", ascending=False)
+    pr = pr_curve(df).toPandas().sort_values("threshold", ascending=False, na_position="first")
     assert (np.diff(pr.recall) >= 0).all() and pr.recall.iloc[-1] == 1.0
+    assert (roc.fpr.iloc[0], roc.tpr.iloc[0], pr.recall.iloc[0], pr.precision.iloc[0]) == (0, 0, 0, 1)
+    assert roc_curve(df.limit(0)).count() == 0
 
 
 def test_confusion_single_class_and_sums(spark):

@@ -85,11 +85,18 @@ def test_leaderboard_rules(spark):
             json.dumps({"app_name": "b", "metrics": {"val_auc": 0.75, "test_auc": 0.60}}),
             json.dumps({"metrics": {"val_auc": 0.72, "test_auc": 0.73}}),
             json.dumps({"app_name": "d", "metrics": {}}),
-            "{not json"]
+            "{not json"]  # skipped
     runs = flatten_run_metrics(parse_run_metrics(spark.createDataFrame([(d,) for d in docs], "js string")))
     top = leaderboard(runs, 3).collect()
     assert [r["app_name"] for r in top] == ["b", "unknown", "a"]
     assert top[2]["max_depth"] == 6 and top[0]["eta"] is None
-    assert [r["app_name"] for r in leaderboard(runs, None).collect()][-1] == "d"  # NULL AUC last
+    full = leaderboard(runs, None).collect()
+    assert full[-1]["app_name"] == "d" and [r["rank"] for r in full] == [1, 2, 3, 4]  # NULL AUC last
+    odd = ['{"app_name": "n", "metrics": {"val_auc": NaN}}', '{"app_name": "f", "metrics": {"val_auc": 0.9}, "hyperparameters": {"max_depth": 8.0}}',
+           '{"app_name": "t", "metrics": {"val_auc": 0.95}, "hyperparameters": {"max_depth": "deep"}}']
+    extra = flatten_run_metrics(parse_run_metrics(spark.createDataFrame([(d,) for d in docs + odd], "js string")))
+    order = leaderboard(extra, 10).collect()
+    assert [r["app_name"] for r in order] == ["t", "f", "b", "unknown", "a", "d", "n"]
+    assert order[1]["max_depth"] == 8 and order[0]["max_depth"] is None and best_model(extra).first()["best_app_name"] == "t"
     b = best_model(runs).collect()[0]
     assert (b["n_models"], b["best_app_name"], b["best_val_auc"], b["max_test_auc"]) == (4, "b", 0.75, 0.73)

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from terrapix.operators.samples import HASH_A, HASH_B, HASH_M, sample_totals, stratified_sample
+from terrapix.operators.samples import HASH_A, HASH_B, HASH_C, HASH_D, HASH_M, sample_totals, stratified_sample
 
 
 def aligned(seed, n=4000):
@@ -18,12 +18,12 @@ def aligned(seed, n=4000):
                          "NDVI": rng.random(n)})
 
 
-@pytest.mark.parametrize("max_pos,ratio", [(50, 1.0), (10**6, 1.0), (30, 2.5)])
-def test_stratified_sample_matches_brute_force(spark, max_pos, ratio):
+@pytest.mark.parametrize("max_pos,ratio,seed", [(50, 1.0, 42), (10**6, 1.0, 42), (30, 2.5, 7)])
+def test_stratified_sample_matches_brute_force(spark, max_pos, ratio, seed):
     pdf = aligned(3)
-    got = stratified_sample(spark.createDataFrame(pdf), max_pos=max_pos, neg_ratio=ratio,
-                            num_partitions=7).toPandas()
-    pdf["h"] = (pdf["pixel_id"].astype("int64") * HASH_A + pdf["year"].astype("int64") * HASH_B) % HASH_M
+    got = stratified_sample(spark.createDataFrame(pdf), max_pos=max_pos, neg_ratio=ratio, seed=seed).toPandas()
+    k = (pdf["pixel_id"].astype("int64") * HASH_A + pdf["year"].astype("int64") * HASH_B + seed * HASH_C) % HASH_M
+    pdf["h"] = (k * k % HASH_M * HASH_D + k) % HASH_M
     want = []
     for y, g in pdf.groupby("year"):
         pos = g[g.presence == 1].sort_values(["h", "pixel_id"])

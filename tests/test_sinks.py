@@ -58,13 +58,16 @@ def test_run_metrics_files(spark, tmp_path):
             {"app_name": name, "metrics": {"val_auc": val, "test_auc": val - 0.1},
              "hyperparameters": {"max_depth": 8, "eta": 0.1},
              "dataset_info": {"train_years": [1995, 1996], "pos_count": 5}}, indent=2))
+    (d / "c_metrics.json").write_text(json.dumps({"app_name": "c", "hyperparameters": {"max_depth": 8.0}}))
+    (d / "odd_metrics.json").write_text(json.dumps({"app_name": "odd", "hyperparameters": {"max_depth": "deep"}}))
     (d / "broken_metrics.json").write_text("{ this is not json")
     (d / "notes.json").write_text(json.dumps({"app_name": "ignored"}, indent=2))
     runs = read_run_metrics(spark, str(d))
     flat = flatten_run_metrics(runs)
-    assert sorted(r["app_name"] for r in flat.collect()) == ["a", "b"]
+    assert sorted((r["app_name"], r["max_depth"]) for r in flat.collect() if r["max_depth"]) == [("a", 8), ("b", 8), ("c", 8)]
+    assert "odd" in [r["app_name"] for r in flat.collect()] and flat.count() == 4
     bad = [r["source_file"] for r in unreadable_runs(runs).collect()]
-    assert len(bad) == 1 and bad[0].endswith("broken_metrics.json")
+    assert sorted(b.rsplit("/", 1)[1] for b in bad) == ["broken_metrics.json", "odd_metrics.json"]
     assert runs.filter("app_name = 'a'").select("dataset_info.train_years").first()[0] == [1995, 1996]
 
 

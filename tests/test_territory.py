@@ -1,9 +1,11 @@
 """Polygon-to-pixel labels against a brute-force even-odd test."""
 
+import random
+
 import numpy as np
 import pytest
 
-from terrapix.operators.territory import presence_labels, ring_edges, study_area, valid_territories
+from terrapix.operators.territory import Raster, presence_labels, ring_edges, study_area, valid_territories
 
 
 def brute_inside(px, py, ring):
@@ -57,3 +59,30 @@ def test_study_area_and_validity(spark):
     assert (a["x0"], a["y0"], a["x1"], a["y1"]) == (-1.0, -1.0, 5.0, 5.0)
     with pytest.raises(RuntimeError):
         valid_territories(terr.filter("poly_id = 2"))
+
+
+def test_offset_north_up_raster_by_true_centres(spark):
+    rng = random.Random(11)
+    raster = Raster(x0=100.0, y0=900.0, dx=30.0, dy=-30.0, n_cols=12, n_rows=9)
+    rings = []
+    for k in range(6):
+        ring = [(rng.uniform(50, 520), rng.uniform(580, 950)) for _ in range(rng.randint(3, 7))]
+        rings.append((k, 2000 + k % 2, ring if k % 2 else ring + ring[:1]))  # open and closed
+    rings += [(90, 2000, None), (91, 2000, []), (92, 2000, [(0.0, 0.0), (1.0, 1.0)])]
+    df = spark.createDataFrame(rings, "poly_id int, year int, ring array<struct<x:double,y:double>>")
+    edges = ring_edges(valid_territories(df))
+    cells = [(r * 12 + c, 100 + (c + 0.5) * 30.0, 900 - (r + 0.5) * 30.0) for r in range(9) for c in range(12)]
+    grid = spark.createDataFrame(cells, "pixel_id int, px double, py double")
+    got = {(r["year"], r["pixel_id"]): r["presence"] for r in presence_labels(grid, edges, raster).collect()}
+
+    def inside(px, py, ring):
+        hit = False
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+            if (y1 > py) != (y2 > py) and px < (x2 - x1) * (py - y1) / (y2 - y1) + x1:
+                hit = not hit
+        return hit
+
+    want = {(y, i): int(any(inside(px, py, ring) for _, yy, ring in rings[:6] if yy == y))
+            for y in (2000, 2001) for i, px, py in cells}
+    assert got == want and 0 < sum(want.values()) < len(want)
+    assert presence_labels(grid, edges.limit(0), raster).count() == 0
