@@ -78,7 +78,7 @@ def trial_params(trial: dict) -> dict:
 
     ``colsample_bytree`` becomes a fractional ``featureSubsetStrategy``;
     ``reg_lambda`` / ``reg_alpha`` / ``missing`` have no equivalent and are
-    ignored (they are still recorded with the run).
+    ignored; the run row records the first two as given.
     """
     out = {}
     for k, v in trial.items():
@@ -146,11 +146,37 @@ RUN_SCHEMA = T.StructType([
     T.StructField("weight_ratio", T.DoubleType()),
     T.StructField("max_depth", T.LongType()), T.StructField("eta", T.DoubleType()),
     T.StructField("num_round", T.LongType()),
+    *[T.StructField(h, T.DoubleType()) for h in ("subsample", "colsample_bytree", "min_child_weight", "reg_lambda", "reg_alpha")],
+    *[T.StructField(f"{s}_years", T.ArrayType(T.IntegerType())) for s in ("train", "val", "test")],
+    T.StructField("model_output_path", T.StringType()),
     T.StructField("val_auc", T.DoubleType()), T.StructField("val_pr_auc", T.DoubleType()),
     T.StructField("test_auc", T.DoubleType()), T.StructField("test_pr_auc", T.DoubleType()),
 ])
 
 
+def recorded(trial: dict, native: bool) -> list[float | None]:
+    """The other hyperparameters of a trial as given, whether the trainer has them or not; null where not given."""
+    subsample = trial.get("subsamplingRate" if native else "subsample")
+    child = trial.get("minInstancesPerNode" if native else "min_child_weight")
+    rest = [None if native else trial.get(h) for h in ("colsample_bytree", "reg_lambda", "reg_alpha")]
+    return [None if v is None else float(v) for v in (subsample, rest[0], child, *rest[1:])]
+
+
+def run_documents(runs: DataFrame, config_path: str | None = None, samples_path: str | None = None) -> DataFrame:
+    """Run rows as nested run documents: what ``write_metrics`` writes and ``read_run_metrics`` reads."""
+    def part(names: list[str]):
+        return F.struct(*[F.col(n) for n in names])
+
+    return runs.select(
+        F.lit(config_path).cast("string").alias("config_path"), "app_name", "timestamp", "model_output_path",
+        F.lit(samples_path).cast("string").alias("samples_path"),
+        part(["train_samples", "val_samples", "test_samples", "train_years", "val_years", "test_years",
+              "pos_count", "neg_count", "weight_ratio"]).alias("dataset_info"),
+        part(["max_depth", "eta", "num_round", "subsample", "colsample_bytree", "min_child_weight", "reg_lambda",
+              "reg_alpha"]).alias("hyperparameters"),
+        part(["val_auc", "val_pr_auc", "test_auc", "test_pr_auc"]).alias("metrics"))
+
+
 def train_eval(df: DataFrame, params: dict | None = None, app_name: str = "gbt",
                train_years=TRAIN_YEARS, val_years=VAL_YEARS, test_years=TEST_YEARS,
                model_path: str | None = None) -> DataFrame:
@@ -201,6 +227,8 @@ def tuning_sweep(df: DataFrame, trials: list[dict], train_years=TRAIN_YEARS, val
         out.append((name, datetime.now(timezone.utc).isoformat(),
                     pos + neg, cnt.get(("val", 1), 0) + cnt.get(("val", 0), 0),
                     cnt.get(("test", 1), 0) + cnt.get(("test", 0), 0), pos, neg, float(ratio),
-                    int(p["maxDepth"]), float(p["stepSize"]), int(p["maxIter"]),
+                    int(p["maxDepth"]), float(p["stepSize"]), int(p["maxIter"]), *recorded(t, native),
+                    year_list(train_years), year_list(val_years), year_list(test_years),
+                    f"{model_path.rstrip('/')}/{name}" if model_path else None,
                     areas["val"][0], areas["val"][1], areas["test"][0], areas["test"][1]))
     return literal_rows(spark, out, RUN_SCHEMA)

@@ -250,20 +250,17 @@ def q_best_model(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------------------ model training
 
-# Small configuration for the registered runs (the library default is the
-# published 10 x 100); the sweep takes its depths from the run documents.
-REGISTERED_GBT = {"maxDepth": 4, "maxIter": 5}
-
 
 def q_train_eval_gbt(spark: SparkSession, sf: str) -> DataFrame:
-    return model.train_eval(aligned_table(spark, sf), REGISTERED_GBT, app_name="gbt_registered")
+    return model.train_eval(aligned_table(spark, sf), app_name="gbt_registered")
 
 
 def q_tuning_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    depths = sorted({r["max_depth"] for r in _runs(spark, sf).select("max_depth").distinct().collect()
-                     if r["max_depth"] is not None})
-    trials = [{"app_name": f"depth_{d}", "max_depth": d, "eta": 0.1, "num_round": REGISTERED_GBT["maxIter"]}
-              for d in depths]
+    """One model for each distinct set of hyperparameters in the run documents; what they leave out is the published default."""
+    names = list(report.HYPERPARAMETER_NAMES)
+    sets = _runs(spark, sf).select(*names).distinct().orderBy(*names).collect()  # configurations, not data
+    trials = [{"app_name": f"trial_{i}", **{k: v for k, v in r.asDict().items() if v is not None}}
+              for i, r in enumerate(sets)]
     return model.tuning_sweep(aligned_table(spark, sf), trials)
 
 

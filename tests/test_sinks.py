@@ -7,7 +7,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from terrapix.operators.model import evaluate, evaluate_saved, positive_probability, train
+from terrapix.operators.model import (
+    evaluate,
+    evaluate_saved,
+    positive_probability,
+    run_documents,
+    train,
+    trial_params,
+    tuning_sweep,
+)
 from terrapix.operators.metrics import scores
 from terrapix.sources.sinks import (
     read_run_metrics,
@@ -18,7 +26,7 @@ from terrapix.sources.sinks import (
     write_samples,
 )
 from terrapix.sources.tables import SAMPLE_SCHEMA, read_samples
-from terrapix.operators.report import flatten_run_metrics
+from terrapix.operators.report import flatten_run_metrics, leaderboard
 
 FEATURES = ["BLUE", "GREEN", "RED", "NIR", "SWIR1", "SWIR2", "NDVI", "EVI", "NDWI", "NBR", "BSI", "NDSI"]
 
@@ -96,3 +104,28 @@ def test_model_save_load_same_auc(spark, tmp_path):
     s = scores(model.transform(df)).first()
     assert 0.0 <= s["predicted_prob"] <= 1.0
     assert positive_probability(model.transform(df)).filter("prob < 0 OR prob > 1").count() == 0
+
+
+def test_sweep_rows_become_documents_on_the_leaderboard(spark, tmp_path):
+    df = spark.createDataFrame(samples_pdf(600, 2), SAMPLE_SCHEMA)
+    trials = [{"app_name": "deep", "max_depth": 3, "eta": 0.2, "num_round": 2, "subsample": 0.8, "reg_lambda": 5.0},
+              {"app_name": "flat", "max_depth": 1, "num_round": 1, "min_child_weight": 2, "colsample_bytree": 1.0}]
+    runs = tuning_sweep(df, trials)
+    write_metrics(run_documents(runs, "configs/x.yaml", "samples/54m"), str(tmp_path / "runs"))
+    back = read_run_metrics(spark, str(tmp_path / "runs"), pattern="*.json", multiline=False)
+    assert unreadable_runs(back).count() == 0
+    first = back.filter("app_name = 'deep'").first()
+    assert first["dataset_info"]["train_years"] == list(range(1995, 2016)) and first["config_path"] == "configs/x.yaml"
+    flat = {r["app_name"]: r for r in flatten_run_metrics(back).collect()}
+    assert (flat["deep"]["max_depth"], flat["deep"]["subsample"], flat["deep"]["reg_lambda"], flat["deep"]["min_child_weight"]) == (3, 0.8, 5.0, None)
+    assert (flat["flat"]["min_child_weight"], flat["flat"]["colsample_bytree"], flat["flat"]["eta"]) == (2.0, 1.0, 0.1)
+    board = leaderboard(flatten_run_metrics(back), None).collect()
+    assert [r["rank"] for r in board] == [1, 2] and board[0]["val_auc"] >= board[1]["val_auc"]
+    assert board[0]["val_auc"] == max(r["val_auc"] for r in runs.collect())
+
+
+def test_trial_parameters_map_to_the_trainer():
+    got = trial_params({"max_depth": 8.0, "eta": "0.1", "subsample": 0.8, "min_child_weight": 0, "colsample_bytree": 0.6,
+                        "reg_alpha": 1, "missing": 0, "gamma": None, "num_round": 300})
+    assert got == {"maxDepth": 8, "stepSize": 0.1, "subsamplingRate": 0.8, "minInstancesPerNode": 1,
+                   "featureSubsetStrategy": "0.6", "maxIter": 300}
