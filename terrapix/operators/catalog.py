@@ -31,7 +31,15 @@ def _cells(df: DataFrame, cell: float, p: str) -> DataFrame:
     return df.withColumn("_cx", F.explode(rng("x0", "x1"))).withColumn("_cy", F.explode(rng("y0", "y1")))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, cell: float = 10.0,
+def typical_side(*tables: DataFrame) -> float:
+    """The largest of the tables' median rectangle sides: the grid cell at which a typical
+    rectangle of any of them touches a handful of cells, whatever the unit."""
+    sides = [t.agg(F.greatest(F.percentile_approx(F.col("x1") - F.col("x0"), 0.5),
+                              F.percentile_approx(F.col("y1") - F.col("y0"), 0.5))).first()[0] for t in tables]
+    return max([float(s) for s in sides if s], default=1.0)
+
+
+def overlap_join(left: DataFrame, right: DataFrame, cell: float | None = None,
                  lprefix: str = "l_", rprefix: str = "r_") -> DataFrame:
     """All pairs of intersecting rectangles (``x0 y0 x1 y1`` on both sides).
 
@@ -40,8 +48,10 @@ def overlap_join(left: DataFrame, right: DataFrame, cell: float = 10.0,
     it into a broadcast join when one side is measured small at run time).
     A pair sharing several cells is emitted only in the cell holding the
     lower-left corner of the intersection, so no de-duplication shuffle is
-    needed.  Columns of each side get the given prefixes.
+    needed.  Columns of each side get the given prefixes.  ``cell`` is the
+    grid step in the tables' unit; by default it is taken from their sizes.
     """
+    cell = cell or typical_side(left, right)
     lp = _cells(left.select(*[F.col(c).alias(lprefix + c) for c in left.columns]), cell, lprefix)
     rp = _cells(right.select(*[F.col(c).alias(rprefix + c) for c in right.columns]), cell, rprefix)
     j = lp.join(rp, ["_cx", "_cy"], "inner")
@@ -54,7 +64,7 @@ def overlap_join(left: DataFrame, right: DataFrame, cell: float = 10.0,
 
 
 def aoi_scenes(scenes: DataFrame, aoi: DataFrame, start: str = CATALOG_START, end: str = CATALOG_END,
-               max_cloud: float = MAX_CLOUD, cell: float = 10.0) -> DataFrame:
+               max_cloud: float = MAX_CLOUD, cell: float | None = None) -> DataFrame:
     """(aoi_id, scene_id, collection, acquired, cloud) for scenes passing the
     date / cloud filters whose footprint intersects the AOI."""
     s = filter_scenes(scenes, start=start, end=end, max_cloud=max_cloud)

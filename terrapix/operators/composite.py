@@ -26,11 +26,12 @@ def yearly_composite(
     masked and indexed (``spectral_observations``); the merged sensors are just
     rows of the same DataFrame (bag union).  All years are computed in one job.
     Each band's median is taken independently over its own observations, and
-    ``pixel_count`` counts the observations with an NDVI value.
+    ``pixel_count`` counts the observations with an NDVI value, also where
+    ``bands`` leaves NDVI out.
     """
     keys = list(keys)
-    out = exact_medians(obs, keys, list(bands), counts={"pixel_count": "NDVI"},
-                        num_partitions=num_partitions)
+    values = list(dict.fromkeys([*bands, "NDVI"]))
+    out = exact_medians(obs, keys, values, counts={"pixel_count": "NDVI"}, num_partitions=num_partitions)
     out = out.withColumn("pixel_count", F.col("pixel_count").cast("double"))
     if as_float:
         out = out.withColumns({b: F.col(b).cast("float") for b in [*bands, "pixel_count"]})

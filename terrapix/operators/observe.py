@@ -28,14 +28,6 @@ from terrapix.functions.spectral import (
 RAW_BANDS = ("b1", "b2", "b3", "b4", "b5", "b6", "b7")
 
 
-def overlaps(a: str = "", b: str = "") -> F.Column:
-    """Closed rectangle intersection between footprints ``a.*`` and ``b.*``."""
-    return (
-        (F.col(f"{a}x0") <= F.col(f"{b}x1")) & (F.col(f"{b}x0") <= F.col(f"{a}x1"))
-        & (F.col(f"{a}y0") <= F.col(f"{b}y1")) & (F.col(f"{b}y0") <= F.col(f"{a}y1"))
-    )
-
-
 def filter_scenes(
     scenes: DataFrame,
     bounds: tuple[float, float, float, float] | None = None,

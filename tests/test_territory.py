@@ -5,6 +5,8 @@ import random
 import numpy as np
 import pytest
 
+from terrapix.operators.catalog import overlap_join, typical_side
+from terrapix.operators.composite import yearly_composite
 from terrapix.operators.territory import Raster, presence_labels, ring_edges, study_area, valid_territories
 
 
@@ -86,3 +88,21 @@ def test_offset_north_up_raster_by_true_centres(spark):
             for y in (2000, 2001) for i, px, py in cells}
     assert got == want and 0 < sum(want.values()) < len(want)
     assert presence_labels(grid, edges.limit(0), raster).count() == 0
+
+
+def test_scene_join_takes_its_grid_from_the_data(spark):
+    rng = random.Random(3)
+    scenes = [(i, x, y, x + 185_000.0, y + 180_000.0) for i in range(60) for x, y in [(rng.uniform(0, 2e6), rng.uniform(0, 2e6))]]
+    areas = [(i, x, y, x + s, y + s) for i in range(15) for x, y, s in [(rng.uniform(0, 2e6), rng.uniform(0, 2e6), rng.choice([0.0, 3e4, 5e5]))]]
+    a = spark.createDataFrame(areas, "id int, x0 double, y0 double, x1 double, y1 double")
+    s = spark.createDataFrame(scenes, "id int, x0 double, y0 double, x1 double, y1 double")
+    assert typical_side(s) == 185_000.0 and typical_side(s.limit(0)) == 1.0
+    got = sorted((r["l_id"], r["r_id"]) for r in overlap_join(a, s).collect())
+    assert got == sorted((i, j) for i, p, q, u, v in areas for j, x0, y0, x1, y1 in scenes if p <= x1 and x0 <= u and q <= y1 and y0 <= v)
+
+
+def test_composite_without_ndvi_still_counts_it(spark):
+    obs = spark.createDataFrame([(2000, 1, 0.1, 0.5), (2000, 1, 0.3, None), (2001, 1, None, 0.2)], "year int, pixel_id int, RED double, NDVI double")
+    rows = {r["year"]: (r["RED"], r["pixel_count"]) for r in
+            yearly_composite(obs, bands=("RED",), as_float=False, with_metadata=False).collect()}
+    assert rows == {2000: (0.2, 1.0), 2001: (None, 1.0)}
