@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrapix.sources.store import materialize
+from terrapix.sources.store import discard, materialize
 
 
 # Beyond so many partitions the carries are joined by a shuffle.
@@ -107,6 +107,11 @@ def running_totals(
     return out.drop(*drop)
 
 
+# A key of up to so many rows is aggregated by one task: with a dozen value
+# columns that is a few MB of buffer, for any key.
+MAX_GROUP_ROWS = 4096
+
+
 def exact_medians(
     df: DataFrame,
     keys: list[str],
@@ -114,19 +119,52 @@ def exact_medians(
     *,
     counts: dict[str, str] | None = None,
     num_partitions: int | None = None,
+    max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Exact median of each value column per key, skew-safe.
 
-    Same result as ``groupBy(keys).agg(median(v))`` (average of the two middle
-    values for an even count; NULLs ignored; NULL for no values), but no group
-    is ever held by one task: values are unpivoted, pre-aggregated to
-    (key, column, value, count) with a map-side combine, ranked with
-    ``running_totals`` and only the (at most two) middle values per key and
-    column are shuffled to the final aggregate.
+    The average of the two middle values for an even count; NULLs ignored; NULL
+    for no values.  Rows are counted per key first (key columns only, partial
+    counts before the shuffle).  Keys of up to ``max_group_rows`` rows take the
+    built-in aggregate; rows of larger keys go through ``split_medians``, which
+    holds no key in one task.  Both give the same values.
 
     ``counts`` maps an output name to one of ``values``: that column's count of
-    non-NULL values per key comes out of the same pass (no second scan).
-    Keys without any non-NULL value are absent from the result.
+    non-NULL values per key.  ``keys`` are non-null; keys without any non-NULL
+    value are absent from the result.  Runs the count eagerly.
+    """
+    keys = list(keys)
+    large = materialize(df.groupBy(*keys).agg(F.count("*").alias("_rows"))
+                        .filter(F.col("_rows") > max_group_rows).select(*keys), "large-keys")
+    if large.isEmpty():
+        discard(large)
+        return group_medians(df, keys, values, counts)
+    small = group_medians(df.join(large, keys, "left_anti"), keys, values, counts)
+    return small.unionByName(
+        split_medians(df.join(large, keys, "left_semi"), keys, values, counts=counts, num_partitions=num_partitions))
+
+
+def group_medians(df: DataFrame, keys: list[str], values: list[str], counts: dict[str, str] | None = None) -> DataFrame:
+    """Medians and counts by one aggregate; a key's values meet in one task."""
+    out = df.groupBy(*keys).agg(
+        *[F.median(F.col(v).cast("double")).alias(v) for v in values],
+        *[F.count(v).alias(name) for name, v in (counts or {}).items()])
+    return out.filter(F.coalesce(*values).isNotNull())
+
+
+def split_medians(
+    df: DataFrame,
+    keys: list[str],
+    values: list[str],
+    *,
+    counts: dict[str, str] | None = None,
+    num_partitions: int | None = None,
+) -> DataFrame:
+    """``exact_medians`` for keys of any size.
+
+    Values are unpivoted, pre-aggregated to (key, column, value, count) with a
+    map-side combine, ranked with ``running_totals``, and only the (at most
+    two) middle values per key and column are shuffled to the final aggregate.
     """
     keys = list(keys)
     vals = F.array(*[F.struct(F.lit(i).alias("c"), F.col(v).cast("double").alias("v"))

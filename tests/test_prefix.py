@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from terrapix.operators.prefix import exact_medians, running_totals
+from terrapix.operators.prefix import exact_medians, running_totals, split_medians
 
 
 def frame(seed, n=3000, keys=4, hot=0.6):
@@ -40,11 +40,11 @@ def test_running_totals_global_descending(spark):
 
 @settings(max_examples=6, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 2), st.integers(-5, 5) | st.none()), min_size=1, max_size=60),
-       st.integers(1, 6))
-def test_exact_medians_property(spark, rows, parts):
+       st.integers(1, 6), st.sampled_from([0, 10, 4096]))
+def test_exact_medians_property(spark, rows, parts, limit):
     pdf = pd.DataFrame(rows, columns=["k", "v"]).astype({"v": "float64"})
     out = exact_medians(spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "k long, v double"),
-                        ["k"], ["v"], counts={"n": "v"}, num_partitions=parts).toPandas()
+                        ["k"], ["v"], counts={"n": "v"}, num_partitions=parts, max_group_rows=limit).toPandas()
     ref = pdf.dropna().groupby("k")["v"].agg(["median", "count"])
     got = out.set_index("k").sort_index()
     assert list(got.index) == list(ref.index)
@@ -55,6 +55,15 @@ def test_exact_medians_property(spark, rows, parts):
 def test_exact_medians_match_builtin_on_hot_group(spark):
     pdf = frame(11, n=5000, keys=3, hot=0.9).assign(x=lambda d: (d["o"] % 97) / 7.0, y=lambda d: d["w"] * 1.5)
     df = spark.createDataFrame(pdf)
-    ours = exact_medians(df, ["k"], ["x", "y"], num_partitions=12).toPandas().set_index("k").sort_index()
+    ours = split_medians(df, ["k"], ["x", "y"], num_partitions=12).toPandas().set_index("k").sort_index()
     ref = df.groupBy("k").agg(F.median("x").alias("x"), F.median("y").alias("y")).toPandas().set_index("k").sort_index()
     assert np.allclose(ours.to_numpy(), ref.to_numpy())
+
+
+def test_exact_medians_split_only_the_large_keys(spark):
+    pdf = frame(5, n=2000, keys=6, hot=0.7).assign(x=lambda d: (d["o"] % 89) / 3.0)
+    df = spark.createDataFrame(pdf)
+    ours = exact_medians(df, ["k"], ["x"], counts={"n": "x"}, max_group_rows=200).toPandas().set_index("k").sort_index()
+    ref = pdf.groupby("k")["x"].agg(["median", "count"])
+    assert (ref["count"] > 200).any() and (ref["count"] <= 200).any()
+    assert np.allclose(ours["x"], ref["median"]) and ours["n"].tolist() == ref["count"].tolist()
