@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -177,14 +178,16 @@ def pieces(buf: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, str], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """This Python worker's encoder; the pieces it remembers serve all tasks that the worker runs."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, run: str) -> Encoder:
+    """This Python worker's encoder for one run of ``write_shards``; its tasks share the pieces remembered,
+    and what an earlier run remembered is let go."""
+    if (path, run) not in _encoders:
+        _encoders.clear()
+        _encoders[path, run] = Encoder(path)
+    return _encoders[path, run]
 
 
 class Encoder:
@@ -295,6 +298,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, do
     """
     spark = docs.sparkSession
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    run = uuid.uuid4().hex
     body = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     tie = F.xxhash64("text")
     dealt = (body.withColumn("tie", tie).repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
@@ -304,7 +308,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, do
         from pyspark import TaskContext
 
         shard, block, offset = TaskContext.get().partitionId(), 0, 0
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, run)
         ids, lengths, docs_, nulls, held = [], [], [], [], 0
 
         def close():
