@@ -52,14 +52,15 @@ class WaveletMatrix:
         levels = max(0, int(len(alphabet) - 1).bit_length()) if len(alphabet) else 0
         planes, zeros, counts = [], [], []
         for level in range(levels):
-            bit = (cur >> wide(levels - 1 - level)) & wide(1)
-            one = bit.astype(bool)
+            one = (cur & wide(1 << (levels - 1 - level))) != 0
             packed = np.packbits(one, bitorder="little")
             planes.append(packed)
             ones = np.add.reduceat(np.bitwise_count(packed).astype(np.uint32), np.arange(0, len(packed), SAMPLE // 8))
             counts.append(np.concatenate(([0], np.cumsum(ones)[:-1])).astype(np.uint32))
-            cur = np.concatenate((cur[~one], cur[one]))
-            zeros.append(n - int(one.sum()))
+            # Places first: on mixed bits this is several times faster than a mask.
+            ones_at = np.flatnonzero(one)
+            cur = np.concatenate((cur.take(np.flatnonzero(~one)), cur.take(ones_at)))
+            zeros.append(n - len(ones_at))
         width, blocks = (n + 7) // 8, -(-((n + 7) // 8) // (SAMPLE // 8))
         return cls(n, alphabet, np.array(zeros, dtype=np.uint32),
                    np.concatenate(planes).reshape(levels, width) if levels else np.zeros((0, width), np.uint8),
@@ -141,8 +142,8 @@ class WaveletMatrix:
             one = np.unpackbits(self.planes[level], count=self.n, bitorder="little").astype(bool)
             z = int(self.zeros[level])
             up = np.empty_like(cur)
-            up[~one] = cur[:z]
-            up[one] = cur[z:] | wide(1 << (levels - 1 - level))
+            up[np.flatnonzero(~one)] = cur[:z]
+            up[np.flatnonzero(one)] = cur[z:] | wide(1 << (levels - 1 - level))
             cur = up
         return self.alphabet[cur] if self.n else np.empty(0, dtype=np.uint32)
 
