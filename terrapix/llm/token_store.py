@@ -29,7 +29,8 @@ from terrapix.llm.text_hash import span_hashes
 
 BLOCK_TOKENS = 1 << 20   # a block ends with the document that reaches this
 SAMPLE = 512             # bits between two sampled counts of ones
-VOCAB_KEPT = 2_000_000    # pieces whose ids a task remembers before it starts anew
+VOCAB_KEPT = 2_000_000    # pieces whose ids a worker remembers before it starts anew
+RECENT_BITS = 20          # of a piece's hash: slots for the pieces last met
 
 BLOCK = ("shard int, block int, shard_offset long, n_tokens long, n_docs long, doc_ids binary, doc_null binary, "
          "doc_lengths binary, alphabet binary, zeros binary, planes binary, counts binary")
@@ -210,9 +211,13 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known = np.empty(0, dtype=np.uint64)  # sorted hashes, and their pieces' places in the pool
+        self.known, self.number = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)  # sorted hashes, whose pieces
+        self.name = np.empty(0, dtype=np.uint64)  # by piece: hash, and place and number of its ids in the pool
         self.begin, self.size = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
         self.pool = np.empty(0, dtype=np.uint32)
+        # The piece last met for each value of the hash's high bits: most spans are found here, without a sort.
+        self.recent_name = np.zeros(1 << RECENT_BITS, dtype=np.uint64)
+        self.recent = np.zeros(1 << RECENT_BITS, dtype=np.int32)
 
     def _ids(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids end to end, the order of the pieces there, and the number of ids of each piece.
@@ -242,11 +247,37 @@ class Encoder:
         ids, order, size = self._ids(new)
         begin = np.empty(len(new), dtype=np.int64)
         begin[order] = len(self.pool) + np.cumsum(size[order]) - size[order]
+        number = np.arange(len(self.name), len(self.name) + len(new))
         self.pool = np.concatenate([self.pool, ids])
+        self.name = np.concatenate([self.name, name])
+        self.begin, self.size = np.concatenate([self.begin, begin]), np.concatenate([self.size, size])
         at = np.argsort(np.concatenate([self.known, name]), kind="stable")
         self.known = np.concatenate([self.known, name])[at]
-        self.begin = np.concatenate([self.begin, begin])[at]
-        self.size = np.concatenate([self.size, size])[at]
+        self.number = np.concatenate([self.number, number])[at]
+
+    def _numbers(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The piece of each span; pieces not met before are encoded."""
+        hashes = span_hashes(buf, start, end)
+        slot = (hashes >> np.uint64(64 - RECENT_BITS)).astype(np.int64)
+        out = self.recent[slot].astype(np.int64)
+        miss = np.flatnonzero(self.recent_name[slot] != hashes)
+        if len(miss):
+            name, at, of = np.unique(hashes[miss], return_index=True, return_inverse=True)
+            place = np.searchsorted(self.known, name)
+            have = np.zeros(len(name), dtype=bool)
+            inner = place < len(self.known)
+            have[inner] = self.known[place[inner]] == name[inner]
+            if not have.all():
+                new = miss[at[~have]]
+                data = buf.tobytes()
+                self._learn(name[~have], [data[a:b] for a, b in zip(start[new].tolist(), end[new].tolist())])
+                place = np.searchsorted(self.known, name)
+            number = self.number[place]
+            out[miss] = number[of]
+            slot = (name >> np.uint64(64 - RECENT_BITS)).astype(np.int64)
+            self.recent[slot] = number
+            self.recent_name[slot] = self.name[self.recent[slot]]
+        return out
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by ``end_id``; number of ids of each)."""
@@ -268,17 +299,8 @@ class Encoder:
                     inside[first[i] + 1:first[i] + length[i]] = True
                 start = start[~inside[start]]
             end = np.append(start[1:], len(buf))
-            name, at, of = np.unique(span_hashes(buf, start, end), return_index=True, return_inverse=True)
-            place = np.searchsorted(self.known, name)
-            have = np.zeros(len(name), dtype=bool)
-            inner = place < len(self.known)
-            have[inner] = self.known[place[inner]] == name[inner]
-            if not have.all():
-                new = at[~have]
-                data = buf.tobytes()
-                self._learn(name[~have], [data[a:b] for a, b in zip(start[new].tolist(), end[new].tolist())])
-                place = np.searchsorted(self.known, name)
-            begin, size = self.begin[place][of], self.size[place][of]
+            piece = self._numbers(buf, start, end)
+            begin, size = self.begin[piece], self.size[piece]
             done = np.cumsum(size)
             ids = self.pool[np.repeat(begin - (done - size), size) + np.arange(done[-1])]
             owner = np.searchsorted(first, start, side="right") - 1
