@@ -263,6 +263,19 @@ FROM grid30 g CROSS JOIN years30 y LEFT JOIN pos30 p ON p.pixel_id = g.pixel_id
         "\nSELECT * FROM hout")
     q["aligned_pixels"] = _ctes(["raw_obs", "grid", "edges", "nlcd"], ALIGNED) + (
         f"\nSELECT pixel_id, year, {_r(ALL + ('pixel_count',), 6)}, presence, nlcd_class FROM aligned")
+    # Classes of the training years by frequency, ties in string order; a class unseen there has the next index.
+    bands = ", ".join("CASE WHEN (c.pixel_id + c.year) % 17 = 0 THEN NULL WHEN (c.pixel_id + c.year) % 19 = 0"
+                      " THEN CAST('nan' AS DOUBLE) ELSE c.NIR END AS NIR" if b == "NIR" else f"c.{b}" for b in ALL)
+    q["feature_rows"] = _ctes(["raw_obs", "grid", "nlcd"], COMPOSITE + [
+        ("feat", f"""SELECT c.year, c.pixel_id, {bands}, CASE WHEN c.year >= 2016 AND c.pixel_id % 5 = 0 THEN 99
+ ELSE n.nlcd_class END AS nlcd_class FROM comp c JOIN nlcd n ON n.pixel_id = c.pixel_id"""),
+        ("seen", """SELECT nlcd_class, CAST(row_number() OVER (ORDER BY count(*) DESC, CAST(nlcd_class AS VARCHAR)) - 1 AS INT)
+ AS idx FROM feat WHERE year BETWEEN 1995 AND 2015 GROUP BY nlcd_class"""),
+        ("n_seen", "SELECT CAST(count(*) AS INT) AS n FROM seen"),
+    ]) + (f"\nSELECT f.year, f.pixel_id, f.nlcd_class, coalesce(s.idx, n.n) AS nlcd_indexed, {len(ALL)} + n.n AS n_features,"
+          " coalesce(s.idx, -1) AS hot, " + ", ".join(f"round(f.{b}, 6) AS f{i}" for i, b in enumerate(ALL))
+          + " FROM feat f CROSS JOIN n_seen n LEFT JOIN seen s ON s.nlcd_class = f.nlcd_class WHERE "
+          + " AND ".join(f"f.{b} IS NOT NULL AND NOT isnan(f.{b})" for b in ALL))
     q["stratified_sample"] = _ctes(["raw_obs", "grid", "edges", "nlcd"], SAMPLE) + (
         f"\nSELECT pixel_id, year, {_r(ALL + ('pixel_count',), 6)}, presence, nlcd_class FROM sample")
     q["stratified_sample_capped"] = _ctes(["grid", "edges"], LABELS + [

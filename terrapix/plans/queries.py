@@ -251,6 +251,29 @@ def q_best_model(spark: SparkSession, sf: str) -> DataFrame:
 # ------------------------------------------------------------ model training
 
 
+def q_feature_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Feature stages fitted on the training years, applied to every composite pixel-year; the vector as columns.
+
+    Some bands are blanked and one class occurs in later years only, so that skipped rows and unseen classes show.
+    """
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+
+    p, y = F.col("pixel_id"), F.col("year")
+    rows = (composite_table(spark, sf).join(fx.nlcd(spark, sf), "pixel_id")
+            .select("year", "pixel_id", *[F.col(b).cast("double").alias(b) for b in BANDS], "nlcd_class")
+            .withColumn("NIR", F.when((p + y) % 17 == 0, F.lit(None)).when((p + y) % 19 == 0, F.lit(float("nan")))
+                        .otherwise(F.col("NIR")))
+            .withColumn("nlcd_class", F.when((y >= 2016) & (p % 5 == 0), 99).otherwise(F.col("nlcd_class"))))
+    fitted = Pipeline(stages=model.feature_stages()).fit(rows.filter(model.in_years("year", model.TRAIN_YEARS)))
+    out = fitted.transform(rows).withColumn("f", vector_to_array("features"))
+    n = len(BANDS)
+    hot = F.array_position(F.slice("f", F.lit(n + 1), F.size("f") - n), F.lit(1.0)).cast("int") - 1
+    return rounded(out.select("year", "pixel_id", "nlcd_class", F.col("nlcd_indexed").cast("int").alias("nlcd_indexed"),
+                              F.size("f").alias("n_features"), hot.alias("hot"),
+                              *[F.col("f")[i].alias(f"f{i}") for i in range(n)]))
+
+
 def q_train_eval_gbt(spark: SparkSession, sf: str) -> DataFrame:
     return model.train_eval(aligned_table(spark, sf), app_name="gbt_registered")
 
@@ -297,6 +320,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "leaderboard_full": q_leaderboard_full,
     "run_documents": q_run_documents,
     "best_model": q_best_model,
+    "feature_rows": q_feature_rows,
     "train_eval_gbt": q_train_eval_gbt,
     "tuning_sweep": q_tuning_sweep,
 }
