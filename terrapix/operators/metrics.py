@@ -60,7 +60,7 @@ def score_points(df: DataFrame, label: str = "presence", score: str = "prob",
         F.count(F.when(F.col(label) == 1, 1)).alias("pos"),
         F.count(F.when(F.col(label) != 1, 1)).alias("neg"))
     r = running_totals(g, by, [F.col("threshold").desc()], {"pos": "pos", "neg": "neg"},
-                       with_total=True, num_partitions=num_partitions)
+                       with_total=True, num_partitions=num_partitions, along=-F.col("threshold"))
     return r.select(*by, "threshold", "pos", "neg", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),
                     F.col("tot_pos").alias("n_pos"), F.col("tot_neg").alias("n_neg"))
 

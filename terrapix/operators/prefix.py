@@ -2,10 +2,10 @@
 
 ``Window.partitionBy(key).orderBy(x)`` puts every row of a key into one task,
 so a key holding a third of the data becomes a single straggler (or an OOM).
-``running_totals`` instead range-partitions on ``(key, order)``: a hot key is
-spread over many consecutive partitions, each partition computes local running
-sums, and a window over the totals of each key in each partition supplies the
-carry-in for keys that cross a partition boundary.  Nothing passes the driver.
+``running_totals`` instead cuts the order into slices, so that a hot key is
+spread over many tasks; each task computes running sums inside a slice, and a
+window over the totals of each key in each slice supplies the carry-in.
+Nothing passes the driver.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from terrapix.sources.store import discard, materialize
 
 # Beyond so many partitions the carries are joined by a shuffle.
 MAX_BROADCAST_PARTITIONS = 200_000
+# Slices that quantiles of the order cut, at most, as a power of two.
+MAX_SLICE_BITS = 14
 
 
 def _num_partitions(df: DataFrame, n: int | None) -> int:
@@ -39,6 +41,27 @@ def _sort_col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def with_slice(df: DataFrame, along: Column, n: int) -> DataFrame:
+    """``df`` with ``_pid``, the slice of ``along`` (a numeric column) that a row lies in; nulls are in the last.
+
+    The cuts are approximate quantiles over the whole table, one array from a
+    scalar subquery of at most 2**MAX_SLICE_BITS numbers.  A binary search
+    finds the slice, so equal values share one, and slices rise with values.
+    """
+    bits = min(max(1, (n - 1).bit_length()), MAX_SLICE_BITS)
+    size = 1 << bits
+    x = along.cast("double")
+    points = F.expr(f"array({', '.join(f'{i / size}D' for i in range(1, size))})")  # must be a literal
+    cuts = df.agg(F.percentile_approx(x, points, 10 * size).alias("c")).scalar()
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(bits))])
+
+    def step(at: Column, width: Column) -> Column:
+        return at + F.when(F.get("_cuts", at + width - 1) < x, width).otherwise(F.lit(0))
+
+    found = F.when(x.isNull(), F.lit(size)).otherwise(F.aggregate(steps, F.lit(0), step))
+    return df.withColumn("_cuts", cuts).withColumn("_pid", found).drop("_cuts")
+
+
 def running_totals(
     df: DataFrame,
     keys: list[str],
@@ -47,6 +70,7 @@ def running_totals(
     *,
     with_total: bool = False,
     num_partitions: int | None = None,
+    along: Column | None = None,
 ) -> DataFrame:
     """Add inclusive running sums of ``weights`` within each key.
 
@@ -56,10 +80,15 @@ def running_totals(
     ``weights``: output name -> integral column.  Adds ``cum_<name>`` and, when
     ``with_total``, ``tot_<name>`` (the key's grand total).
 
-    Runs one job eagerly: the range-partitioned local sums are written to the
-    checkpoint folder, so every consumer sees one partition assignment.
+    ``along``: a numeric column that never falls along ``order`` (nulls where the
+    order has them, last), with few rows of a key at any one value.  Slices are
+    then cut by its quantiles, and the rows are shuffled once.  Without it they
+    are range-partitioned by the whole order, for which the windows inside a
+    partition shuffle them once more.
+
+    Runs one job eagerly: the rows are written to the checkpoint folder, so every
+    consumer sees the same ones.
     """
-    spark = df.sparkSession
     n = _num_partitions(df, num_partitions)
     keys = list(keys)
     drop_key = False
@@ -69,33 +98,34 @@ def running_totals(
     order_cols = [_sort_col(c) for c in order]
     names = list(weights)
     df = df.withColumns({f"_w_{k}": _sort_col(v).cast("long") for k, v in weights.items()})
-
-    # A hot key's range spans many partitions, never one task; the windows inside
-    # a partition then need its rows once more by (partition, key).
-    ranged = df.repartitionByRange(n, *[F.col(k) for k in keys], *order_cols)
-    ranged = ranged.withColumn("_pid", F.spark_partition_id())
     w_run = Window.partitionBy("_pid", *keys).orderBy(*order_cols).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     w_all = Window.partitionBy("_pid", *keys)
-    local = ranged.withColumns(
-        {f"_lc_{k}": F.sum(f"_w_{k}").over(w_run) for k in names}
-        | {f"_lt_{k}": F.sum(f"_w_{k}").over(w_all) for k in names}
-    ).drop(*[f"_w_{k}" for k in names])
-    local = materialize(local, "running-totals")
-
-    # Totals of each key in each partition it reaches, one row each; a window over
-    # them gives what came before a partition and the key's grand total.
-    per_part = local.groupBy(*keys, "_pid").agg(*[F.first(f"_lt_{k}").alias(f"_t_{k}") for k in names])
+    running = ({f"_lc_{k}": F.sum(f"_w_{k}").over(w_run) for k in names}
+               | {f"_lt_{k}": F.sum(f"_w_{k}").over(w_all) for k in names})
+    if along is None:
+        sliced = (df.repartitionByRange(n, *[F.col(k) for k in keys], *order_cols)
+                  .withColumn("_pid", F.spark_partition_id()))
+        local = materialize(sliced.withColumns(running).drop(*[f"_w_{k}" for k in names]), "running-totals")
+        per_slice = local.groupBy(*keys, "_pid").agg(*[F.first(f"_lt_{k}").alias(f"_t_{k}") for k in names])
+    else:
+        rows = materialize(df, "running-totals")
+        sliced = with_slice(rows, along, n)
+        local = sliced.withColumns(running).drop(*[f"_w_{k}" for k in names])
+        per_slice = sliced.groupBy(*keys, "_pid").agg(*[F.sum(f"_w_{k}").alias(f"_t_{k}") for k in names])
+
+    # Totals of each key in each slice it reaches, one row each; a window over
+    # them gives what came before a slice and the key's grand total.
     own = Window.partitionBy(*keys)
     before = own.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    crossing = (per_part.withColumn("_parts", F.count("*").over(own))
+    crossing = (per_slice.withColumn("_parts", F.count("*").over(own))
                 .withColumns({f"_c_{k}": F.sum(f"_t_{k}").over(before) for k in names}
                              | {f"_b_{k}": F.sum(f"_t_{k}").over(own) for k in names})
                 .filter(F.col("_parts") > 1)
                 .drop("_parts", *[f"_t_{k}" for k in names]))
-    # Only the first and the last key of a range can cross its ends, so these are
-    # two rows a partition at most, whatever the data.
-    small = F.broadcast(crossing) if n <= MAX_BROADCAST_PARTITIONS else crossing
+    # Of a range, only the first and the last key can cross its ends: two rows a
+    # partition at most, whatever the data.  Slices have no such bound.
+    small = F.broadcast(crossing) if along is None and n <= MAX_BROADCAST_PARTITIONS else crossing
     out = local.join(small, [*keys, "_pid"], "left")
     cols = {f"cum_{k}": F.col(f"_lc_{k}") + F.coalesce(F.col(f"_c_{k}"), F.lit(0)) for k in names}
     if with_total:
@@ -173,7 +203,7 @@ def split_medians(
             .filter(F.col("v").isNotNull()))
     freq = long.groupBy(*keys, "c", "v").agg(F.count("*").alias("n"))
     ranked = running_totals(freq, [*keys, "c"], ["v"], {"n": "n"},
-                            with_total=True, num_partitions=num_partitions)
+                            with_total=True, num_partitions=num_partitions, along=F.col("v"))
     lo = F.floor((F.col("tot_n") + 1) / 2)  # 1-based ranks of the two middle values
     hi = F.floor(F.col("tot_n") / 2) + 1
     first = F.col("cum_n") - F.col("n") + 1

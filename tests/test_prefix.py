@@ -38,6 +38,32 @@ def test_running_totals_global_descending(spark):
     assert set(out["tot_w"]) == {int(pdf["w"].sum())}
 
 
+@pytest.mark.parametrize("parts", [1, 3, 64])
+def test_running_totals_in_slices(spark, parts):
+    """Slices by quantiles: a hot key, a null and equal values that share a slice, falling order."""
+    pdf = frame(parts + 1)
+    df = spark.createDataFrame(pdf).withColumn("x", F.when(F.col("o") == 5, None).otherwise(F.col("o") % 50))
+    order = [F.col("x").desc_nulls_last(), "o"]
+    out = running_totals(df, ["k"], order, {"w": "w"}, with_total=True, num_partitions=parts, along=-F.col("x"))
+    got = out.toPandas().sort_values(["k", "o"])
+    ref = pdf.assign(x=lambda d: np.where(d["o"] == 5, 1e9, -(d["o"] % 50))).sort_values(["k", "x", "o"])
+    ref = ref.assign(cum=ref.groupby("k")["w"].cumsum(), tot=ref.groupby("k")["w"].transform("sum"))
+    ref = ref.sort_values(["k", "o"])
+    assert got["cum_w"].tolist() == ref["cum"].tolist()
+    assert got["tot_w"].tolist() == ref["tot"].tolist()
+
+
+def test_running_totals_in_slices_shuffle_rows_once(spark):
+    df = spark.range(50_000).select((F.col("id") % 3).alias("k"), F.xxhash64("id").alias("o"), F.lit(1).alias("w"))
+    out = running_totals(df, ["k"], ["o"], {"w": "w"}, num_partitions=16, along=F.col("o"))
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Subquery subquery")[0]
+    rows = [line for line in plan.splitlines() if "Exchange" in line and "broadcast" not in line.lower()]
+    assert sum("rangepartitioning" in line for line in rows) == 0
+    assert sorted(out.select("cum_w").toPandas().groupby("cum_w").size().tolist())[-1] <= 3
+    # one for the rows, one for partial totals of a slice, one for totals of a key, one to join them back
+    assert len(rows) <= 4
+
+
 @settings(max_examples=6, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 2), st.integers(-5, 5) | st.none()), min_size=1, max_size=60),
        st.integers(1, 6), st.sampled_from([0, 10, 4096]))
