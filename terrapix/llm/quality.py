@@ -24,8 +24,9 @@ from terrapix.sources.store import materialize
 
 BITS = 18              # 2**18 buckets bound the model, whatever the corpus
 MAX_TRAIN = 40_000     # labelled rows that the model is fitted on, at most (the first by hashed id)
-TRAIN_PARTS = 8        # partitions that train apart within a round
-ROUNDS = 3
+TRAIN_PARTS = 8        # partitions that train apart within a round, at most
+PART_ROWS = 5000       # rows of one of them; fewer rows need no averaging
+ROUNDS = 10
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.02
 THRESHOLD = 0.7
 
@@ -98,11 +99,13 @@ def ftrl_pass(z: np.ndarray, n: np.ndarray, rows: Iterator[tuple[float, np.ndarr
         n[idx] = new
 
 
-def train(rows: DataFrame, bits: int = BITS, rounds: int = ROUNDS, parts: int = TRAIN_PARTS) -> Model:
+def train(rows: DataFrame, bits: int = BITS, rounds: int = ROUNDS, parts: int | None = None) -> Model:
     """Fit on ``rows`` (id, text, y), of bounded number.
 
     Without a row, or with one class only, the model stays untrained.  What
     reaches the driver is the state, of 2**bits numbers, after each round.
+    ``parts`` partitions train apart (default: one for each ``PART_ROWS`` rows,
+    ``TRAIN_PARTS`` at most).
     """
     def extract(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -118,8 +121,10 @@ def train(rows: DataFrame, bits: int = BITS, rounds: int = ROUNDS, parts: int =
 
     table = materialize(rows.mapInPandas(extract, "id long, y double, idx array<int>, x array<float>"), "llm-train")
     model = Model(bits)
-    if table.select("y").distinct().count() < 2:
+    n, low, high = table.agg(F.count("*"), F.min("y"), F.max("y")).first()
+    if not n or low == high:
         return model
+    parts = parts or min(TRAIN_PARTS, -(-n // PART_ROWS))
     dealt = table.repartition(parts, F.xxhash64("id")).sortWithinPartitions(F.xxhash64("id"), "id")
     size = (1 << bits) + 1
     for _ in range(rounds):
