@@ -125,7 +125,8 @@ def train(rows: DataFrame, bits: int = BITS, rounds: int = ROUNDS, parts: int |
     if not n or low == high:
         return model
     parts = parts or min(TRAIN_PARTS, -(-n // PART_ROWS))
-    dealt = table.repartition(parts, F.xxhash64("id")).sortWithinPartitions(F.xxhash64("id"), "id")
+    # Shuffled once for all rounds; what a lost executor held is dealt again from the table.
+    dealt = table.repartition(parts, F.xxhash64("id")).sortWithinPartitions(F.xxhash64("id"), "id").persist()
     size = (1 << bits) + 1
     for _ in range(rounds):
         z0, n0 = model.z, model.n
@@ -148,6 +149,7 @@ def train(rows: DataFrame, bits: int = BITS, rounds: int = ROUNDS, parts: int |
         z[i] += moved["dz"].to_numpy()
         n[i] += moved["dn"].to_numpy()
         model = Model(bits, z, n, True)
+    dealt.unpersist()
     return model
 
 
