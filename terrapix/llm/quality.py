@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrapix.llm.text_hash import batches, lay_out, mix64, span_hashes
-from terrapix.sources.store import materialize
+from terrapix.sources.store import discard, materialize
 
 BITS = 18              # 2**18 buckets bound the model, whatever the corpus
 MAX_TRAIN = 40_000     # labelled rows that the model is fitted on, at most (the first by hashed id)
@@ -130,8 +130,10 @@ def train(rows: DataFrame, bits: int = BITS, rounds: int = ROUNDS, parts: int |
     size = (1 << bits) + 1
     for _ in range(rounds):
         z0, n0 = model.z, model.n
+        state = rows.sparkSession.sparkContext.broadcast((z0, n0))
 
-        def one(it: Iterator[pd.DataFrame], z0=z0, n0=n0) -> Iterator[pd.DataFrame]:
+        def one(it: Iterator[pd.DataFrame], state=state) -> Iterator[pd.DataFrame]:
+            z0, n0 = state.value
             z, n, seen = z0.copy(), n0.copy(), False
             for pdf in it:
                 seen = seen or len(pdf) > 0
@@ -144,12 +146,14 @@ def train(rows: DataFrame, bits: int = BITS, rounds: int = ROUNDS, parts: int |
         # A coordinate's state is the mean over the partitions that moved it.
         moved = (dealt.mapInPandas(one, "i long, dz double, dn double")
                  .groupBy("i").agg(F.avg("dz").alias("dz"), F.avg("dn").alias("dn"))).toArrow()
+        state.destroy()  # or every round's state stays on the executors' disks
         z, n = z0.copy(), n0.copy()
         i = moved["i"].to_numpy()
         z[i] += moved["dz"].to_numpy()
         n[i] += moved["dn"].to_numpy()
         model = Model(bits, z, n, True)
     dealt.unpersist()
+    discard(table)
     return model
 
 
