@@ -20,13 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrapix.llm.text_hash import batches, lay_out, mix64, span_hashes
-from terrapix.sources.store import discard, materialize
+from terrapix.sources.store import discard, materialize, release_shuffles
 
 BITS = 18              # 2**18 buckets bound the model, whatever the corpus
 MAX_TRAIN = 40_000     # labelled rows that the model is fitted on, at most (the first by hashed id)
 TRAIN_PARTS = 8        # partitions that train apart within a round, at most
 PART_ROWS = 5000       # rows of one of them; fewer rows need no averaging
-ROUNDS = 10
+ROUNDS = 5
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.02
 THRESHOLD = 0.7
 
@@ -125,8 +125,7 @@ def train(rows: DataFrame, bits: int = BITS, rounds: int = ROUNDS, parts: int |
     if not n or low == high:
         return model
     parts = parts or min(TRAIN_PARTS, -(-n // PART_ROWS))
-    # Shuffled once for all rounds; what a lost executor held is dealt again from the table.
-    dealt = table.repartition(parts, F.xxhash64("id")).sortWithinPartitions(F.xxhash64("id"), "id").persist()
+    dealt = table.repartition(parts, F.xxhash64("id")).sortWithinPartitions(F.xxhash64("id"), "id")
     size = (1 << bits) + 1
     for _ in range(rounds):
         z0, n0 = model.z, model.n
@@ -146,13 +145,14 @@ def train(rows: DataFrame, bits: int = BITS, rounds: int = ROUNDS, parts: int |
         # A coordinate's state is the mean over the partitions that moved it.
         moved = (dealt.mapInPandas(one, "i long, dz double, dn double")
                  .groupBy("i").agg(F.avg("dz").alias("dz"), F.avg("dn").alias("dn"))).toArrow()
-        state.destroy()  # or every round's state stays on the executors' disks
+        # Or every round's state and shuffles stay on the executors' disks.
+        state.destroy()
+        release_shuffles(rows.sparkSession)
         z, n = z0.copy(), n0.copy()
         i = moved["i"].to_numpy()
         z[i] += moved["dz"].to_numpy()
         n[i] += moved["dn"].to_numpy()
         model = Model(bits, z, n, True)
-    dealt.unpersist()
     discard(table)
     return model
 
