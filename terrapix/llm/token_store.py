@@ -188,7 +188,7 @@ def encoder(path: str, run: str) -> Encoder:
     and what an earlier run remembered is let go."""
     if (path, run) not in _encoders:
         _encoders.clear()
-        _encoders[path, run] = Encoder(path)
+        _encoders[path, run] = Encoder(path, special_as_text=False)
     return _encoders[path, run]
 
 
@@ -197,15 +197,19 @@ class Encoder:
 
     Texts are cut into pieces at places where tokens always end; each
     different piece, told apart by a 64-bit hash, is encoded once and
-    remembered.  Strings of special tokens in a text are ordinary text.
+    remembered.  With ``special_as_text`` strings of special tokens in a text
+    are ordinary text; without it the tokenizer is used as its file gives it,
+    and texts that hold the string of an added token are encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = special_as_text
+        added = self.tok.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added if not (special_as_text and t.special)]
         line = self.tok.encode("\n", add_special_tokens=False).ids
         self.line = line[0] if len(line) == 1 else None
         self._forget()
@@ -219,6 +223,9 @@ class Encoder:
         self.recent_name = np.zeros(1 << RECENT_BITS, dtype=np.uint64)
         self.recent = np.zeros(1 << RECENT_BITS, dtype=np.int32)
 
+    def _holds_added(self, text: str) -> bool:
+        return any(s in text for s in self.added)
+
     def _ids(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids end to end, the order of the pieces there, and the number of ids of each piece.
 
@@ -226,7 +233,8 @@ class Encoder:
         at a time with line ends between, which are tokens of their own there.
         """
         texts = [b.decode("utf-8", "surrogatepass") for b in new]
-        plain = np.array([self.line is not None and _PLAIN.fullmatch(t) is not None for t in texts], dtype=bool)
+        plain = np.array([self.line is not None and _PLAIN.fullmatch(t) is not None and not self._holds_added(t)
+                          for t in texts], dtype=bool)
         size = np.zeros(len(new), dtype=np.int64)
         together = np.flatnonzero(plain)
         parts: list[np.ndarray] = []
@@ -292,7 +300,7 @@ class Encoder:
         if len(buf):
             start = pieces(buf, first)
             odd = [i for i, t in enumerate(texts) if not t.isascii() and _RARE_BLANK.search(t) or
-                   t.isascii() and any(c in t for c in "\x1c\x1d\x1e\x1f")]
+                   t.isascii() and any(c in t for c in "\x1c\x1d\x1e\x1f") or self._holds_added(t)]
             if odd:
                 inside = np.zeros(len(buf) + 1, dtype=bool)
                 for i in odd:

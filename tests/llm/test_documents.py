@@ -275,6 +275,26 @@ def test_pieces_give_the_same_ids():
         [tok.encode(t, add_special_tokens=False).ids + [0] for t in texts]
 
 
+def test_special_tokens_are_read_as_the_tokenizer_does(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path())
+    pick = ["a", "don't", "é", " ", "  ", "\n", "\n\n", "\t", "\xa0", ".", "12", "|", "<", "<|endoftext|>", "<|endoftext|", "|endoftext|>"]
+    rng = np.random.default_rng(5)
+    texts = ["end.<|endoftext|>Next", "<|endoftext|>", "<|endoftext|><|endoftext|>", "end.<|endof text|>Next"]
+    texts += ["".join(pick[i] for i in rng.integers(0, len(pick), n)) for n in range(40) for _ in range(10)]
+    want = [tok.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    assert want[0] == [437, 13, 50256, 10019, 0]
+    got, per = token_store.Encoder(tokenizer_path(), special_as_text=False).encode(texts, 0)
+    assert [x.tolist() for x in np.split(got, np.cumsum(per)[:-1])] == want
+    path = shared_path(spark, "test-special")
+    token_store.write_shards(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, tokenizer_path())
+    rows = sorted(token_store.document_tokens(spark, path).collect(), key=lambda r: r.doc_id)
+    start = np.cumsum([0] + [len(x) for x in want])
+    assert [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in rows] == [
+        (i, start[i], len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in enumerate(want)]
+
+
 # --------------------------------------------------------------- fingerprints
 
 def test_next_documents_and_edited_texts(edges, nothing):
