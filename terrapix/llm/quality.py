@@ -26,7 +26,7 @@ BITS = 18              # 2**18 buckets bound the model, whatever the corpus
 MAX_TRAIN = 40_000     # labelled rows that the model is fitted on, at most (the first by hashed id)
 TRAIN_PARTS = 8        # partitions that train apart within a round, at most
 PART_ROWS = 5000       # rows of one of them; fewer rows need no averaging
-ROUNDS = 5
+ROUNDS = 10
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.02
 THRESHOLD = 0.7
 

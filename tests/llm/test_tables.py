@@ -251,6 +251,14 @@ def test_scores_of_odd_rows_and_no_labels(spark, edges, nothing):
     assert nothing.select(quality.scorer(model)("text")).count() == 0
 
 
+def test_training_takes_ten_rounds(spark, edges):
+    labels = spark.createDataFrame([(1, 1), (4, 0), (10, 0), (11, 1), (14, 0)], "doc_id long, quality int")
+    rows = quality.training_rows(edges, labels)
+    got, ten, five = quality.train(rows), quality.train(rows, rounds=10), quality.train(rows, rounds=5)
+    assert got.trained and np.array_equal(got.z, ten.z) and np.array_equal(got.n, ten.n)
+    assert not np.allclose(got.z, five.z)
+
+
 # ----------------------------------------------------- components and pipeline
 
 def test_components(spark):
