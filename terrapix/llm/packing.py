@@ -10,6 +10,8 @@ packed apart, each by one task.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,14 +26,37 @@ OVERHEAD = 64.0        # cost of a sequence besides its length, in tokens
 PACKED = "rid long, group long, bin long, capacity int, offset int"
 
 
-def open_size(size: int, left: int, capacities: tuple[int, ...], overhead: float) -> int:
+def open_size(size: int, left: int, capacities: tuple[int, ...], overhead: float, fill=None) -> int:
     """The permitted length >= ``size`` with the least cost for each token it can expect to hold.
 
     ``left``: tokens not yet placed, this piece's among them; they are what can fill a bin.
+    ``fill``: the tokens that a bin of a length would hold (default: as many of ``left`` as it has room for).
     Ties go to the shorter length.
     """
     fits = [c for c in capacities if c >= size]
-    return min(fits, key=lambda c: ((c + overhead) / max(1, min(c, left)), c))
+    return min(fits, key=lambda c: ((c + overhead) / max(1, fill(c) if fill else min(c, left)), c))
+
+
+class Unplaced:
+    """The sizes still to place, in ascending order of their negatives; equal ones form a run."""
+
+    def __init__(self, sizes: np.ndarray):
+        value, count = np.unique(-np.asarray(sizes, dtype=np.int64), return_counts=True)
+        self.value, self.count = value.tolist(), count.tolist()
+
+    def fill(self, size: int, placed: int, capacity: int) -> int:
+        """Tokens of a new bin of ``capacity``: a piece of ``size``, of which ``placed`` are placed, then
+        the largest pieces that still fit, whole ones only."""
+        run = bisect_left(self.value, -size)
+        room, have = capacity - size, self.count[run] - placed - 1
+        while room:
+            take = min(have, room // -self.value[run])
+            room += take * self.value[run]
+            run = max(run + 1, bisect_left(self.value, -room))
+            if run == len(self.value):
+                break
+            have = self.count[run]
+        return capacity - room
 
 
 def best_fit(sizes: np.ndarray, capacities: tuple[int, ...] = CAPACITIES,
@@ -45,7 +70,10 @@ def best_fit(sizes: np.ndarray, capacities: tuple[int, ...] = CAPACITIES,
     rooms: list[list[int]] = [[] for _ in range(capacities[-1] + 1)]  # open bins by the room left
     mask = 0                                                         # bit r: some bin has room r
     left = int(sizes.sum())
+    unplaced, last, since = Unplaced(sizes), 0, 0  # since: where the run of this size starts
     for i, s in enumerate(sizes.tolist()):
+        if s != last:
+            last, since = s, i
         above = mask >> s
         if above:
             room = s + (above & -above).bit_length() - 1
@@ -53,7 +81,7 @@ def best_fit(sizes: np.ndarray, capacities: tuple[int, ...] = CAPACITIES,
             if not rooms[room]:
                 mask &= ~(1 << room)
         else:
-            b, room = len(used), open_size(s, left, capacities, overhead)
+            b, room = len(used), open_size(s, left, capacities, overhead, lambda c: unplaced.fill(s, i - since, c))
             used.append(0)
             opened.append(room)
         bins[i], offsets[i] = b, used[b]

@@ -175,6 +175,25 @@ def test_best_fit_and_sizes(spark):
     assert packing.open_size(600, 10**6, packing.CAPACITIES, 64.0) == 8192
 
 
+def test_a_bin_is_opened_for_what_can_fill_it():
+    def cost(sizes):
+        b, _, cap = packing.best_fit(np.array(sizes))
+        return sum(int(cap[b == i][0]) + 64 for i in range(b.max() + 1))
+
+    assert cost([3000, 3000]) == 8192 + 64  # not two of 4096
+    assert cost([3000]) == 4096 + 64
+    rng = np.random.default_rng(9)
+    for n in range(1, 60):
+        sizes = sorted(rng.integers(1, 4000, n).tolist(), reverse=True)
+        u = packing.Unplaced(np.array(sizes))
+        for i in (0, n // 2, n - 1):
+            for c in (4096, 8192):
+                room = c - sizes[i]
+                for x in sizes[i + 1:]:
+                    room -= x if x <= room else 0
+                assert u.fill(sizes[i], i - sizes.index(sizes[i]), c) == c - room
+
+
 def test_packing_keeps_every_token(spark):
     sizes = [(1, 20_000), (2, 0), (3, None), (4, -5), (5, 8192), (5, 8192), (None, 77)] + [(i, i % 3000) for i in range(10, 500)]
     df = spark.createDataFrame([(i, n, 1, 1) for i, n in sizes], "doc_id long, n_tokens long, rid int, bin_id int")
