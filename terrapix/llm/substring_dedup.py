@@ -1,15 +1,17 @@
-"""Removal of long repeated passages with run-length indexes.
+"""Removal of long repeated passages by sorted windows.
 
 Equal stretches are brought together by content.  Of every window of
 LENGTH bytes the k-gram with the least hash is its anchor; equal windows
 have equal anchors.  Anchors that occur in one document only are dropped (one
 bit for each comes back), and the contexts of the others, the windows around
 the anchor, are dealt into buckets by the anchor.  A bucket sorts its
-windows, takes the byte before each (the Burrows-Wheeler transform of that
-order), joins equal bytes to runs and keeps the earliest document at each run's
-end.  The contexts are then streamed through the index: where a window's
-matching statistic against earlier documents reaches LENGTH, its bit is set and
-goes back to the document, which removes the covered bytes.
+windows by their LENGTH bytes; equal ones form a class, and where a class's
+earliest document is an earlier one than the window's own, the window's bit is
+set and goes back to the document, which removes the covered bytes.
+
+This stands in for a run-length (Burrows-Wheeler) index with streamed matching
+statistics: no index is compressed and no statistic is streamed.  The result
+is the same, as it only asks which document first holds each whole window.
 
 Texts travel as packed batches of documents, compressed; what else moves is
 proportional to the anchors, not to pairs of documents.
@@ -47,11 +49,12 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 
 class RunIndex:
-    """Run-length index of the windows of a collection of short texts.
+    """Sorted windows of a collection of short texts.
 
     Windows are sorted by their LENGTH bytes; windows with equal bytes form a
     class.  ``run_head`` is where a run of one preceding byte starts within a
-    class, ``run_doc`` the earliest document at its end.
+    class, ``run_doc`` the earliest document of the run; the result takes only
+    the least of a class's, and ``order`` and ``cls`` keep an entry a window.
     """
 
     def __init__(self, text: np.ndarray, start: np.ndarray, before: np.ndarray, doc: np.ndarray, length: int):
