@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapix.llm import (fingerprint, jaccard_join, mixing, packing, quality, secret_scan, substring_dedup, token_store,
-                          topk, url_filter)
+from terrapix.llm import (context_tree, filter_audit, fingerprint, jaccard_join, mixing, packing, periodic_runs, quality,
+                          secret_scan, substring_dedup, token_store, topk, url_filter)
 from terrapix.llm.oracle import ORACLE_SQL  # noqa: F401
 from terrapix.sources.store import shared_path
 
@@ -87,6 +87,19 @@ def op10_threshold_topk(spark: SparkSession, sf: str) -> DataFrame:
     return topk.top_k(vectors, F.pmod(F.col("vec_id"), F.lit(20)) == 0)
 
 
+def op11_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return filter_audit.audit_filters(read(spark, sf, "documents"), read(spark, sf, "labels"))
+
+
+def op12_context_tree(spark: SparkSession, sf: str) -> DataFrame:
+    return context_tree.score_documents(documents(spark, sf))
+
+
+def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return periodic_runs.periodic_runs(documents(spark, sf), loop=True)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_url_filter, op3_suffix_dedup, op4_secret_scan, op5_best_fit_packing, op6_token_store,
-    op7_document_fingerprints, op8_source_mixing, op9_quality_classifier, op10_threshold_topk)}
+    op7_document_fingerprints, op8_source_mixing, op9_quality_classifier, op10_threshold_topk, op11_filter_audit,
+    op12_context_tree, op13_periodic_runs)}

@@ -13,14 +13,14 @@ from terrapix.llm.queries import ORACLE_SQL, QUERIES
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in "documents pages embeddings".split():
+    for t in "documents pages embeddings labels".split():
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{os.path.join(SF001, t)}.parquet')")
     return c
 
 
 def test_all_are_registered():
     assert set(QUERIES) | {"pipeline"} <= set(E.queries())
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
     assert set(ORACLE_SQL) <= set(E.oracle_sql())
 
 
