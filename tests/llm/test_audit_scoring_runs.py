@@ -206,15 +206,16 @@ def test_scores_match_the_definition(spark, monkeypatch, depth, batch):
 def test_probabilities_of_all_next_bytes_sum_to_one(spark):
     text = b"\xff" * 2 + b"abracadabra" + b"\xff"
     seen = Counter(text[k - 2:k + 1] for k in range(2, len(text)))
-    rows = [(int.from_bytes(c + bytes([b]), "big"), seen[c + bytes([b])])
-            for c in (b"ab", b"zz", b"\xff\xff", b"xr") for b in range(256)]
-    rows += [(int.from_bytes(s, "big"), n) for s, n in seen.items() if s[:2] not in (b"ab", b"zz", b"\xff\xff", b"xr")]
-    got = context_tree.string_logs(spark.createDataFrame(rows, "string long, n long"), 2).collect()
-    sums = Counter()
-    for r in got:
-        sums[r["string"] >> 8] += 10 ** r["log"]
-    for c in (b"ab", b"zz", b"\xff\xff", b"xr"):
-        assert sums[int.from_bytes(c, "big")] == pytest.approx(1, abs=1e-9)
+    contexts = {s[:2] for s in seen} | {b"zz", b"xr", b"xa"}
+    string = np.array(sorted(int.from_bytes(c + bytes([b]), "big") for c in contexts for b in range(256)))
+    n = np.array([seen[int(s).to_bytes(3, "big")] for s in string])
+    node, zeros, ones = context_tree.leaf_nodes(string, n)
+    rows = spark.createDataFrame(list(zip([0] * len(node), node.tolist(), zeros.tolist(), ones.tolist())),
+                                 "slice int, node long, zeros long, ones long")
+    got = context_tree.node_probabilities(rows, 2).toPandas()
+    logs = context_tree.string_logs(string, got["node"].to_numpy(), got["one"].to_numpy())
+    for c in contexts:
+        assert (10 ** logs[string >> 8 == int.from_bytes(c, "big")]).sum() == pytest.approx(1, abs=1e-9)
 
 
 def test_scores_of_edge_rows_and_nothing(spark, edges, nothing):
