@@ -16,7 +16,7 @@ from math import factorial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrapix.sources.store import materialize
@@ -27,16 +27,24 @@ AUDIT_SCHEMA = ("part string, filter_order string, step int, kept long, removed
                 "unique_fails long, good_lost long, toxic_lost long, shapley long")
 
 
-def text_conditions(text: Column) -> list[Column]:
-    """Failure of filters A to D on one text (null: empty): short, repetitive, shouting, odd signs."""
-    t = F.coalesce(text, F.lit(""))
-    inner = F.regexp_replace(t, rf"\A{SPACE}|{SPACE}\z", "")
-    found = F.split(inner, SPACE)
-    words = F.when(inner == "", F.lit(0)).otherwise(F.size(found))
-    distinct = F.when(inner == "", F.lit(0)).otherwise(F.size(F.array_distinct(found)))
-    capitals = F.length(F.regexp_replace(t, "[^A-Z]+", ""))
-    return [words < 200, 100 * distinct.cast("long") < 50 * words.cast("long"),
-            100 * capitals.cast("long") > 3 * F.length(t).cast("long"), t.rlike("[#$%&*|]")]
+def text_fails(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with ``mask``: failure bits of filters A to D on a text (short, repetitive, shouting, odd signs).
+
+    The split text is a column of its own, so that it is made once; white
+    space at either end leaves an empty first or last word, which is no word.
+    """
+    t = F.col(text)
+    parts = F.col("_parts")
+    head = (parts[0] == "").cast("long")
+    tail = ((F.size(parts) > 1) & (F.element_at(parts, -1) == "")).cast("long")
+    capitals = F.length(F.regexp_replace(t, "[^A-Z]+", "")).cast("long")
+    split = docs.withColumn("_parts", F.split(t, SPACE))
+    counted = (split.withColumn("_words", F.size(parts) - head - tail)
+               .withColumn("_distinct", F.size(F.array_distinct(parts)) - F.greatest(head, tail)))
+    fails = [F.col("_words") < 200, 100 * F.col("_distinct") < 50 * F.col("_words"),
+             100 * capitals > 3 * F.length(t), t.rlike("[#$%&*|]")]
+    mask = sum((F.when(c, F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(fails)), F.lit(0))
+    return counted.withColumn("mask", mask.cast("int")).drop("_parts", "_words", "_distinct")
 
 
 def walk(cells: Iterable[tuple[int, Sequence[int]]], k: int) -> np.ndarray:
@@ -102,11 +110,10 @@ def failure_cells(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     originals are found by an equality of digest and id, so that a text that a
     third of all documents share is no single task.
     """
-    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    mask = sum((F.when(c, F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(text_conditions(t))), F.lit(0))
-    rows = materialize(docs.select(
-        F.col(f"`{doc_id}`").cast("long").alias("id"), F.coalesce(F.col(f"`{part}`").cast("string"), F.lit("")).alias("part"),
-        F.unhex(F.sha2(t, 256)).alias("digest"), mask.cast("int").alias("mask")), "llm-fails")
+    texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"),
+                        F.coalesce(F.col(f"`{part}`").cast("string"), F.lit("")).alias("part"),
+                        F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
+    rows = materialize(text_fails(texts, "t").select("id", "part", F.unhex(F.sha2("t", 256)).alias("digest"), "mask"), "llm-fails")
     firsts = (rows.where("id is not null").groupBy("digest").agg(F.min("id").alias("id"))
               .withColumn("first", F.lit(True)))
     marks = (labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id"))
