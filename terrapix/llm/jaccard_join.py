@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrapix.llm.components import components
-from terrapix.llm.text_hash import batches, lay_out, mix64, span_hashes
+from terrapix.llm.text_hash import batches, lay_out, mix64, names
 from terrapix.sources.store import materialize
 
 WORDS = 5
@@ -64,7 +64,7 @@ def shingles(group: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.nda
     edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
     marks = np.concatenate(([0], edge)) if not gap[0] else edge
     start, end = marks[::2], marks[1::2]  # the buffer ends in white space, so words are closed
-    h = span_hashes(_LOWER[buf], start, end)
+    h = names(_LOWER[buf], start, end)
     owner = np.searchsorted(first, start, side="right") - 1
     count = np.bincount(owner, minlength=len(group))
     at = np.concatenate(([0], np.cumsum(count)[:-1]))

@@ -25,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terrapix.llm.text_hash import span_hashes
+from terrapix.llm.text_hash import names
 
 BLOCK_TOKENS = 1 << 20   # a block ends with the document that reaches this
 SAMPLE = 512             # bits between two sampled counts of ones
 VOCAB_KEPT = 2_000_000    # pieces whose ids a worker remembers before it starts anew
 RECENT_BITS = 20          # of a piece's hash: slots for the pieces last met
+SECOND = 0x5851F42D4C957F2D  # seed of the second names
 
 BLOCK = ("shard int, block int, shard_offset long, n_tokens long, n_docs long, doc_ids binary, doc_null binary, "
          "doc_lengths binary, alphabet binary, zeros binary, planes binary, counts binary")
@@ -196,8 +197,9 @@ class Encoder:
     """Ids of whole texts, the same as the tokenizer's own on the text.
 
     Texts are cut into pieces at places where tokens always end; each
-    different piece, told apart by a 64-bit hash, is encoded once and
-    remembered.  With ``special_as_text`` strings of special tokens in a text
+    different piece is encoded once and remembered by a 64-bit name.  A piece
+    that is met again must have the second, independent name of the one
+    remembered; one that has not is encoded on its own.  With ``special_as_text`` strings of special tokens in a text
     are ordinary text; without it the tokenizer is used as its file gives it,
     and texts that hold the string of an added token are encoded whole.
     """
@@ -216,7 +218,8 @@ class Encoder:
 
     def _forget(self) -> None:
         self.known, self.number = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)  # sorted hashes, whose pieces
-        self.name = np.empty(0, dtype=np.uint64)  # by piece: hash, and place and number of its ids in the pool
+        # By piece: name and second name, and place and number of its ids in the pool.
+        self.name, self.check = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint64)
         self.begin, self.size = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
         self.pool = np.empty(0, dtype=np.uint32)
         # The piece last met for each value of the hash's high bits: most spans are found here, without a sort.
@@ -251,21 +254,29 @@ class Encoder:
         order = np.concatenate([together, apart])
         return np.concatenate([ids, np.fromiter(chain.from_iterable(more), np.uint32)]), order, size
 
-    def _learn(self, name: np.ndarray, new: list[bytes]) -> None:
+    def _learn(self, name: np.ndarray, check: np.ndarray, new: list[bytes], known: bool = True) -> np.ndarray:
+        """Encode pieces and return their numbers; those not ``known`` are not found by their names later."""
         ids, order, size = self._ids(new)
         begin = np.empty(len(new), dtype=np.int64)
         begin[order] = len(self.pool) + np.cumsum(size[order]) - size[order]
         number = np.arange(len(self.name), len(self.name) + len(new))
         self.pool = np.concatenate([self.pool, ids])
-        self.name = np.concatenate([self.name, name])
+        self.name, self.check = np.concatenate([self.name, name]), np.concatenate([self.check, check])
         self.begin, self.size = np.concatenate([self.begin, begin]), np.concatenate([self.size, size])
-        at = np.argsort(np.concatenate([self.known, name]), kind="stable")
-        self.known = np.concatenate([self.known, name])[at]
-        self.number = np.concatenate([self.number, number])[at]
+        if known:
+            at = np.argsort(np.concatenate([self.known, name]), kind="stable")
+            self.known = np.concatenate([self.known, name])[at]
+            self.number = np.concatenate([self.number, number])[at]
+        return number
 
     def _numbers(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The piece of each span; pieces not met before are encoded."""
-        hashes = span_hashes(buf, start, end)
+        hashes, check = names(buf, start, end), names(buf, start, end, SECOND)
+
+        def cut(spans: np.ndarray) -> list[bytes]:
+            data = buf.tobytes()
+            return [data[a:b] for a, b in zip(start[spans].tolist(), end[spans].tolist())]
+
         slot = (hashes >> np.uint64(64 - RECENT_BITS)).astype(np.int64)
         out = self.recent[slot].astype(np.int64)
         miss = np.flatnonzero(self.recent_name[slot] != hashes)
@@ -277,14 +288,16 @@ class Encoder:
             have[inner] = self.known[place[inner]] == name[inner]
             if not have.all():
                 new = miss[at[~have]]
-                data = buf.tobytes()
-                self._learn(name[~have], [data[a:b] for a, b in zip(start[new].tolist(), end[new].tolist())])
+                self._learn(name[~have], check[new], cut(new))
                 place = np.searchsorted(self.known, name)
             number = self.number[place]
             out[miss] = number[of]
             slot = (name >> np.uint64(64 - RECENT_BITS)).astype(np.int64)
             self.recent[slot] = number
             self.recent_name[slot] = self.name[self.recent[slot]]
+        other = np.flatnonzero(self.check[out] != check)
+        if len(other):
+            out[other] = self._learn(hashes[other], check[other], cut(other), known=False)
         return out
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:

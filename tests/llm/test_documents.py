@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from terrapix.llm import fingerprint, jaccard_join, secret_scan, substring_dedup, token_store
 from terrapix.llm.queries import tokenizer_path
+from terrapix.llm.text_hash import names
 from terrapix.sources.store import shared_path
 
 
@@ -295,6 +296,56 @@ def test_special_tokens_are_read_as_the_tokenizer_does(spark):
         (i, start[i], len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in enumerate(want)]
 
 
+def thue_morse(n):
+    """A word of n letters and the same with its two letters exchanged: equal in any polynomial hash modulo 2**64."""
+    bits = [i.bit_count() % 2 for i in range(n)]
+    return ["".join(pair[b] for b in bits) for pair in ("ab", "ba")]
+
+
+def plain_ids(texts):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path())
+    return [tok.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+
+
+def test_words_that_a_polynomial_hash_joins_stay_apart(spark):
+    texts = [w for n in (1024, 2048, 8192) for w in thue_morse(n)] + [prose(50, 1)]
+    got, per = token_store.Encoder(tokenizer_path(), special_as_text=False).encode(texts, 0)
+    assert [x.tolist() for x in np.split(got, np.cumsum(per)[:-1])] == plain_ids(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    path = shared_path(spark, "test-tokens")
+    token_store.write_shards(docs, path, tokenizer_path())
+    rows = sorted(token_store.document_tokens(spark, path).collect(), key=lambda r: r.doc_id)
+    assert [r.n_tokens for r in rows] == [len(x) for x in plain_ids(texts)]
+    links = jaccard_join.jaccard_links(docs).collect()
+    assert all(r["class_id"] == r["doc_id"] and r["copies"] == 1 and r["n_links"] == 0 for r in links)
+
+
+def test_pieces_of_one_name_are_told_apart(monkeypatch):
+    real = token_store.names
+    monkeypatch.setattr(token_store, "names", lambda b, s, e, seed=0: real(b, s, e, seed) if seed else real(b, s, e) % np.uint64(5))
+    texts = [prose(40, i) for i in range(30)]
+    enc = token_store.Encoder(tokenizer_path(), special_as_text=False)
+    for part in (texts[:10], texts):
+        got, per = enc.encode(part, 0)
+        assert [x.tolist() for x in np.split(got, np.cumsum(per)[:-1])] == plain_ids(part)
+
+
+def test_names_differ_with_bytes_and_seed():
+    rng = np.random.default_rng(2)
+    spans = {bytes(rng.integers(0, 3, n).astype(np.uint8)) for n in [*range(1, 40)] * 40 + [5000, 5001] * 3}
+    spans |= {b"\0" * n for n in range(1, 30)}
+    spans = sorted(spans)
+    size = np.array([len(x) for x in spans])
+    buf = np.frombuffer(b"".join(spans), dtype=np.uint8)
+    end = np.cumsum(size)
+    a, b = names(buf, end - size, end), names(buf, end - size, end, 77)
+    assert len(set(a.tolist())) == len(set(b.tolist())) == len(spans) and not (a == b).any()
+    twice = np.concatenate([buf, buf])
+    assert (names(twice, end - size + len(buf), end + len(buf)) == a).all()
+
+
 # --------------------------------------------------------------- fingerprints
 
 def test_next_documents_and_edited_texts(edges, nothing):
