@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terrapix.operators.composite import COMPOSITE_BANDS
+from terrapix.operators.prefix import literal_rows
 from terrapix.sources.store import materialize
 
 # ---------------------------------------------------------------------------
@@ -13,12 +15,14 @@ from terrapix.sources.store import materialize
 # ---------------------------------------------------------------------------
 MAX_POSITIVES_PER_YEAR = 1_500_000
 NEGATIVE_RATIO = 1.0
-# Selection key: a pure function of (pixel, year), computable in any SQL engine.
-HASH_A, HASH_B, HASH_C, HASH_D, HASH_M = 7919, 104729, 15485863, 31, 1000003
-DEFAULT_SEED = 42
-KEY_BUCKET = 1000  # keys in one bucket
 # ---------------------------------------------------------------------------
 
+DEFAULT_SEED = 42
+KEY_BITS = 60        # of a selection key: 15 hexadecimal digits
+DIGIT_BITS = 12      # looked at in one round of the selection
+MAX_BUCKET = 10_000  # pixels that are ranked at once; larger buckets are split by the next digits
+STRATUM = ["year", "presence"]
+
 SAMPLE_COLUMNS = ("year", "presence", "nlcd_class") + COMPOSITE_BANDS
 
 
@@ -46,53 +50,99 @@ def valid_pixels(df: DataFrame, bands=COMPOSITE_BANDS + ("pixel_count",)) -> Dat
     return df.filter(cond)
 
 
-def selection_key(pixel="pixel_id", year="year", seed: int = DEFAULT_SEED):
-    """Deterministic per pixel-year selection hash (ties broken by pixel).
+def selection_key(pixel="pixel_id", year="year", seed: int = DEFAULT_SEED) -> Column:
+    """A 60-bit key of each pixel-year: the first digits of the MD5 of ``seed:year:pixel``.
+
+    Every engine has it, and two pixels' keys have nothing in common, whatever
+    their distance in the raster.
+    """
+    name = F.concat_ws(":", F.lit(str(seed)), F.col(year).cast("string"), F.col(pixel).cast("string"))
+    return F.conv(F.substring(F.md5(name.cast("binary")), 1, KEY_BITS // 4), 16, 10).cast("long")
+
 
-    A linear key would pick a lattice of pixels; its square modulo the prime,
-    added in, mixes it.  Plain integer arithmetic, so any SQL engine agrees.
+def _cuts(buckets: DataFrame, target: Column) -> list[dict]:
+    """For each stratum the bucket (prefix, n) in which its target falls, and how many it still needs there.
+
+    ``buckets`` holds (year, presence, prefix, n): at most 2**DIGIT_BITS rows a stratum.
+    """
+    upto = Window.partitionBy(*STRATUM).orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
+    rows = (buckets.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).withColumn("target", target)
+            .filter((F.col("before") < F.col("target")) & (F.col("target") <= F.col("before") + F.col("n")))
+            .select(*STRATUM, "prefix", "n", (F.col("target") - F.col("before")).alias("need")).collect())
+    return [r.asDict() for r in rows]  # at most two for each calendar year
+
+
+def _inside(keyed: DataFrame, cuts: list[dict], shift: int) -> DataFrame:
+    """The rows of ``keyed`` in the given buckets, with ``need``."""
+    schema = T.StructType([T.StructField("year", keyed.schema["year"].dataType),
+                           T.StructField("presence", keyed.schema["presence"].dataType),
+                           T.StructField("_prefix", T.LongType()), T.StructField("need", T.LongType())])
+    table = literal_rows(keyed.sparkSession, [(c["year"], c["presence"], c["prefix"], c["need"]) for c in cuts], schema)
+    return (keyed.select(*STRATUM, "pixel_id", "_key", F.shiftright("_key", shift).alias("_prefix"))
+            .join(F.broadcast(table), [*STRATUM, "_prefix"]))
+
+
+def selection_thresholds(keyed: DataFrame, max_pos: int, neg_ratio: float,
+                         max_bucket: int = MAX_BUCKET) -> list[tuple[int, int, int, int | None]]:
+    """(year, presence, key, pixel): the last taken (key, pixel) of each stratum; a null pixel takes all of that key.
+
+    A radix selection over ``keyed`` (year, presence, pixel_id, _key): rows are
+    counted by the leading digits of their keys (partial sums before the
+    shuffle), and the bucket in which a stratum's target falls is counted by its
+    next digits until it holds ``max_bucket`` rows or fewer, or is taken
+    whole.  Only such a bucket is ranked, so no task sees a stratum.
     """
-    k = (F.col(pixel).cast("long") * HASH_A + F.col(year).cast("long") * HASH_B + F.lit(seed * HASH_C)) % HASH_M
-    return (k * k % HASH_M * HASH_D + k) % HASH_M
+    shift = KEY_BITS - DIGIT_BITS
+    counts = (keyed.groupBy(*STRATUM, F.shiftright("_key", shift).alias("prefix")).agg(F.count("*").alias("n")))
+    of_class = [F.sum(F.when(F.col("presence") == c, F.col("n")).otherwise(0)).over(Window.partitionBy("year")) for c in (1, 0)]
+    pos = F.least(of_class[0], F.lit(int(max_pos)))
+    neg = F.least(of_class[1], F.floor(pos * F.lit(float(neg_ratio))).cast("long"))
+    cuts = _cuts(counts, F.when(F.col("presence") == 1, pos).otherwise(neg))
+    done: list[tuple[int, int, int, int | None]] = []
+    while cuts:
+        whole = [c for c in cuts if c["n"] == c["need"]]
+        done += [(c["year"], c["presence"], ((c["prefix"] + 1) << shift) - 1, None) for c in whole]
+        ranked = [c for c in cuts if c["n"] > c["need"] and (c["n"] <= max_bucket or shift == 0)]
+        if ranked:
+            each = (_inside(keyed, ranked, shift).groupBy(*STRATUM, "need", "_key", "pixel_id").agg(F.count("*").alias("c")))
+            before = Window.partitionBy(*STRATUM).orderBy("_key", "pixel_id").rowsBetween(Window.unboundedPreceding, -1)
+            last = (each.withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0))).filter("before < need")
+                    .groupBy(*STRATUM).agg(F.max(F.struct("_key", "pixel_id")).alias("m")))
+            done += [(r["year"], r["presence"], r["m"]["_key"], r["m"]["pixel_id"]) for r in last.collect()]
+        cuts = [c for c in cuts if c["n"] > max(c["need"], max_bucket) and shift > 0]
+        if cuts:
+            inside = _inside(keyed, cuts, shift)
+            shift = max(0, shift - DIGIT_BITS)
+            cuts = _cuts(inside.groupBy(*STRATUM, "need", F.shiftright("_key", shift).alias("prefix"))
+                         .agg(F.count("*").alias("n")), F.col("need"))
+    return done
 
 
 def stratified_sample(df: DataFrame, max_pos: int = MAX_POSITIVES_PER_YEAR,
-                      neg_ratio: float = NEGATIVE_RATIO, seed: int = DEFAULT_SEED) -> DataFrame:
+                      neg_ratio: float = NEGATIVE_RATIO, seed: int = DEFAULT_SEED,
+                      max_bucket: int = MAX_BUCKET) -> DataFrame:
     """Per year: up to ``max_pos`` positives, then ``int(n_pos * neg_ratio)``
     negatives (all of them when fewer), both without replacement.
 
     The selection is exact and repeatable: the first ``target`` rows of each
     (year, presence) stratum by (``selection_key``, pixel); another ``seed``
-    draws another sample.  Counts per stratum and key bucket (a partial
-    aggregate) tell the bucket in which a stratum's target falls; only the
-    (key, pixel) pairs of that bucket are ranked, and the last one taken is the
-    stratum's threshold.  Rows are then kept by comparison: no full row is
-    shuffled, and a stratum with most of the raster is ranked by nobody.
+    draws another sample.  The input is evaluated once, with its keys; the
+    thresholds come from counts (``selection_thresholds``), two a year at most,
+    and rows are kept by comparison, so no full row is shuffled.  Rows that
+    repeat a pixel-year are kept or left out together.
     """
-    keyed = df.filter(F.col("presence").isin(0, 1)).withColumn("_h", selection_key(seed=seed))
-    bucket = F.floor(F.col("_h") / KEY_BUCKET).cast("int")
-    stratum = ["year", "presence"]
-    upto = Window.partitionBy(*stratum).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    per_bucket = materialize(keyed.groupBy(*stratum, bucket.alias("_b")).agg(F.count("*").alias("_n"))
-                             .withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0))), "sample-buckets")
-    counts = per_bucket.groupBy("year").agg(
-        F.sum(F.when(F.col("presence") == 1, F.col("_n")).otherwise(0)).alias("n_pos"),
-        F.sum(F.when(F.col("presence") == 0, F.col("_n")).otherwise(0)).alias("n_neg"))
-    pos_t = F.least(F.col("n_pos"), F.lit(int(max_pos)))
-    neg_t = F.least(F.col("n_neg"), F.floor(pos_t * F.lit(float(neg_ratio))).cast("long"))
-    target = F.when(F.col("presence") == 1, F.col("pos_target")).otherwise(F.col("neg_target"))
-    # One row a stratum: at most two for each calendar year.
-    cut = (per_bucket.join(counts.select("year", pos_t.alias("pos_target"), neg_t.alias("neg_target")), "year")
-           .filter((F.col("_before") < target) & (target <= F.col("_before") + F.col("_n")))
-           .select(*stratum, F.col("_b").alias("_cut"), (target - F.col("_before")).alias("_need")))
-    rank = F.row_number().over(Window.partitionBy(*stratum).orderBy("_h", "pixel_id"))
-    last = (keyed.select(*stratum, "_h", "pixel_id", bucket.alias("_cut")).join(F.broadcast(cut), [*stratum, "_cut"])
-            .withColumn("_rank", rank).filter(F.col("_rank") <= F.col("_need"))
-            .groupBy(*stratum).agg(F.max(F.struct("_h", F.col("pixel_id").alias("_p"))).alias("_last")))
-    out = (keyed.join(F.broadcast(materialize(last, "sample-thresholds")), stratum)
-           .filter(F.struct("_h", F.col("pixel_id").alias("_p")) <= F.col("_last")))
-    # Mix classes inside each partition (row order is not part of the result).
-    return out.sortWithinPartitions(F.xxhash64("_h", "pixel_id")).drop("_h", "_last")
+    keyed = materialize(df.filter(F.col("presence").isin(0, 1)).withColumn("_key", selection_key(seed=seed)), "sample-keys")
+    last = selection_thresholds(keyed, max_pos, neg_ratio, max_bucket)
+    schema = T.StructType([T.StructField("year", keyed.schema["year"].dataType),
+                           T.StructField("presence", keyed.schema["presence"].dataType),
+                           T.StructField("_last", T.LongType()), T.StructField("_pixel", T.LongType())])
+    if not last:
+        return keyed.limit(0).drop("_key")
+    taken = (F.col("_key") < F.col("_last")) | ((F.col("_key") == F.col("_last")) &
+                                                (F.col("_pixel").isNull() | (F.col("pixel_id") <= F.col("_pixel"))))
+    out = keyed.join(F.broadcast(literal_rows(df.sparkSession, last, schema)), STRATUM).filter(taken)
+    # The key's order mixes the classes inside each partition (row order is not part of the result).
+    return out.sortWithinPartitions("_key", "pixel_id").drop("_key", "_last", "_pixel")
 
 
 def sample_totals(samples: DataFrame) -> DataFrame:

@@ -121,8 +121,7 @@ ALIGNED = COMPOSITE + LABELS + [
 ]
 
 SAMPLE = ALIGNED + [
-    ("keyed0", "SELECT *, (CAST(pixel_id AS BIGINT) * 7919 + CAST(year AS BIGINT) * 104729 + 42 * 15485863) % 1000003 AS k FROM aligned"),
-    ("keyed", "SELECT * EXCLUDE (k), (k * k % 1000003 * 31 + k) % 1000003 AS h FROM keyed0"),
+    ("keyed", "SELECT *, substr(md5('42:' || year || ':' || pixel_id), 1, 15) AS h FROM aligned"),
     ("cnt", """SELECT year, count(*) FILTER (WHERE presence = 1) AS n_pos, count(*) FILTER (WHERE presence = 0) AS n_neg
  FROM keyed GROUP BY year"""),
     ("tgt", """SELECT year, least(n_pos, 1500000) AS pos_t,
@@ -279,8 +278,7 @@ FROM grid30 g CROSS JOIN years30 y LEFT JOIN pos30 p ON p.pixel_id = g.pixel_id
     q["stratified_sample"] = _ctes(["raw_obs", "grid", "edges", "nlcd"], SAMPLE) + (
         f"\nSELECT pixel_id, year, {_r(ALL + ('pixel_count',), 6)}, presence, nlcd_class FROM sample")
     q["stratified_sample_capped"] = _ctes(["grid", "edges"], LABELS + [
-        ("k1", "SELECT *, (CAST(pixel_id AS BIGINT) * 7919 + CAST(year AS BIGINT) * 104729 + 7 * 15485863) % 1000003 AS k FROM labels"),
-        ("k2", "SELECT *, (k * k % 1000003 * 31 + k) % 1000003 AS h FROM k1"),
+        ("k2", "SELECT *, substr(md5('7:' || year || ':' || pixel_id), 1, 15) AS h FROM labels"),
         ("k3", "SELECT *, row_number() OVER (PARTITION BY year, presence ORDER BY h, pixel_id) AS rn FROM k2"),
         ("k4", "SELECT year, count(*) FILTER (WHERE presence = 1) AS p FROM labels GROUP BY year"),
     ]) + ("\nSELECT k3.year, k3.pixel_id, k3.presence FROM k3 JOIN k4 ON k4.year = k3.year"
