@@ -40,7 +40,8 @@ def test_stratified_sample_matches_brute_force(spark, max_pos, ratio, seed, max_
         n_neg = min(len(neg), math.floor(n_pos * ratio))
         want += list(zip(pos.year[:n_pos], pos.pixel_id[:n_pos])) + list(zip(neg.year[:n_neg], neg.pixel_id[:n_neg]))
     assert sorted(zip(got.year, got.pixel_id)) == sorted((int(a), int(b)) for a, b in want)
-    tot = sample_totals(spark.createDataFrame(got, "pixel_id int, year int, presence int, NDVI double")).collect()[0]
+    cols = ["pixel_id", "year", "presence", "NDVI"]
+    tot = sample_totals(spark.createDataFrame(got[cols], "pixel_id int, year int, presence int, NDVI double")).collect()[0]
     assert tot["total"] == len(want) and tot["positives"] + tot["negatives"] == len(want)
     for y, g in got.groupby("year"):
         assert (g.presence == 1).sum() <= max_pos
