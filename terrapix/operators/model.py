@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 
+from pyspark import inheritable_thread_target
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
@@ -16,7 +22,7 @@ from terrapix.functions.years import TEST_YEARS, TRAIN_YEARS, VAL_YEARS, in_year
 from terrapix.operators.composite import COMPOSITE_BANDS
 from terrapix.operators.metrics import curve_areas
 from terrapix.operators.prefix import literal_rows
-from terrapix.sources.store import materialize
+from terrapix.sources.store import discard, materialize
 
 # ---------------------------------------------------------------------------
 # Published model settings.
@@ -25,6 +31,10 @@ NUMERIC_FEATURES = COMPOSITE_BANDS  # BLUE GREEN RED NIR SWIR1 SWIR2 NDVI EVI ND
 GBT_DEFAULTS = {"maxDepth": 10, "maxIter": 100, "stepSize": 0.1, "seed": 42}
 # ---------------------------------------------------------------------------
 
+PART_BYTES = 16 << 20     # of a shared feature table: bytes in one partition
+MAX_CONCURRENT = 8        # fits at one time
+MAX_BROADCAST_NODES = 1_000_000  # tree nodes that are sent to all tasks; more are joined by shuffles
+
 # Config names of the second trainer mapped onto GBTClassifier parameters.
 TRIAL_PARAM_MAP = {
     "max_depth": "maxDepth",
@@ -185,50 +195,167 @@ def train_eval(df: DataFrame, params: dict | None = None, app_name: str = "gbt",
                         native=True, model_path=model_path)
 
 
+def trial_key(trial: dict, years: Iterable, data: Iterable) -> str:
+    """A name for one run: its configuration, its years and a fingerprint of the rows it was trained on."""
+    named = {k: v for k, v in trial.items() if v is not None}
+    return hashlib.sha256(json.dumps([named, [str(y) for y in years], [str(d) for d in data]], sort_keys=True).encode()).hexdigest()[:24]
+
+
+def read_ledger(spark, ledger: str) -> dict[str, dict]:
+    """The finished runs of a ledger by their key: one row for each trial ever finished there."""
+    schema = T.StructType([T.StructField("run_key", T.StringType()), *RUN_SCHEMA.fields])
+    try:
+        rows = spark.read.schema(schema).json(f"{ledger.rstrip('/')}/run-*").collect()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return {}
+        raise
+    return {r["run_key"]: r.asDict() for r in rows}
+
+
+def table_parts(n_rows: int, n_features: int) -> int:
+    """Partitions of a feature table: by its size, one for a small table, whose trees are bound by the number of tasks."""
+    return max(1, -(-n_rows * (8 * n_features + 64) // PART_BYTES))
+
+
 def tuning_sweep(df: DataFrame, trials: list[dict], train_years=TRAIN_YEARS, val_years=VAL_YEARS,
-                 test_years=TEST_YEARS, native: bool = False, model_path: str | None = None) -> DataFrame:
-    """Fit and score one model per trial on a shared, materialised feature table.
-
-    The land-cover indexer / encoder / assembler are fitted once, the
-    assembled splits are written once to the checkpoint folder and every
-    trial's fit and scoring is a Spark job over them.  The loop runs over
-    trial configurations (a short list), never over data.  ``trials`` use
-    the second trainer's names (``max_depth``, ``eta``, ...) unless
-    ``native`` (GBTClassifier names).
+                 test_years=TEST_YEARS, native: bool = False, model_path: str | None = None,
+                 ledger: str | None = None) -> DataFrame:
+    """Fit and score one model per trial on a shared, materialised feature table, one run row each in the trials' order.
+
+    The land-cover indexer / encoder / assembler are fitted once and the
+    assembled splits are written once to the checkpoint folder, in partitions
+    by size.  Fits are driven by threads, each in a FAIR pool of its own (where
+    the session schedules fairly), so that the small jobs of one trial's trees
+    do not wait for another's; every fit and scoring is a Spark job over the
+    shared table.  ``trials`` use the second trainer's names (``max_depth``,
+    ``eta``, ...) unless ``native`` (GBTClassifier names).  A run that ends is
+    written to ``ledger`` at once, a folder that the cluster shares; a sweep
+    that starts again with the same rows takes finished runs from there.
     """
     spark = df.sparkSession
     split = split_label("year", train_years, val_years, test_years)
     # Materialise the split rows once: counts, feature fit and assembly all read them.
     rows = materialize(df.withColumn("split", split).filter(F.col("split").isNotNull()), "split-rows")
-    cnt = {(r["split"], r["presence"]): r["n"] for r in
-           rows.groupBy("split", "presence").agg(F.count("*").alias("n")).collect()}  # <= 6 rows
+    print_of = F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in sorted(rows.columns)]).cast("decimal(38,0)"))
+    cnt, prints = {}, []
+    for r in (rows.groupBy("split", "presence").agg(F.count("*").alias("n"), print_of.alias("p"))
+              .orderBy("split", "presence").collect()):  # <= 6 rows
+        cnt[r["split"], r["presence"]] = r["n"]
+        prints.append((r["split"], r["presence"], r["n"], r["p"]))
     pos, neg = cnt.get(("train", 1), 0), cnt.get(("train", 0), 0)
     ratio = neg / pos if pos > 0 else 1.0
+    years = [year_list(y) for y in (train_years, val_years, test_years)]
+    keys = [trial_key({**t, "native": native, "model_path": model_path}, years, prints) for t in trials]
+    finished = read_ledger(spark, ledger) if ledger else {}
+    todo = [i for i, k in enumerate(keys) if k not in finished]
     weighted = rows.withColumn("weight", F.when(F.col("presence") == 1, F.lit(ratio)).otherwise(F.lit(1.0)))
-    feats = Pipeline(stages=feature_stages()).fit(weighted.filter(F.col("split") == "train"))
-    assembled = materialize(feats.transform(weighted).select("split", "year", "presence", "weight", "features"),
-                            "features")
-    train_df = assembled.filter(F.col("split") == "train")
-    out = []
-    for t in trials:
-        t = dict(t)
+    if todo:
+        feats = Pipeline(stages=feature_stages()).fit(weighted.filter(F.col("split") == "train"))
+        n_features = len(NUMERIC_FEATURES) + len(feats.stages[0].labels)
+        parts = table_parts(sum(cnt.values()), n_features)
+        assembled = materialize(feats.transform(weighted).select("split", "year", "presence", "weight", "features")
+                                .repartition(parts), "features")
+        train_df = assembled.filter(F.col("split") == "train")
+        scored_df = assembled.filter(F.col("split").isin("val", "test"))
+
+    def run(i: int) -> tuple:
+        t = dict(trials[i])
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"trial-{i}")
         name = t.pop("app_name", "trial")
         params = dict(t) if native else trial_params(t)
-        model = gbt(params).fit(train_df)
+        model = gbt({"cacheNodeIds": parts > 1, **params}).fit(train_df)
         if model_path:
             PipelineModel(stages=[feats, model]).write().overwrite().save(f"{model_path.rstrip('/')}/{name}")
-        scored = positive_probability(model.transform(assembled.filter(F.col("split").isin("val", "test"))))
+        scored = positive_probability(model.transform(scored_df))
         # Both splits' areas in one pass (grouped by split).
         areas = {r["split"]: (r["roc_auc"], r["pr_auc"])
                  for r in curve_areas(scored, "presence", "prob", by=["split"]).collect()}
-        for s in ("val", "test"):
-            areas.setdefault(s, (None, None))
+        val, test = areas.get("val", (None, None)), areas.get("test", (None, None))
         p = {**GBT_DEFAULTS, **params}
-        out.append((name, datetime.now(timezone.utc).isoformat(),
-                    pos + neg, cnt.get(("val", 1), 0) + cnt.get(("val", 0), 0),
-                    cnt.get(("test", 1), 0) + cnt.get(("test", 0), 0), pos, neg, float(ratio),
-                    int(p["maxDepth"]), float(p["stepSize"]), int(p["maxIter"]), *recorded(t, native),
-                    year_list(train_years), year_list(val_years), year_list(test_years),
-                    f"{model_path.rstrip('/')}/{name}" if model_path else None,
-                    areas["val"][0], areas["val"][1], areas["test"][0], areas["test"][1]))
-    return literal_rows(spark, out, RUN_SCHEMA)
+        row = (name, datetime.now(timezone.utc).isoformat(),
+               pos + neg, cnt.get(("val", 1), 0) + cnt.get(("val", 0), 0),
+               cnt.get(("test", 1), 0) + cnt.get(("test", 0), 0), pos, neg, float(ratio),
+               int(p["maxDepth"]), float(p["stepSize"]), int(p["maxIter"]), *recorded(t, native), *years,
+               f"{model_path.rstrip('/')}/{name}" if model_path else None, *val, *test)
+        if ledger:
+            (literal_rows(spark, [row], RUN_SCHEMA).withColumn("run_key", F.lit(keys[i]))
+             .write.mode("overwrite").json(f"{ledger.rstrip('/')}/run-{keys[i]}"))
+        return row
+
+    done: dict[int, tuple] = {}
+    if todo:
+        with ThreadPoolExecutor(min(MAX_CONCURRENT, len(todo))) as pool:
+            done = dict(zip(todo, pool.map(inheritable_thread_target(spark)(run), todo)))
+        discard(assembled)
+    discard(rows)
+    out = [done[i] if i in done else tuple(finished[k][f.name] for f in RUN_SCHEMA.fields) for i, k in enumerate(keys)]
+    return literal_rows(spark, out, RUN_SCHEMA) if out else spark.createDataFrame([], RUN_SCHEMA)
+
+
+# ------------------------------------------------------------------ trees as tables
+
+def tree_nodes(spark, model_path: str) -> DataFrame:
+    """The trees of a saved pipeline as a table: one row a node.
+
+    (tree, weight, node, feature, threshold, categories, left, right,
+    prediction, n_rows): rows whose ``feature`` is at most ``threshold`` (or, where
+    the feature is categorical, among ``categories``) go to ``left``;
+    leaves have no feature, children, threshold or categories.  ``weight`` is
+    the tree's share in the ensemble.
+    """
+    stage = f"{model_path.rstrip('/')}/stages/*_GBTClassifier_*"
+    nodes = spark.read.parquet(f"{stage}/data")
+    weights = spark.read.parquet(f"{stage}/treesMetadata").select(F.col("_1").alias("tree"), F.col("_3").alias("weight"))
+    n = F.col("nodeData")
+    inner = n["leftChild"] >= 0
+    ordered = n["split"]["numCategories"] < 0
+    values = n["split"]["leftCategoriesOrThreshold"]
+    return (nodes.select(
+        F.col("treeID").alias("tree"), n["id"].alias("node"),
+        F.when(inner, n["split"]["featureIndex"]).alias("feature"),
+        F.when(inner & ordered, F.get(values, F.lit(0))).alias("threshold"),
+        F.when(inner & ~ordered, values).alias("categories"),
+        F.when(inner, n["leftChild"]).alias("left"), F.when(inner, n["rightChild"]).alias("right"),
+        n["prediction"].alias("prediction"), n["rawCount"].alias("n_rows"))
+        .join(weights, "tree")
+        .select("tree", "weight", "node", "feature", "threshold", "categories", "left", "right", "prediction", "n_rows"))
+
+
+def node_scores(rows: DataFrame, nodes: DataFrame, features: str = "features") -> DataFrame:
+    """``rows`` with ``margin`` and ``prob``, the ensemble's score and positive probability, by joins on its nodes.
+
+    Every row starts at each tree's root; a join on (tree, node) a level sends
+    it to a child.  The node table is sent to all tasks where it has at most
+    ``MAX_BROADCAST_NODES`` rows.  Leaves are summed by row; the sums
+    are partial before the shuffle, so a row's trees do not travel apart.
+    """
+    table = materialize(nodes, "tree-nodes")
+    n, trees = table.agg(F.count("*"), F.max("tree")).first()
+    if not n:
+        raise ValueError("a model has at least one node")
+    hint = F.broadcast if n <= MAX_BROADCAST_NODES else (lambda t: t)
+    keyed = materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "scored-rows")
+    step = hint(table.select("tree", "node", "feature", "threshold", "categories", "left", "right"))
+    at = (keyed.select("_row", vector_to_array(features).alias("_x"))
+          .withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(int(trees))))).withColumn("node", F.lit(0)))
+    value = F.get(F.col("_x"), F.col("feature"))
+    left = F.when(F.col("categories").isNull(), value <= F.col("threshold")).otherwise(F.array_contains("categories", value))
+    for _ in range(tree_depth(table)):
+        at = (at.join(step, ["tree", "node"])
+              .select("_row", "_x", "tree", F.when(F.col("feature").isNull(), F.col("node")).when(left, F.col("left"))
+                      .otherwise(F.col("right")).alias("node")))
+    margin = (at.select("_row", "tree", "node").join(hint(table.select("tree", "node", "weight", "prediction")), ["tree", "node"])
+              .groupBy("_row").agg(F.sum(F.col("weight") * F.col("prediction")).alias("margin")))
+    return (keyed.join(margin, "_row").withColumn("prob", 1 / (1 + F.exp(-2 * F.col("margin")))).drop("_row"))
+
+
+def tree_depth(nodes: DataFrame) -> int:
+    """Levels of splits below a root, of the deepest tree."""
+    level, depth = nodes.filter("node = 0"), 0
+    while True:
+        kids = (level.filter("left is not null").select("tree", F.explode(F.array("left", "right")).alias("node")))
+        level = materialize(nodes.join(kids, ["tree", "node"]), "tree-level")
+        if level.isEmpty():
+            return depth
+        depth += 1

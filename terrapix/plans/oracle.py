@@ -188,6 +188,23 @@ LEADER = [
  FROM trials WHERE json_valid(js)"""),
 ]
 
+HYPERPARAMETERS = ("max_depth", "eta", "subsample", "colsample_bytree", "min_child_weight", "reg_lambda", "reg_alpha")
+
+# The best split of one weighted tree over a feature of few values: labels -1 and 1, candidates midway between
+# neighbouring values, largest fall of the weighted variance, the first of equals.
+ONE_SPLIT = [
+    ("banded", "SELECT *, floor(prob * 20) AS band FROM scored"),
+    ("tr", "SELECT * FROM banded WHERE year BETWEEN 1995 AND 2015"),
+    ("r", "SELECT CAST(count(*) FILTER (WHERE presence = 0) AS DOUBLE) / count(*) FILTER (WHERE presence = 1) AS ratio FROM tr"),
+    ("v", """SELECT band, count(*) AS n, sum(CASE WHEN presence = 1 THEN ratio ELSE 1.0 END) AS w,
+ sum(CASE WHEN presence = 1 THEN ratio ELSE -1.0 END) AS y FROM tr CROSS JOIN r GROUP BY band"""),
+    ("cand", """SELECT (band + lead(band) OVER o) / 2 AS t, sum(n) OVER o AS ln, sum(w) OVER o AS lw, sum(y) OVER o AS ly,
+ sum(n) OVER () - sum(n) OVER o AS rn, sum(w) OVER () - sum(w) OVER o AS rw, sum(y) OVER () - sum(y) OVER o AS ry
+ FROM v WINDOW o AS (ORDER BY band)"""),
+    ("best", """SELECT t, CAST(ln AS BIGINT) AS ln, lw, ly, CAST(rn AS BIGINT) AS rn, rw, ry FROM cand WHERE t IS NOT NULL
+ ORDER BY ly * ly / lw + ry * ry / rw DESC, t LIMIT 1"""),
+]
+
 CATALOG = [
     ("sc", "SELECT * FROM scenes WHERE cloud < 60.0 AND acquired >= DATE '2013-01-01' AND acquired < DATE '2024-12-31'"),
     ("pairs", """SELECT a.aoi_id, s.scene_id, s.collection, s.acquired, s.cloud FROM aoi a JOIN sc s
@@ -354,6 +371,42 @@ FROM grid30 g CROSS JOIN years30 y LEFT JOIN pos30 p ON p.pixel_id = g.pixel_id
     ]) + ("\nSELECT (SELECT count(*) FROM runs) AS n_models, b.app_name AS best_app_name, b.val_auc AS best_val_auc,"
           " b.val_pr_auc AS best_val_pr_auc, b.test_auc AS best_test_auc, b.test_pr_auc AS best_test_pr_auc,"
           " (SELECT max(test_auc) FROM runs) AS max_test_auc FROM b")
+    q["tuning_sweep"] = _ctes(["raw_obs", "grid", "edges", "nlcd", "trials"], ALIGNED + LEADER + [
+        ("sets", f"SELECT DISTINCT {', '.join(HYPERPARAMETERS)} FROM runs"),
+        ("named", "SELECT *, row_number() OVER (ORDER BY "
+                  + ", ".join(f"{h} NULLS FIRST" for h in HYPERPARAMETERS) + ") - 1 AS i FROM sets"),
+        ("cn", """SELECT count(*) FILTER (WHERE year BETWEEN 1995 AND 2015) AS train_samples,
+ count(*) FILTER (WHERE year BETWEEN 2016 AND 2018) AS val_samples, count(*) FILTER (WHERE year BETWEEN 2019 AND 2022) AS test_samples,
+ count(*) FILTER (WHERE year BETWEEN 1995 AND 2015 AND presence = 1) AS pos_count,
+ count(*) FILTER (WHERE year BETWEEN 1995 AND 2015 AND presence = 0) AS neg_count FROM aligned"""),
+    ]) + ("\nSELECT 'trial_' || i AS app_name, cn.*, round(CASE WHEN pos_count > 0 THEN CAST(neg_count AS DOUBLE) / pos_count ELSE 1.0 END, 9)"
+          " AS weight_ratio, coalesce(max_depth, 10) AS max_depth, coalesce(eta, 0.1)::DOUBLE AS eta, 100::BIGINT AS num_round,"
+          " subsample, colsample_bytree, min_child_weight, reg_lambda, reg_alpha,"
+          " array_to_string(range(1995, 2016), ',') AS train_years, array_to_string(range(2016, 2019), ',') AS val_years,"
+          " array_to_string(range(2019, 2023), ',') AS test_years, "
+          + ", ".join(f"CASE WHEN {s}_samples > 0 THEN true END AS {s}_{m}_found" for s in ("val", "test") for m in ("auc", "pr_auc"))
+          + " FROM named CROSS JOIN cn")
+    q["one_split_model"] = _ctes(["scored"], ONE_SPLIT) + """
+SELECT 0 AS tree, 1.0::DOUBLE AS weight, 0 AS node, 0 AS feature, round(t, 9) AS threshold, 1 AS "left", 2 AS "right",
+ round((ly + ry) / (lw + rw), 9) AS prediction, ln + rn AS n_rows FROM best
+UNION ALL SELECT 0, 1.0, 1, NULL, NULL, NULL, NULL, round(ly / lw, 9), ln FROM best
+UNION ALL SELECT 0, 1.0, 2, NULL, NULL, NULL, NULL, round(ry / rw, 9), rn FROM best"""
+    q["node_scores"] = _ctes(["scored"], ONE_SPLIT) + """
+SELECT b.band, round(1 / (1 + exp(-2 * CASE WHEN b.band <= t THEN ly / lw ELSE ry / rw END)), 9) AS prob, count(*) AS n,
+ count(*) FILTER (WHERE presence = 1) AS positives FROM banded b CROSS JOIN best WHERE year BETWEEN 2016 AND 2018 GROUP BY 1, 2"""
+    # Two scores only: the curves have one inner point.
+    q["saved_model_eval"] = _ctes(["scored"], ONE_SPLIT + [
+        ("c", """SELECT (SELECT count(*) FROM banded) AS total_samples, count(*) AS eval_samples,
+ count(*) FILTER (WHERE presence = 1) AS pos_count, count(*) FILTER (WHERE presence = 0) AS neg_count,
+ CAST(count(*) FILTER (WHERE presence = 1 AND (band > t) = (ry / rw > ly / lw)) AS DOUBLE) AS tp,
+ CAST(count(*) FILTER (WHERE presence = 0 AND (band > t) = (ry / rw > ly / lw)) AS DOUBLE) AS fp
+ FROM banded CROSS JOIN best WHERE year BETWEEN 2019 AND 2022"""),
+    ]) + """
+SELECT '2019,2020,2021,2022' AS eval_years, total_samples, eval_samples, pos_count, neg_count,
+ round(CAST(neg_count AS DOUBLE) / pos_count, 9) AS class_ratio,
+ round((tp / pos_count) * (fp / neg_count) / 2 + (tp / pos_count + 1) / 2 * (1 - fp / neg_count), 9) AS roc_auc,
+ round(tp / (tp + fp) * (tp / pos_count)
+  + (tp / (tp + fp) + CAST(pos_count AS DOUBLE) / (pos_count + neg_count)) / 2 * (1 - tp / pos_count), 9) AS pr_auc FROM c"""
     return q
 
 

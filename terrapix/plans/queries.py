@@ -279,12 +279,65 @@ def q_train_eval_gbt(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_tuning_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    """One model for each distinct set of hyperparameters in the run documents; what they leave out is the published default."""
+    """One model for each distinct set of hyperparameters in the run documents; what they leave out is the published default.
+
+    Areas are reported as whether they exist and lie in [0, 1] (a fit's value has no SQL form), years as text.
+    """
     names = list(report.HYPERPARAMETER_NAMES)
     sets = _runs(spark, sf).select(*names).distinct().orderBy(*names).collect()  # configurations, not data
     trials = [{"app_name": f"trial_{i}", **{k: v for k, v in r.asDict().items() if v is not None}}
               for i, r in enumerate(sets)]
-    return model.tuning_sweep(aligned_table(spark, sf), trials)
+    runs = model.tuning_sweep(aligned_table(spark, sf), trials, ledger=shared_path(spark, "sweep"))
+    areas = ("val_auc", "val_pr_auc", "test_auc", "test_pr_auc")
+    return rounded(runs.select(
+        "app_name", "train_samples", "val_samples", "test_samples", "pos_count", "neg_count", "weight_ratio", *names[:2], "num_round",
+        *names[2:], *[F.concat_ws(",", F.col(y).cast("array<string>")).alias(y) for y in ("train_years", "val_years", "test_years")],
+        *[F.col(a).between(0, 1).alias(f"{a}_found") for a in areas]), 9)
+
+
+def banded(spark: SparkSession, sf: str) -> DataFrame:
+    """Scored rows with one feature of at most twenty values, so that every split between two of them is tried."""
+    return fx.scored(spark, sf).withColumn("band", F.floor(F.col("prob") * 20).cast("double"))
+
+
+def _one_split_model(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
+    """A pipeline of one weighted tree with one split, fitted on the training years and saved: (rows, path)."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = banded(spark, sf)
+    weighted = model.add_class_weight(rows.filter(model.in_years("year", model.TRAIN_YEARS)))
+    fitted = Pipeline(stages=[VectorAssembler(inputCols=["band"], outputCol="features"),
+                              model.gbt({"maxDepth": 1, "maxIter": 1})]).fit(weighted)
+    path = shared_path(spark, "model")
+    sinks.save_model(fitted, path)
+    return rows, path
+
+
+def q_one_split_model(spark: SparkSession, sf: str) -> DataFrame:
+    """Node table of a saved one-split model: its threshold and leaf values."""
+    _, path = _one_split_model(spark, sf)
+    nodes = model.tree_nodes(spark, path)
+    return rounded(nodes.select("tree", "weight", "node", "feature", "threshold", "left", "right", "prediction", "n_rows"), 9)
+
+
+def q_node_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Validation rows scored by joins on the saved model's nodes, by their score."""
+    from pyspark.ml.feature import VectorAssembler
+
+    rows, path = _one_split_model(spark, sf)
+    val = VectorAssembler(inputCols=["band"], outputCol="features").transform(rows.filter(model.in_years("year", model.VAL_YEARS)))
+    scored = model.node_scores(val, model.tree_nodes(spark, path))
+    return scored.groupBy("band", F.round("prob", 9).alias("prob")).agg(
+        F.count("*").alias("n"), F.count(F.when(F.col("presence") == 1, 1)).alias("positives"))
+
+
+def q_saved_model_eval(spark: SparkSession, sf: str) -> DataFrame:
+    """The saved model loaded again and evaluated on later years."""
+    rows, path = _one_split_model(spark, sf)
+    out = model.evaluate_saved(spark, path, rows, "2019-2023")
+    return rounded(out.select(F.concat_ws(",", F.col("eval_years").cast("array<string>")).alias("eval_years"), "total_samples",
+                              "eval_samples", "pos_count", "neg_count", "class_ratio", "roc_auc", "pr_auc"), 9)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -323,4 +376,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "feature_rows": q_feature_rows,
     "train_eval_gbt": q_train_eval_gbt,
     "tuning_sweep": q_tuning_sweep,
+    "one_split_model": q_one_split_model,
+    "node_scores": q_node_scores,
+    "saved_model_eval": q_saved_model_eval,
 }
