@@ -5,7 +5,10 @@ import random
 import numpy as np
 import pytest
 
-from terrapix.operators.catalog import overlap_join, typical_side
+from pyspark.sql import functions as F
+
+from terrapix.operators import catalog
+from terrapix.operators.catalog import overlap_join
 from terrapix.operators.composite import yearly_composite
 from terrapix.operators.territory import Raster, presence_labels, ring_edges, study_area, valid_territories
 
@@ -90,15 +93,49 @@ def test_offset_north_up_raster_by_true_centres(spark):
     assert presence_labels(grid, edges.limit(0), raster).count() == 0
 
 
-def test_scene_join_takes_its_grid_from_the_data(spark):
+def overlaps(left, right):
+    return sorted((i, j) for i, p, q, u, v in left for j, x0, y0, x1, y1 in right if p <= x1 and x0 <= u and q <= y1 and y0 <= v)
+
+
+RECT = "id int, x0 double, y0 double, x1 double, y1 double"
+
+
+@pytest.mark.parametrize("hot", [20_000, 2])
+@pytest.mark.parametrize("sides", [[185_000.0], [0.0, 3e4, 5e5], [0.0, 1e-7, 0.3, 1.0, 7.0, 4096.0, 3e6]])
+def test_scene_join_finds_every_pair_of_any_sizes(spark, sides, hot):
     rng = random.Random(3)
-    scenes = [(i, x, y, x + 185_000.0, y + 180_000.0) for i in range(60) for x, y in [(rng.uniform(0, 2e6), rng.uniform(0, 2e6))]]
-    areas = [(i, x, y, x + s, y + s) for i in range(15) for x, y, s in [(rng.uniform(0, 2e6), rng.uniform(0, 2e6), rng.choice([0.0, 3e4, 5e5]))]]
-    a = spark.createDataFrame(areas, "id int, x0 double, y0 double, x1 double, y1 double")
-    s = spark.createDataFrame(scenes, "id int, x0 double, y0 double, x1 double, y1 double")
-    assert typical_side(s) == 185_000.0 and typical_side(s.limit(0)) == 1.0
-    got = sorted((r["l_id"], r["r_id"]) for r in overlap_join(a, s).collect())
-    assert got == sorted((i, j) for i, p, q, u, v in areas for j, x0, y0, x1, y1 in scenes if p <= x1 and x0 <= u and q <= y1 and y0 <= v)
+
+    def rects(n):
+        out = []
+        for i in range(n):
+            x, y = rng.uniform(-1e6, 1e6), rng.choice([0.0, 1.0, rng.uniform(-1e6, 1e6)])
+            out.append((i, x, y, x + rng.choice(sides), y + rng.choice(sides)))
+        return out + [(n + k, 4.0 * (k % 3), 8.0, 4.0 * (k % 3) + 4.0, 12.0) for k in range(9)]  # on cell borders, repeated
+
+    a, s = rects(40), rects(60)
+    got = [(r["l_id"], r["r_id"]) for r in overlap_join(spark.createDataFrame(a, RECT), spark.createDataFrame(s, RECT), hot_cell=hot).collect()]
+    assert sorted(got) == overlaps(a, s)
+
+
+def test_a_large_rectangle_has_few_cells_among_small_ones(spark):
+    small = spark.range(400).select(F.col("id").cast("int"), (F.col("id") % 20).cast("double").alias("x0"),
+                                    F.floor(F.col("id") / 20).cast("double").alias("y0"),
+                                    (F.col("id") % 20 + 0.9).alias("x1"), (F.floor(F.col("id") / 20) + 0.9).alias("y1"))
+    large = spark.createDataFrame([(0, -1000.0, -1000.0, 2000.0, 2000.0)], RECT)
+    lt, rt = catalog._levelled(large, "l_"), catalog._levelled(small, "r_")
+    levels = catalog._levels(lt), catalog._levels(rt)
+    for df, p, own, other, left in ((lt, "l_", *levels, True), (rt, "r_", *levels[::-1], False)):
+        cells = catalog._cells(df, p, own, other, left)
+        assert cells.groupBy(p + "id", "_m").count().agg(F.max("count")).first()[0] <= 4
+    assert overlap_join(large, small).count() == 400
+    both = small.unionByName(large)
+    assert overlap_join(both, both).count() == 400 + 2 * 400 + 1
+
+
+def test_rectangles_without_bounds_meet_nothing(spark):
+    odd = spark.createDataFrame([(1, None, 0.0, 1.0, 1.0), (2, float("nan"), 0.0, 1.0, 1.0), (3, 0.0, 0.0, 1.0, 1.0)], RECT)
+    assert [(r["l_id"], r["r_id"]) for r in overlap_join(odd, odd).collect()] == [(3, 3)]
+    assert overlap_join(odd.limit(0), odd).count() == 0 and overlap_join(odd, odd.limit(0)).count() == 0
 
 
 def test_composite_without_ndvi_still_counts_it(spark):
