@@ -9,7 +9,7 @@ results; nothing is collected to the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -149,6 +149,38 @@ def confusion(df: DataFrame, threshold: float = DEFAULT_THRESHOLD, label: str =
     )
 
 
+def bin_edge(i: Column, lo: Column, hi: Column, bins: int) -> Column:
+    """``lo + i * (hi - lo) / bins``, the last edge exactly ``hi``."""
+    return F.when(i == bins, hi).otherwise(i * ((hi - lo) / F.lit(float(bins))) + lo)
+
+
+def bin_of(x: Column, lo: Column, hi: Column, bins: int) -> Column:
+    """``floor((x - lo) * (bins / (hi - lo)))``, corrected by one where rounding put ``x`` across an edge."""
+    raw = F.floor((x - lo) * (F.lit(float(bins)) / (hi - lo))).cast("int")
+    i0 = F.least(F.greatest(raw, F.lit(0)), F.lit(bins - 1))
+    i1 = F.when(x < bin_edge(i0, lo, hi, bins), i0 - 1).otherwise(i0)
+    return F.when((x >= bin_edge(i1 + 1, lo, hi, bins)) & (i1 != bins - 1), i1 + 1).otherwise(i1)
+
+
+def widened(low: Column, high: Column) -> tuple[Column, Column]:
+    """The range [low, high], or half a unit to each side where it is a point."""
+    return F.when(low == high, low - 0.5).otherwise(low), F.when(low == high, high + 0.5).otherwise(high)
+
+
+def small_histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
+    """``histogram`` of a table of few rows, in one evaluation: its values are one array."""
+    x = F.col(col).cast("double")
+    values = df.agg(F.collect_list(F.when(~F.isnan(x), x)).alias("_v")).filter(F.size("_v") > 0)
+    lo, hi = widened(F.array_min("_v"), F.array_max("_v"))
+    of = F.transform("_v", lambda v: bin_of(v, F.col("_lo"), F.col("_hi"), bins))
+    each = (values.withColumns({"_lo": lo, "_hi": hi}).withColumn("_bins", of)
+            .select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")))
+    return each.select("bin", bin_edge(F.col("bin"), F.col("_lo"), F.col("_hi"), bins).alias("lo"),
+                       bin_edge(F.col("bin") + 1, F.col("_lo"), F.col("_hi"), bins).alias("hi"),
+                       F.size(F.filter("_bins", lambda b: b == F.col("bin"))).cast("long").alias("count"),
+                       F.size("_v").cast("long").alias("n"))
+
+
 def histogram(df: DataFrame, col: str, bins: int, by: str | None = None, density: bool = False) -> DataFrame:
     """Equal-width histogram over each group's own [min, max] (all bins, also empty).
 
@@ -169,10 +201,8 @@ def histogram(df: DataFrame, col: str, bins: int, by: str | None = None, density
     if keys:
         vals = vals.filter(F.col(by).isNotNull())
     stats = vals.groupBy(*keys).agg(F.min("_x").alias("_mn"), F.max("_x").alias("_mx"), F.count("*").alias("_n"))
-    same = F.col("_mn") == F.col("_mx")
-    rng = stats.select(*keys, "_n",
-                       F.when(same, F.col("_mn") - 0.5).otherwise(F.col("_mn")).alias("_lo"),
-                       F.when(same, F.col("_mx") + 0.5).otherwise(F.col("_mx")).alias("_hi"))
+    lo, hi = widened(F.col("_mn"), F.col("_mx"))
+    rng = stats.select(*keys, "_n", lo.alias("_lo"), hi.alias("_hi"))
     if keys:
         entry = F.struct(F.col(by), F.struct("_n", "_lo", "_hi"))
         ranges = rng.agg(F.map_from_entries(F.collect_list(entry)).alias("_m")).scalar()
@@ -180,26 +210,17 @@ def histogram(df: DataFrame, col: str, bins: int, by: str | None = None, density
              .select(*keys, "_x", "_r.*"))
         base = rng
     else:
-        sub = {c: rng.select(c).scalar() for c in ("_n", "_lo", "_hi")}
-        j = vals.withColumns(sub)
-        base = vals.sparkSession.range(1).select(*[v.alias(c) for c, v in sub.items()])
-    nb = F.lit(float(bins))
-    step = (F.col("_hi") - F.col("_lo")) / nb
-
-    def edge(i):
-        return F.when(i == bins, F.col("_hi")).otherwise(i * step + F.col("_lo"))
-
-    raw = F.floor((F.col("_x") - F.col("_lo")) * (nb / (F.col("_hi") - F.col("_lo")))).cast("int")
-    i0 = F.least(F.greatest(raw, F.lit(0)), F.lit(bins - 1))
-    i1 = F.when(F.col("_x") < edge(i0), i0 - 1).otherwise(i0)
-    i2 = F.when((F.col("_x") >= edge(i1 + 1)) & (i1 != bins - 1), i1 + 1).otherwise(i1)
-    counts = j.groupBy(*keys, i2.alias("bin")).agg(F.count("*").alias("count"))
+        # One struct: the range is one subquery, which both sides use.
+        ranges = rng.select(F.struct("_n", "_lo", "_hi")).scalar()
+        j = vals.withColumn("_r", ranges).select("_x", "_r.*")
+        base = vals.sparkSession.range(1).select(ranges.alias("_r")).select("_r.*")
+    counts = j.groupBy(*keys, bin_of(F.col("_x"), F.col("_lo"), F.col("_hi"), bins).alias("bin")).agg(F.count("*").alias("count"))
     allbins = base.filter(F.col("_n") > 0).select(
         *keys, "_n", "_lo", "_hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     out = allbins.join(counts, [*keys, "bin"], "left").select(
         *keys, "bin",
-        edge(F.col("bin")).alias("lo"),
-        edge(F.col("bin") + 1).alias("hi"),
+        bin_edge(F.col("bin"), F.col("_lo"), F.col("_hi"), bins).alias("lo"),
+        bin_edge(F.col("bin") + 1, F.col("_lo"), F.col("_hi"), bins).alias("hi"),
         F.coalesce(F.col("count"), F.lit(0)).alias("count"),
         F.col("_n").alias("n"),
     )

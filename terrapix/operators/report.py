@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrapix.functions.spectral import safe_div
-from terrapix.operators.metrics import histogram
+from terrapix.operators.metrics import small_histogram
 from terrapix.operators.prefix import running_totals
 
 # ---------------------------------------------------------------------------
@@ -103,8 +103,12 @@ def imbalance_summary(by_year: DataFrame) -> DataFrame:
 
 
 def imbalance_hist(by_year: DataFrame, bins: int = IMBALANCE_HIST_BINS) -> DataFrame:
-    """Histogram of yearly positive percentages (all bins, also empty)."""
-    return histogram(by_year, "positive_pct", bins)
+    """Histogram of yearly positive percentages (all bins, also empty).
+
+    The table has a row for each calendar year, so its values fit one row, and
+    the labels behind it are evaluated once for the range and the bins.
+    """
+    return small_histogram(by_year, "positive_pct", bins)
 
 
 # --------------------------------------------------------------- run metrics

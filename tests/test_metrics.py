@@ -78,3 +78,24 @@ def test_bounded_sample(spark):
     assert 1500 < n < 2500 and n == bounded_sample(df, max_rows=2000, seed=42).count()
     assert bounded_sample(df, max_rows=50000).count() == 20000
     assert 800 < bounded_sample(df, fraction=0.05).count() < 1200
+
+
+@pytest.mark.parametrize("values", [[3.0], [1.0, 1.0, None, float("nan")], [0.1 * i for i in range(31)], [None], []])
+def test_small_histogram_equals_the_large_one(spark, values):
+    from terrapix.operators.metrics import histogram, small_histogram
+
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    rows = [sorted(map(tuple, f(df, "x", 15).collect())) for f in (histogram, small_histogram)]
+    assert rows[0] == rows[1]
+
+
+def test_yearly_histogram_evaluates_its_labels_once(spark):
+    from conftest import SF001
+    from terrapix.operators.report import imbalance_by_year, imbalance_hist
+    from terrapix.plans.queries import labels_table
+
+    def scans(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("Scan parquet")
+
+    by_year = imbalance_by_year(labels_table(spark, SF001))
+    assert scans(imbalance_hist(by_year)) == scans(by_year)
