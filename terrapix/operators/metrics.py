@@ -15,6 +15,7 @@ from pyspark.sql.types import DoubleType
 
 from terrapix.functions.spectral import safe_div
 from terrapix.operators.prefix import running_totals
+from terrapix.sources.store import materialize
 
 # ---------------------------------------------------------------------------
 # Published evaluation defaults.
@@ -102,10 +103,29 @@ def curve_areas(df: DataFrame, label: str = "presence", score: str = "prob",
     )
 
 
+def compact_points(points: DataFrame) -> DataFrame:
+    """``score_points`` without those at which a curve goes straight on: the next step equals the one that led there.
+
+    The point after another is found by an equality: rows at or above a score
+    grow with every point, so their number names a point, and the next
+    point's number before its own step is the same.  The names differ, so the
+    join has no hot key, and no order over all points is needed.
+    """
+    n = F.col("tp") + F.col("fp")
+    after = points.select((n - F.col("pos") - F.col("neg")).alias("_n"), F.col("pos").alias("_pos"), F.col("neg").alias("_neg"))
+    straight = (F.col("pos") == F.col("_pos")) & (F.col("neg") == F.col("_neg")) & (n > F.col("pos") + F.col("neg"))
+    return (points.withColumn("_n", n).join(after, "_n", "left")
+            .filter(~F.coalesce(straight, F.lit(False))).drop("_n", "_pos", "_neg"))
+
+
 def roc_curve(df: DataFrame, label: str = "presence", score: str = "prob",
-              num_partitions: int | None = None) -> DataFrame:
-    """ROC points (threshold, fpr, tpr): (0, 0) with a null threshold, then one per distinct score."""
-    p = score_points(df, label, score, num_partitions)
+              num_partitions: int | None = None, compact: bool = False) -> DataFrame:
+    """ROC points (threshold, fpr, tpr): (0, 0) with a null threshold, then one per distinct score.
+
+    ``compact`` leaves out points between two equal steps; the first and the last stay.
+    """
+    p = materialize(score_points(df, label, score, num_partitions), "curve-points")
+    p = compact_points(p) if compact else p
     points = p.select("threshold",
                       safe_div(F.col("fp").cast("double"), F.col("n_neg").cast("double")).alias("fpr"),
                       safe_div(F.col("tp").cast("double"), F.col("n_pos").cast("double")).alias("tpr"))

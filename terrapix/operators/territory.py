@@ -56,11 +56,45 @@ def ring_edges(territories: DataFrame, ring_col: str = "ring") -> DataFrame:
     closed = territories.filter(F.size(ring) >= 2).withColumn("_ring", shut)
     n = F.size("_ring")
     pairs = F.arrays_zip(F.slice("_ring", 1, n - 1).alias("a"), F.slice("_ring", 2, n - 1).alias("b"))
-    return (closed.select("poly_id", "year", F.explode(pairs).alias("e"))
-            .select("poly_id", "year", F.col("e.a.x").alias("x1"), F.col("e.a.y").alias("y1"),
+    ids = ["poly_id", "year", *(["part_id"] if "part_id" in territories.columns else [])]
+    return (closed.select(*ids, F.explode(pairs).alias("e"))
+            .select(*ids, F.col("e.a.x").alias("x1"), F.col("e.a.y").alias("y1"),
                     F.col("e.b.x").alias("x2"), F.col("e.b.y").alias("y2")))
 
 
+def valid_parts(territories: DataFrame, skip: str | None = None, path_col: str = "path",
+                parts_col: str = "parts") -> DataFrame:
+    """Territories of several parts (``ARRAY<ARRAY<ring>>``: an outer ring, then its holes), without what is no polygon.
+
+    A part whose outer ring is null or degenerate goes with its holes; other
+    null or degenerate rings go alone; a territory left without a part goes.
+    ``skip`` leaves out files whose path contains it.  Raises when nothing is left.
+    """
+    def usable(ring: Column) -> Column:
+        closed = F.get(ring, F.lit(0)) == F.get(ring, F.size(ring) - 1)
+        return ring.isNotNull() & (F.size(ring) >= F.when(closed, 4).otherwise(3))
+
+    whole = F.filter(F.col(parts_col), lambda part: F.coalesce(usable(F.get(part, F.lit(0))), F.lit(False)))
+    out = territories.withColumn(parts_col, F.transform(whole, lambda part: F.filter(part, usable)))
+    out = out.filter(F.size(parts_col) > 0)
+    if skip is not None and path_col in territories.columns:
+        out = out.filter(~F.col(path_col).contains(skip))
+    if out.isEmpty():
+        raise RuntimeError("the territory files hold no usable polygon")
+    return out
+
+
+def part_edges(territories: DataFrame, parts_col: str = "parts") -> DataFrame:
+    """Edges of all rings of all parts: ``poly_id year part_id x1 y1 x2 y2``.
+
+    The rings of one part keep one ``part_id``, so that the crossings of its
+    holes count with those of its outer ring.
+    """
+    rings = (territories.select("poly_id", "year", F.posexplode(parts_col).alias("part_id", "_rings"))
+             .select("poly_id", "year", "part_id", F.explode("_rings").alias("ring")))
+    return ring_edges(rings)
+
+
 def assign_years(files: DataFrame, path_col: str = "path") -> DataFrame:
     """Attach the detected year of each territory file; files without one are dropped."""
     return files.withColumn("year", path_year(path_col)).filter(F.col("year").isNotNull())
@@ -102,6 +136,8 @@ def _indices(a: Column, b: Column, origin: float, step: float, count: int | None
 def inside_pixels(edges: DataFrame, raster: Raster = UNIT) -> DataFrame:
     """(year, row_idx, col_idx) of every pixel whose true centre lies inside some polygon.
 
+    A polygon is a ``poly_id`` or, where ``edges`` has ``part_id``, one of its
+    parts: holes are cut out of their own part only, and parts are united.
     Even-odd rule with the half-open crossing test ``(y1 > py) != (y2 > py)``
     and ``px < x_cross``; a centre on a crossing point counts as inside only on
     the span's left end.  Each edge is expanded to the raster rows it crosses
@@ -110,14 +146,15 @@ def inside_pixels(edges: DataFrame, raster: Raster = UNIT) -> DataFrame:
     spans, and only the pixels inside spans are emitted, so the output is
     proportional to the positive pixels.
     """
-    rows = edges.select("poly_id", "year", "x1", "y1", "x2", "y2",
+    polygon = ["poly_id", *(["part_id"] if "part_id" in edges.columns else [])]
+    rows = edges.select(*polygon, "year", "x1", "y1", "x2", "y2",
                         F.explode(_indices(F.col("y1"), F.col("y2"), raster.y0, raster.dy, raster.n_rows)).alias("row_idx"))
     py = (F.col("row_idx") + F.lit(0.5)) * F.lit(raster.dy) + F.lit(raster.y0)
     crossings = rows.filter((F.col("y1") > py) != (F.col("y2") > py)).select(
-        "poly_id", "year", "row_idx",
+        *polygon, "year", "row_idx",
         ((F.col("x2") - F.col("x1")) * (py - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")).alias("xc"),
     )
-    per_row = (crossings.groupBy("year", "poly_id", "row_idx").agg(F.sort_array(F.collect_list("xc")).alias("xs"))
+    per_row = (crossings.groupBy("year", *polygon, "row_idx").agg(F.sort_array(F.collect_list("xc")).alias("xs"))
                .filter(F.size("xs") >= 2))
     spans = per_row.select(
         "year", "row_idx",

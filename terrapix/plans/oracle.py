@@ -371,6 +371,54 @@ FROM grid30 g CROSS JOIN years30 y LEFT JOIN pos30 p ON p.pixel_id = g.pixel_id
     ]) + ("\nSELECT (SELECT count(*) FROM runs) AS n_models, b.app_name AS best_app_name, b.val_auc AS best_val_auc,"
           " b.val_pr_auc AS best_val_pr_auc, b.test_auc AS best_test_auc, b.test_pr_auc AS best_test_pr_auc,"
           " (SELECT max(test_auc) FROM runs) AS max_test_auc FROM b")
+    # Parity inside a part, any part of any territory.
+    q["presence_labels_parts"] = _ctes(["grid"], [
+        ("terr", """SELECT s_suppkey AS poly_id, 1995 + CAST(s_suppkey % 28 AS INT) AS year, CAST(s_suppkey * 3 % 7 AS DOUBLE) AS ax,
+ CAST(s_suppkey * 5 % 7 AS DOUBLE) AS ay FROM supplier WHERE s_suppkey % 9 <> 4"""),
+        ("seg(part, a1, b1, a2, b2)", """VALUES (0, 0.0, 0.0, 4.0, 0.0), (0, 4.0, 0.0, 4.0, 4.0), (0, 4.0, 4.0, 0.0, 4.0),
+ (0, 0.0, 4.0, 0.0, 0.0), (0, 1.0, 1.0, 3.0, 1.0), (0, 3.0, 1.0, 3.0, 3.0), (0, 3.0, 3.0, 1.0, 3.0), (0, 1.0, 3.0, 1.0, 1.0),
+ (1, 2.0, 2.0, 5.0, 2.25), (1, 5.0, 2.25, 2.5, 5.0), (1, 2.5, 5.0, 2.0, 2.0)"""),
+        ("e", """SELECT poly_id, part, year, CAST(ax + a1 AS DOUBLE) AS x1, CAST(ay + b1 AS DOUBLE) AS y1, CAST(ax + a2 AS DOUBLE) AS x2,
+ CAST(ay + b2 AS DOUBLE) AS y2 FROM terr CROSS JOIN seg"""),
+        ("n", """SELECT g.pixel_id, e.year, e.poly_id, e.part,
+ SUM(CASE WHEN ((e.y1 > g.py) <> (e.y2 > g.py)) AND (g.px < (e.x2 - e.x1) * (g.py - e.y1) / (e.y2 - e.y1) + e.x1) THEN 1 ELSE 0 END) AS n
+ FROM grid g CROSS JOIN e GROUP BY ALL"""),
+        ("pos", "SELECT DISTINCT pixel_id, year FROM n WHERE n % 2 = 1"),
+    ]) + """
+SELECT y.year, g.pixel_id, CAST(floor(g.py) AS INT) AS row_idx, CAST(floor(g.px) AS INT) AS col_idx,
+ CASE WHEN p.pixel_id IS NULL THEN 0 ELSE 1 END AS presence
+FROM grid g CROSS JOIN (SELECT DISTINCT year FROM terr) y LEFT JOIN pos p ON p.pixel_id = g.pixel_id AND p.year = y.year"""
+    # Every four digits that stand free, by position; the last in range.
+    q["path_year_free"] = """WITH p AS (SELECT p_partkey AS k, 1990 + p_partkey % 37 AS y FROM part),
+f AS (SELECT k AS file_id, CASE k % 6 WHEN 0 THEN concat('/d/area', y, 'x/agate 7.shp') WHEN 1 THEN concat('/d/set-', y, '-', y - 5, '/agate.shp')
+ WHEN 2 THEN concat('/d/x', y, ' y', y - 5, ' z/agate.shp') WHEN 3 THEN concat('/d/n1', y, 'b/agate.shp')
+ WHEN 4 THEN concat('/d/_', y, ' a/agate.shp') ELSE concat('/d/q', y, '_/agate.', y - 5) END AS path FROM p),
+c AS (SELECT file_id, path, list_filter(list_transform(range(1, length(path) - 2), lambda i:
+  CASE WHEN regexp_full_match(path[i:i + 3], '[0-9]{4}') AND (i = 1 OR path[i - 1] NOT IN ('/', '_'))
+   AND NOT regexp_full_match(path[i + 4:i + 4], '[/_0-9]') THEN CAST(path[i:i + 3] AS INT) END), lambda x: x BETWEEN 1995 AND 2022) AS ys FROM f)
+SELECT file_id, path, ys[len(ys)] AS year FROM c"""
+    q["roc_curve_compact"] = _ctes(["scored"], POINTS + [
+        ("st", """SELECT *, row_number() OVER (ORDER BY threshold DESC) AS i, lead(pos) OVER (ORDER BY threshold DESC) AS pos1,
+ lead(neg) OVER (ORDER BY threshold DESC) AS neg1 FROM pts"""),
+    ]) + ("\nSELECT round(threshold, 9) AS threshold,"
+          " round(CASE WHEN n_neg = 0 THEN 0.0 ELSE CAST(fp AS DOUBLE) / CAST(n_neg AS DOUBLE) END, 9) AS fpr,"
+          " round(CASE WHEN n_pos = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / CAST(n_pos AS DOUBLE) END, 9) AS tpr FROM st"
+          " WHERE i = 1 OR pos1 IS NULL OR pos <> pos1 OR neg <> neg1"
+          " UNION ALL SELECT NULL, 0.0, 0.0 FROM (SELECT 1 FROM pts LIMIT 1)")
+    q["bounded_sample_check"] = ("SELECT count(*) AS total, true AS subset, true AS repeatable, true AS near_bound,"
+                                 " count(*) > 5000 AS drawn FROM lineitem")
+    q["run_files"] = """WITH d AS (SELECT s_suppkey AS s, concat('{', chr(10), '  "app_name": "trial_', s_suppkey, '",', chr(10), '  "metrics": {', chr(10),
+ '    "val_auc": ', CASE WHEN s_suppkey % 10 = 7 THEN '"high"' ELSE concat('0.', lpad(CAST((s_suppkey * 37) % 1000 AS VARCHAR), 3, '0')) END, ',', chr(10),
+ '    "test_auc": 0.5', chr(10), '  },', chr(10), '  "hyperparameters": {', chr(10), '    "max_depth": ', 6 + s_suppkey % 4 * 2, chr(10), '  }', chr(10), '}') AS js FROM supplier),
+t AS (SELECT s, CASE s % 10 WHEN 9 THEN js[1:40] WHEN 8 THEN '[1, 2]' ELSE js END AS js, s % 10 AS k FROM d)
+SELECT s AS run_id, CAST(strlen(js) + 1 AS BIGINT) AS n_bytes,
+ CASE WHEN NOT json_valid(js) OR json_type(js) <> 'OBJECT' THEN 'skipped' WHEN json_type(js, '$.metrics.val_auc') = 'VARCHAR' THEN 'partial' ELSE 'read' END AS status,
+ CASE WHEN NOT json_valid(js) THEN 'not JSON' WHEN json_type(js) <> 'OBJECT' THEN 'not an object'
+  WHEN json_type(js, '$.metrics.val_auc') = 'VARCHAR' THEN 'a field of another type' END AS reason,
+ CASE WHEN k < 8 THEN json_extract_string(js, '$.app_name') END AS app_name,
+ CASE WHEN k < 7 THEN CAST(json_extract(js, '$.metrics.val_auc') AS DOUBLE) END AS val_auc,
+ CASE WHEN k < 8 THEN CAST(json_extract(js, '$.metrics.test_auc') AS DOUBLE) END AS test_auc,
+ CASE WHEN k < 8 THEN CAST(json_extract(js, '$.hyperparameters.max_depth') AS BIGINT) END AS max_depth FROM t"""
     q["tuning_sweep"] = _ctes(["raw_obs", "grid", "edges", "nlcd", "trials"], ALIGNED + LEADER + [
         ("sets", f"SELECT DISTINCT {', '.join(HYPERPARAMETERS)} FROM runs"),
         ("named", "SELECT *, row_number() OVER (ORDER BY "

@@ -95,6 +95,12 @@ def q_territory_rings(spark: SparkSession, sf: str) -> DataFrame:
     return territory.ring_edges(territory.valid_territories(rings))
 
 
+def q_presence_labels_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Territories with holes and overlapping parts, burned; archives among the files are left out."""
+    parts = territory.valid_parts(fx.territory_parts(spark, sf), skip=".zip")
+    return territory.presence_labels(fx.grid(spark, sf), territory.part_edges(parts))
+
+
 def q_study_area(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(territory.study_area(fx.edges(spark, sf)))
 
@@ -104,6 +110,12 @@ def q_path_year(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("file_id", "path", path_year_col("path").alias("year"))
 
 
+def q_path_year_free(spark: SparkSession, sf: str) -> DataFrame:
+    """Paths that only the last tier dates, or none."""
+    p = fx.free_year_paths(spark, sf)
+    return p.select("file_id", "path", path_year_col("path").alias("year"))
+
+
 def q_imbalance_by_year(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(report.imbalance_by_year(labels_table(spark, sf)))
 
@@ -181,6 +193,24 @@ def q_roc_curve(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(metrics.roc_curve(fx.scored(spark, sf)), 9)
 
 
+def q_roc_curve_compact(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(metrics.roc_curve(fx.scored(spark, sf), compact=True), 9)
+
+
+def q_bounded_sample_check(spark: SparkSession, sf: str) -> DataFrame:
+    """The plotting sample of at most about 5,000 rows: from the table, the same each time, near its bound."""
+    bound = 5000
+    s = fx.scored(spark, sf)
+    key = [F.col(c) for c in s.columns]
+    draws = [metrics.bounded_sample(s, bound).groupBy(*key).agg(F.count("*").alias(n)) for n in ("n1", "n2")]
+    counted = s.groupBy(*key).agg(F.count("*").alias("n")).join(draws[0], s.columns, "full").join(draws[1], s.columns, "full")
+    n, n1, n2 = (F.coalesce(F.col(c), F.lit(0)) for c in ("n", "n1", "n2"))
+    size = F.sum(n1)
+    return counted.agg(F.sum(n).alias("total"), F.every(n1 <= n).alias("subset"), F.every(n1 == n2).alias("repeatable"),
+                       (F.abs(size - F.least(F.sum(n), F.lit(bound))) <= 6 * F.sqrt(F.lit(bound))).alias("near_bound"),
+                       (F.sum(n) > bound).alias("drawn"))
+
+
 def q_pr_curve(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(metrics.pr_curve(fx.scored(spark, sf)), 9)
 
@@ -244,6 +274,16 @@ def q_run_documents(spark: SparkSession, sf: str) -> DataFrame:
     return report.leaderboard(report.flatten_run_metrics(runs), None)
 
 
+def q_run_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Run documents in a file each, as printed over several lines, read whole; what is skipped is reported with its reason."""
+    path = shared_path(spark, "run-files")
+    fx.run_documents(spark, sf).write.partitionBy("run_id").text(path)
+    runs = sinks.read_run_files(spark, path, pattern="*.txt")
+    run_id = F.regexp_extract("source_file", r"run_id=(\d+)/", 1).cast("long")
+    return runs.select(run_id.alias("run_id"), "n_bytes", "status", "reason", "app_name", F.col("metrics.val_auc").alias("val_auc"),
+                       F.col("metrics.test_auc").alias("test_auc"), F.col("hyperparameters.max_depth").alias("max_depth"))
+
+
 def q_best_model(spark: SparkSession, sf: str) -> DataFrame:
     return report.best_model(_runs(spark, sf))
 
@@ -347,9 +387,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "composite_full": q_composite_full,
     "presence_labels": q_presence_labels,
     "presence_labels_30m": q_presence_labels_30m,
+    "presence_labels_parts": q_presence_labels_parts,
     "territory_rings": q_territory_rings,
     "study_area": q_study_area,
     "path_year": q_path_year,
+    "path_year_free": q_path_year_free,
     "imbalance_by_year": q_imbalance_by_year,
     "imbalance_summary": q_imbalance_summary,
     "imbalance_hist": q_imbalance_hist,
@@ -363,7 +405,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "class_weights": q_class_weights,
     "roc_auc_exact": q_roc_auc_exact,
     "roc_curve": q_roc_curve,
+    "roc_curve_compact": q_roc_curve_compact,
     "pr_curve": q_pr_curve,
+    "bounded_sample_check": q_bounded_sample_check,
     "confusion_at_threshold": q_confusion_at_threshold,
     "prob_histogram": q_prob_histogram,
     "predictions_written": q_predictions_written,
@@ -372,6 +416,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "leaderboard": q_leaderboard,
     "leaderboard_full": q_leaderboard_full,
     "run_documents": q_run_documents,
+    "run_files": q_run_files,
     "best_model": q_best_model,
     "feature_rows": q_feature_rows,
     "train_eval_gbt": q_train_eval_gbt,

@@ -159,3 +159,48 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.lit("/d/none/agate.shp"))
     )
     return pt.select(k.alias("file_id"), path.alias("path"))
+
+
+def territory_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Territories of two parts: a square with a square hole, and a triangle that lies over both."""
+    sup = read_table(spark, sf_dir, "supplier", ["s_suppkey"])
+    k = F.col("s_suppkey")
+    ax, ay = (k * 3 % 7).cast("double"), (k * 5 % 7).cast("double")
+
+    def ring(*points):
+        return F.array(*[F.struct((ax + x).alias("x"), (ay + y).alias("y")) for x, y in points])
+
+    parts = F.array(
+        F.array(ring((0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)), ring((1.0, 1.0), (3.0, 1.0), (3.0, 3.0), (1.0, 3.0))),
+        F.array(ring((2.0, 2.0), (5.0, 2.25), (2.5, 5.0))))
+    path = F.concat(F.lit("/d/"), k.cast("string"), F.when(k % 9 == 4, F.lit(".zip")).otherwise(F.lit(".shp")))
+    return sup.select(k.alias("poly_id"), (F.lit(1995) + k % 28).cast("int").alias("year"), path.alias("path"),
+                      parts.alias("parts"))
+
+
+def free_year_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Territory file paths whose year stands free in them, or nowhere."""
+    pt = read_table(spark, sf_dir, "part", ["p_partkey"])
+    k = F.col("p_partkey")
+    y = F.lit(1990) + k % 37
+    t, u = y.cast("string"), (y - 5).cast("string")
+    path = (F.when(k % 6 == 0, F.concat(F.lit("/d/area"), t, F.lit("x/agate 7.shp")))
+            .when(k % 6 == 1, F.concat(F.lit("/d/set-"), t, F.lit("-"), u, F.lit("/agate.shp")))
+            .when(k % 6 == 2, F.concat(F.lit("/d/x"), t, F.lit(" y"), u, F.lit(" z/agate.shp")))
+            .when(k % 6 == 3, F.concat(F.lit("/d/n1"), t, F.lit("b/agate.shp")))
+            .when(k % 6 == 4, F.concat(F.lit("/d/_"), t, F.lit(" a/agate.shp")))
+            .otherwise(F.concat(F.lit("/d/q"), t, F.lit("_/agate."), u)))
+    return pt.select(k.alias("file_id"), path.alias("path"))
+
+
+def run_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run documents as a tool prints them, over several lines: one in ten cut off, one of another kind, one with a
+    field of another type."""
+    sup = read_table(spark, sf_dir, "supplier", ["s_suppkey"])
+    s = F.col("s_suppkey")
+    auc = F.concat(F.lit("0."), F.lpad(((s * 37) % 1000).cast("string"), 3, "0"))
+    whole = F.concat(F.lit('{\n  "app_name": "trial_'), s.cast("string"), F.lit('",\n  "metrics": {\n    "val_auc": '),
+                     F.when(s % 10 == 7, F.lit('"high"')).otherwise(auc), F.lit(',\n    "test_auc": 0.5\n  },\n'),
+                     F.lit('  "hyperparameters": {\n    "max_depth": '), (F.lit(6) + s % 4 * 2).cast("string"), F.lit("\n  }\n}"))
+    text = (F.when(s % 10 == 9, F.substring(whole, 1, 40)).when(s % 10 == 8, F.lit("[1, 2]")).otherwise(whole))
+    return sup.select(s.alias("run_id"), text.alias("value"))

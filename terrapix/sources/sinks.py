@@ -15,9 +15,12 @@ def write_samples(df: DataFrame, path: str) -> None:
     """Training samples as Parquet, one directory per year.
 
     Dynamic partition overwrite replaces only the years present in ``df``,
-    so one year can be rebuilt without touching the others.
+    so one year can be rebuilt without touching the others.  Rows are brought
+    together by year first, by a rebalance that adaptive execution cuts where a
+    year is large and merges where years are small: a year has about its
+    bytes over the advised partition size files, not one from every task.
     """
-    (df.write.mode("overwrite")
+    (df.hint("rebalance", F.col("year")).write.mode("overwrite")
        .option("partitionOverwriteMode", "dynamic")
        .partitionBy("year")
        .parquet(path))
@@ -55,6 +58,31 @@ def read_run_metrics(spark: SparkSession, path: str, pattern: str = "*_metrics.j
             .withColumn("source_file", F.input_file_name()))
 
 
+def read_run_files(spark: SparkSession, path: str, pattern: str = "*_metrics.json") -> DataFrame:
+    """One row for each file under ``path`` whose name matches ``pattern``, read whole: ``source_file``, ``n_bytes``,
+    the parsed fields, and ``status`` with the ``reason`` why a file is to be skipped.
+
+    Files of any layout are read (pretty-printed ones too).  ``skipped`` are
+    files that are not JSON (cut off, blank, not UTF-8) or no object; ``partial`` ones
+    are objects with a field of another type, which is null here; the rest is ``read``.
+    A file of no bytes has no row: Spark's listing leaves such files out.
+    """
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+             .select(F.col("path").alias("source_file"), F.col("length").alias("n_bytes"),
+                     F.try_validate_utf8(F.col("content").cast("string")).alias("value")))
+    parsed = F.from_json("value", RUN_METRICS_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    # A document of any kind, with its leaves as text: null where the text is no JSON.
+    kind = F.expr("try_variant_get(try_parse_json(value), '$', 'variant')")
+    is_object = F.expr("schema_of_variant(try_parse_json(value)) like 'OBJECT%'")
+    reason = (F.when(kind.isNull(), "not JSON").when(~is_object, "not an object")
+              .when(F.col("m._corrupt_record").isNotNull(), "a field of another type"))
+    fields = [f.name for f in RUN_METRICS_SCHEMA.fields if f.name != "_corrupt_record"]
+    status = (F.when(F.col("reason").isNull(), "read").when(F.col("reason") == "a field of another type", "partial")
+              .otherwise("skipped"))
+    return (files.withColumn("m", parsed).withColumn("reason", reason).withColumn("status", status)
+            .select("source_file", "n_bytes", "status", "reason", *[F.col(f"m.{f}").alias(f) for f in fields]))
+
+
 def unreadable_runs(runs: DataFrame) -> DataFrame:
     """Files that were not parsed in full (to report): not JSON, or a field of another type."""
     # A pruned field is not parsed, so all are named here for their faults to show.
@@ -73,5 +101,5 @@ def load_model(path: str):
     return PipelineModel.load(path)
 
 
-__all__ = ["good_runs", "load_model", "read_run_metrics", "save_model", "unreadable_runs", "write_csv",
+__all__ = ["good_runs", "load_model", "read_run_files", "read_run_metrics", "save_model", "unreadable_runs", "write_csv",
            "write_metrics", "write_predictions", "write_samples"]

@@ -99,3 +99,26 @@ def test_yearly_histogram_evaluates_its_labels_once(spark):
 
     by_year = imbalance_by_year(labels_table(spark, SF001))
     assert scans(imbalance_hist(by_year)) == scans(by_year)
+
+
+@pytest.mark.parametrize("rows", [[], [(0.5, 1)], [(0.5, 1), (0.4, 0)], "many", "straight"])
+def test_compact_curve_leaves_out_points_between_equal_steps(spark, rows):
+    from terrapix.operators.metrics import roc_curve
+
+    if rows == "many":
+        rows = [(i % 37 / 37, (i * i) % 3 // 2) for i in range(400)]
+    if rows == "straight":  # every step alike: only the ends stay
+        rows = [(i / 50, y) for i in range(50) for y in (0, 1)]
+    df = spark.createDataFrame(rows, "prob double, presence int")
+    steps = [(s, sum(y for p, y in rows if p == s), sum(1 - y for p, y in rows if p == s))
+             for s in sorted({p for p, _ in rows}, reverse=True)]
+    n_pos, n_neg = sum(s[1] for s in steps), sum(s[2] for s in steps)
+    want, tp, fp = [], 0, 0
+    for i, (score, pos, neg) in enumerate(steps):
+        tp, fp = tp + pos, fp + neg
+        if i in (0, len(steps) - 1) or (pos, neg) != steps[i + 1][1:]:
+            want.append((score, fp / n_neg if n_neg else 0.0, tp / n_pos if n_pos else 0.0))
+    got = [tuple(r) for r in roc_curve(df, compact=True).collect()]
+    assert sorted(r for r in got if r[0] is not None) == sorted(want)
+    assert [r[1:] for r in got if r[0] is None] == [(0.0, 0.0)] * bool(rows)
+    assert roc_curve(df).count() == len(steps) + bool(rows)

@@ -58,6 +58,47 @@ def test_samples_round_trip_and_partition_pruning(spark, tmp_path):
     assert read_samples(spark, path).filter("year = 1996").count() == df.filter("year = 1996").count()
 
 
+def files_by_year(path):
+    return {d: len([f for f in os.listdir(os.path.join(path, d)) if f.endswith(".parquet")])
+            for d in os.listdir(path) if d.startswith("year=")}
+
+
+def test_small_years_have_one_file_and_a_large_year_is_split(spark, tmp_path):
+    df = spark.createDataFrame(samples_pdf(), SAMPLE_SCHEMA).repartition(8)
+    write_samples(df, str(tmp_path / "small"))
+    assert set(files_by_year(str(tmp_path / "small")).values()) == {1}
+    big = spark.range(400_000).select(F.when(F.col("id") % 50 == 0, F.lit(1996) + F.col("id") % 4).otherwise(1995).cast("int").alias("year"),
+                                      F.xxhash64("id").alias("a"), F.xxhash64("id", "id").alias("b")).repartition(8)
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1m")
+    try:
+        write_samples(big, str(tmp_path / "big"))
+    finally:
+        spark.conf.set(key, before)
+    files = files_by_year(str(tmp_path / "big"))
+    assert 4 <= files["year=1995"] <= 12 and all(n == 1 for y, n in files.items() if y != "year=1995")
+    assert spark.read.parquet(str(tmp_path / "big")).count() == 400_000
+
+
+def test_run_files_are_read_whole_and_skipped_ones_reported(spark, tmp_path):
+    from terrapix.sources.sinks import read_run_files
+
+    text = {"a": json.dumps({"app_name": "a", "metrics": {"val_auc": 0.7}}, indent=2), "blank": "\n", "broken": "{ \n no json",
+            "list": "[\n1]", "word": '"text"', "odd": json.dumps({"app_name": "odd", "hyperparameters": {"max_depth": "deep"}}, indent=2),
+            "none": "{}", "cut": json.dumps({"app_name": "cut", "metrics": {"val_auc": 0.7}}, indent=2)[:-3]}
+    for name, t in text.items():
+        (tmp_path / f"{name}_metrics.json").write_text(t)
+    (tmp_path / "notes.json").write_text("{}")
+    rows = {r["source_file"].rsplit("/", 1)[1].removesuffix("_metrics.json"): r for r in read_run_files(spark, str(tmp_path)).collect()}
+    assert {n: (r["status"], r["reason"]) for n, r in rows.items()} == {
+        "a": ("read", None), "none": ("read", None), "odd": ("partial", "a field of another type"),
+        "broken": ("skipped", "not JSON"), "blank": ("skipped", "not JSON"), "cut": ("skipped", "not JSON"),
+        "list": ("skipped", "not an object"), "word": ("skipped", "not an object")}
+    assert rows["a"]["metrics"]["val_auc"] == 0.7 and rows["odd"]["app_name"] == "odd"
+    assert all(r["n_bytes"] == len(text[n]) for n, r in rows.items())
+
+
 def test_run_metrics_files(spark, tmp_path):
     d = tmp_path / "metrics"
     d.mkdir()

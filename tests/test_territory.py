@@ -143,3 +143,41 @@ def test_composite_without_ndvi_still_counts_it(spark):
     rows = {r["year"]: (r["RED"], r["pixel_count"]) for r in
             yearly_composite(obs, bands=("RED",), as_float=False, with_metadata=False).collect()}
     assert rows == {2000: (0.2, 1.0), 2001: (None, 1.0)}
+
+
+def square(x, y, side):
+    return [(x, y), (x + side, y), (x + side, y + side), (x, y + side)]
+
+
+def burned(spark, parts_by_poly, n=12):
+    vertex = "array<array<array<struct<x: double, y: double>>>>"
+    terr = spark.createDataFrame([(i, 2000, f"/d/{i}.shp", p) for i, p in enumerate(parts_by_poly)],
+                                 f"poly_id int, year int, path string, parts {vertex}")
+    grid = spark.range(n * n).select(F.col("id").cast("int").alias("pixel_id"), (F.col("id") % n + 0.5).alias("px"),
+                                     (F.floor(F.col("id") / n) + 0.5).alias("py"))
+    from terrapix.operators.territory import part_edges, valid_parts
+
+    rows = presence_labels(grid, part_edges(valid_parts(terr))).filter("presence = 1").collect()
+    return {(r["col_idx"], r["row_idx"]) for r in rows}
+
+
+def cells(x, y, side):
+    return {(i, j) for i in range(x, x + side) for j in range(y, y + side)}
+
+
+def test_holes_are_cut_out_of_their_own_part(spark):
+    holed = [square(0.0, 0.0, 8.0), square(2.0, 2.0, 4.0)]
+    assert burned(spark, [[holed]]) == cells(0, 0, 8) - cells(2, 2, 4)
+    # An island in the hole is a part of its own; so is one that lies over the ring.
+    assert burned(spark, [[holed, [square(3.0, 3.0, 2.0)]]]) == (cells(0, 0, 8) - cells(2, 2, 4)) | cells(3, 3, 2)
+    assert burned(spark, [[holed, [square(1.0, 1.0, 6.0)]]]) == cells(0, 0, 8)
+    # Another territory's hole does not cut this one, and overlapping parts stay full.
+    assert burned(spark, [[holed], [[square(0.0, 0.0, 8.0)]]]) == cells(0, 0, 8)
+    assert burned(spark, [[[square(0.0, 0.0, 4.0)], [square(2.0, 2.0, 4.0)]]]) == cells(0, 0, 4) | cells(2, 2, 4)
+
+
+def test_rings_that_are_no_polygon_go(spark):
+    line = [(0.0, 0.0), (5.0, 5.0)]
+    assert burned(spark, [[[square(0.0, 0.0, 4.0), line, None], [line, square(6.0, 6.0, 2.0)]], None, [[]]]) == cells(0, 0, 4)
+    with pytest.raises(RuntimeError):
+        burned(spark, [[[line]], []])
