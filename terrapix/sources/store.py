@@ -58,6 +58,22 @@ def discard(df: DataFrame) -> None:
         remove_path(df.sparkSession, path)
 
 
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Queries made and run inside drop their shuffle files as they end.
+
+    For results that are written or collected once: running the same
+    DataFrame again would make its shuffles anew.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished jobs.
 
