@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrapix.llm.text_hash import batches, lay_out, mix64, span_hashes
-from terrapix.sources.store import discard, materialize, release_shuffles
+from terrapix.sources.store import discard, materialize, shuffles_dropped
 
 BITS = 18              # 2**18 buckets bound the model, whatever the corpus
 MAX_TRAIN = 40_000     # labelled rows that the model is fitted on, at most (the first by hashed id)
@@ -143,11 +143,10 @@ def train(rows: DataFrame, bits: int = BITS, rounds: int = ROUNDS, parts: int |
                 yield pd.DataFrame({"i": moved, "dz": z[moved] - z0[moved], "dn": n[moved] - n0[moved]})
 
         # A coordinate's state is the mean over the partitions that moved it.
-        moved = (dealt.mapInPandas(one, "i long, dz double, dn double")
-                 .groupBy("i").agg(F.avg("dz").alias("dz"), F.avg("dn").alias("dn"))).toArrow()
-        # Or every round's state and shuffles stay on the executors' disks.
-        state.destroy()
-        release_shuffles(rows.sparkSession)
+        with shuffles_dropped(rows.sparkSession):
+            moved = (dealt.mapInPandas(one, "i long, dz double, dn double")
+                     .groupBy("i").agg(F.avg("dz").alias("dz"), F.avg("dn").alias("dn"))).toArrow()
+        state.destroy()  # or every round's state stays on the executors' disks
         z, n = z0.copy(), n0.copy()
         i = moved["i"].to_numpy()
         z[i] += moved["dz"].to_numpy()
@@ -173,10 +172,29 @@ def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     y = (labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
          .groupBy(F.col("doc_id").cast("long").alias("id"))
          .agg(F.min("quality").alias("lo"), F.max("quality").alias("hi")).where("lo = hi")
-         .select("id", F.col("lo").cast("double").alias("y"))
-         .orderBy(F.xxhash64("id"), "id").limit(max_train))
+         .select("id", F.col("lo").cast("double").alias("y")))
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    return texts.join(F.broadcast(y), "id")
+    return texts.join(F.broadcast(first_hashed(y, max_train)), "id")
+
+
+def first_hashed(rows: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` rows of ``rows`` (id, ...), those whose id's hash is smallest.
+
+    The hash is even, so a threshold from the number of rows leaves little more
+    than ``most`` of them, and only those are ordered in one task.
+    """
+    n = rows.count()
+    share = 1.0
+    near = rows
+    while n > most:
+        share = min(share, most / n) * 1.1
+        if share >= 1:
+            near = rows
+            break
+        near = rows.where(F.xxhash64("id") < F.lit(int((share - 0.5) * 2.0 ** 64)))
+        if near.count() >= most:
+            break
+    return near.orderBy(F.xxhash64("id"), "id").limit(most)
 
 
 def scorer(model: Model):

@@ -100,7 +100,7 @@ def update_ledger(versions: DataFrame, ledger: str, text: str = "text",
     """
     spark = versions.sparkSession
     kinds = F.array(*[F.lit(r.kind) for r in rules])
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     blobs = (versions.select(body.alias("text")).select(blob_id(F.col("text")).alias("blob"), "text")
              .dropDuplicates(["blob"]))
     known = read_ledger(spark, ledger)
@@ -145,9 +145,9 @@ def scan_versions(versions: DataFrame, ledger: str, text: str = "text",
     spark = versions.sparkSession
     update_ledger(versions, ledger, text, rules)
     found = blob_findings(spark, ledger, rules)
-    keep = [c for c in versions.columns if c not in ("blob", "spans")]
+    keep = [F.col(f"`{c}`") for c in versions.columns if c not in ("blob", "spans")]
     none = F.array().cast("array<struct<`start`:bigint,rank:int,kind:string,`end`:bigint>>")
-    return (versions.select(*keep, blob_id(F.col(text)).alias("blob"))
+    return (versions.select(*keep, blob_id(F.col(f"`{text}`")).alias("blob"))
             .join(found, "blob", "left")
             .select(*keep, "blob", F.coalesce("spans", none).alias("spans")))
 
@@ -184,8 +184,8 @@ def redact_secrets(docs: DataFrame, ledger: str, text: str = "text", chars: str
 
     No document is dropped; texts without a finding stay as they are, null ones too.
     """
-    row = F.struct(*[F.col(c) for c in docs.columns])
-    scanned = scan_versions(docs.select(row.alias("row"), F.col(text).alias("text")), ledger, "text", rules)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    scanned = scan_versions(docs.select(row.alias("row"), F.col(f"`{text}`").alias("text")), ledger, "text", rules)
     new = F.when(F.size("spans") > 0, redact(F.col("text"), F.col("spans"), mark)).otherwise(F.col("text"))
     out = scanned.select("row", new.alias("new"), (F.size("spans") > 0).alias("hit"))
     cols = []

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrapix.llm.text_hash import BASE, BYTE_CODE, INVERSE, mix64, powers, span_hashes
-from terrapix.sources.store import materialize, release_shuffles
+from terrapix.sources.store import materialize, shuffles_dropped
 
 LENGTH = 50
 GRAM = 24
@@ -366,10 +366,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = materialize(pack_batches(docs, doc_id, text, batch_bytes), "llm-batches")
-    shared = materialize(shared_anchors(packed, n, length, gram), "llm-anchors")
-    release_shuffles(spark)
-    masks = materialize(context_masks(packed, shared, n, length, gram), "llm-masks")
-    release_shuffles(spark)
+    with shuffles_dropped(spark):
+        shared = materialize(shared_anchors(packed, n, length, gram), "llm-anchors")
+        masks = materialize(context_masks(packed, shared, n, length, gram), "llm-masks")
     both = packed.join(_gather(shared, "bits"), "batch", "left").join(_gather(masks, "masks"), "batch", "left")
 
     def finish(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -88,7 +88,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     hint = F.broadcast if small else (lambda df: df)
 
     # Each different URL is judged once, whatever number of rows holds it.
-    urls = (pages.select(F.col(url).alias("url")).where("url is not null").distinct()
+    urls = (pages.select(F.col(f"`{url}`").alias("url")).where("url is not null").distinct()
             .withColumn("key", F.concat(url_host(F.col("url")), url_path(F.col("url")))))
     found = F.regexp_extract_all(ascii_lower(F.col("key")), F.lit("([a-z0-9]+)"), F.lit(1))
     tokens = F.concat(F.array_distinct(found), F.array(F.lit("")))
@@ -98,9 +98,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     fits = url_tokens.join(hint(index), "token").where(F.expr("key rlike regex"))
     best = (fits.groupBy("url")
             .agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict")).alias("best"))
-            .select(F.col("url").alias("_judged_url"), F.col("best.rule").alias("_rule"),
-                    F.col("best.verdict").alias("_verdict")))
+            .select("url", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict")))
+    # A row travels as one value, so that its columns may have any name; rows without a URL are joined with nothing.
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"), F.col(f"`{url}`").alias("url"))
+    judged = (rows.where("url is not null").join(best, "url", "left")
+              .unionByName(rows.where("url is null"), allowMissingColumns=True))
     keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    return (pages.select(*keep).join(best, F.col(url) == F.col("_judged_url"), "left")
-            .select(*keep, url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"),
-                    F.col("_rule").alias("rule"), F.coalesce("_verdict", F.lit(default)).alias("verdict")))
+    return judged.select(*[F.col("row")[c].alias(c) for c in keep], url_host(F.col("url")).alias("host"),
+                         url_path(F.col("url")).alias("path"), F.col("rule"), F.coalesce("verdict", F.lit(default)).alias("verdict"))

@@ -223,6 +223,15 @@ def test_redaction_keeps_rows_and_columns(spark, edges, nothing):
     assert secret_scan.redact_secrets(nothing, shared_path(spark, "test-ledger")).count() == 0
 
 
+def test_dotted_columns_are_scanned_and_kept(spark):
+    docs = spark.createDataFrame([(1, "token=abcdefgh", "x"), (2, None, "y")], "doc_id long, `the.text` string, `a.b` string")
+    found = secret_scan.scan_versions(docs, shared_path(spark, "test-ledger"), text="the.text")
+    assert found.columns == ["doc_id", "the.text", "a.b", "blob", "spans"]
+    assert {r["doc_id"]: (r["a.b"], len(r["spans"])) for r in found.collect()} == {1: ("x", 1), 2: ("y", 0)}
+    clean = secret_scan.redact_secrets(docs, shared_path(spark, "test-ledger"), text="the.text")
+    assert sorted(map(tuple, clean.collect())) == [(1, "[SECRET]", "x"), (2, None, "y")]
+
+
 # ---------------------------------------------------------------- token store
 
 def test_round_trip_matches_the_tokenizer(spark, edges, nothing):

@@ -53,6 +53,19 @@ def test_verdicts_match_brute_force(spark, monkeypatch, bound):
     assert {r["verdict"] for r in url_filter.judge_urls(pages, rules.limit(0), default="block").collect()} == {"block"}
 
 
+def test_columns_of_any_name_are_kept(spark):
+    rules = spark.createDataFrame(list(URL_RULES), "rule string, verdict string")
+    names = ["_rule", "_verdict", "_judged_url", "a.b", "row", "key", "best", "token", "page id"]
+    pages = spark.createDataFrame([(u, *[f"{n}{i}" for n in names]) for i, u in enumerate([*URLS, None, None])],
+                                  "url string, " + ", ".join(f"`{n}` string" for n in names))
+    got = url_filter.judge_urls(pages, rules)
+    assert got.columns == ["url", *names, "host", "path", "rule", "verdict"]
+    assert Counter(map(tuple, got.collect())) == Counter(
+        (u, *[f"{n}{i}" for n in names], *judge(u)) for i, u in enumerate([*URLS, None, None]))
+    dotted = pages.withColumnRenamed("url", "the.url")
+    assert Counter(map(tuple, url_filter.judge_urls(dotted, rules, url="the.url").collect())) == Counter(map(tuple, got.collect()))
+
+
 def test_wildcards_quoted_text_and_ties(spark):
     rules = spark.createDataFrame([("a.com/*/x", "block"), ("a.com/q.e\\E+/", "block"), ("*", "allow"), ("b.com/", "allow"), ("b.com/", "block")],
                                   "rule string, verdict string")
@@ -237,6 +250,13 @@ def test_held_out_accuracy(spark):
     assert (out["predicted"] == out["quality"]).mean() > 0.95
 
 
+@pytest.mark.parametrize("n", [0, 5, 300, 3000])
+def test_the_first_rows_by_hash_are_learned_from(spark, n):
+    rows = spark.range(n)
+    want = rows.orderBy(F.xxhash64("id"), "id").limit(300)
+    assert sorted(quality.first_hashed(rows, 300).collect()) == sorted(want.collect())
+
+
 def test_features_are_a_unit_vector_of_ngrams():
     doc, bucket, value = quality.features([b"a b a b", b"", b"x", "é|é".encode()])
     n = np.bincount(doc, minlength=4)
