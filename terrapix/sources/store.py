@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import gc
 import tempfile
 import uuid
 
@@ -74,16 +73,6 @@ def shuffles_dropped(spark: SparkSession):
         spark.conf.set(key, before)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished jobs.
-
-    It drops a shuffle when the driver has collected the plan that made it, which
-    an idle driver may not do for half an hour.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete ``path`` through the file system that serves it."""
     jvm = spark.sparkContext._jvm
