@@ -34,7 +34,7 @@ THRESHOLD = 0.8
 RECALL = 0.999
 DEPTH = 3
 TOKENS = 64
-SMALL = 1000           # a bucket of up to so many classes is brute-forced at once
+SMALL = 4000           # a bucket of up to so many classes is brute-forced at once
 BLOCK_CLASSES = 1024   # whole sets compared in one task: two blocks of about so many classes,
 BLOCK_SHINGLES = 400_000  # or so many shingles
 
