@@ -157,7 +157,7 @@ def exact_medians(
     for no values.  Rows are counted per key first (key columns only, partial
     counts before the shuffle).  Keys of up to ``max_group_rows`` rows take the
     built-in aggregate; rows of larger keys go through ``split_medians``, which
-    holds no key in one task.  Both give the same values.
+    holds no key in one task and reads them once.  Both give the same values.
 
     ``counts`` maps an output name to one of ``values``: that column's count of
     non-NULL values per key.  ``keys`` are non-null; keys without any non-NULL
@@ -182,6 +182,11 @@ def group_medians(df: DataFrame, keys: list[str], values: list[str], counts: dic
     return out.filter(F.coalesce(*values).isNotNull())
 
 
+# Points of the quantile grid that narrows a median's bracket, and the grid's error (1 / accuracy, far below a step).
+GRID_STEPS = 64
+GRID_ACCURACY = 1000
+
+
 def split_medians(
     df: DataFrame,
     keys: list[str],
@@ -189,37 +194,82 @@ def split_medians(
     *,
     counts: dict[str, str] | None = None,
     num_partitions: int | None = None,
+    hold: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
-    """``exact_medians`` for keys of any size.
-
-    Values are unpivoted, pre-aggregated to (key, column, value, count) with a
-    map-side combine, ranked with ``running_totals``, and only the (at most
-    two) middle values per key and column are shuffled to the final aggregate.
+    """``exact_medians`` for keys of any size, by selection in rounds.
+
+    Each value column of a key has an open bracket (lo, hi) around its middle
+    ranks, the number of values up to ``lo`` and the number inside.  A round
+    puts a quantile sketch of the values inside around the wanted rank and
+    counts again, which leaves about a sixteenth; brackets that hold at most
+    ``hold`` values (64 at least) are collected and sorted.  Sketches and counts
+    are combined before the shuffle, so that no task sees a whole key, and
+    ties are counted, never collected.  NaN comes after all other values.
+
+    The rows are read once, and written with only these columns
+    (``num_partitions``: dealt over so many partitions).  The result is a table
+    of its own, one row a key, and the rows' table is removed.
     """
-    keys = list(keys)
-    vals = F.array(*[F.struct(F.lit(i).alias("c"), F.col(v).cast("double").alias("v"))
-                     for i, v in enumerate(values)])
-    long = (df.select(*keys, F.inline(vals))
-            .filter(F.col("v").isNotNull()))
-    freq = long.groupBy(*keys, "c", "v").agg(F.count("*").alias("n"))
-    ranked = running_totals(freq, [*keys, "c"], ["v"], {"n": "n"},
-                            with_total=True, num_partitions=num_partitions, along=F.col("v"))
-    lo = F.floor((F.col("tot_n") + 1) / 2)  # 1-based ranks of the two middle values
-    hi = F.floor(F.col("tot_n") / 2) + 1
-    first = F.col("cum_n") - F.col("n") + 1
-    hit_lo = (first <= lo) & (lo <= F.col("cum_n"))
-    hit_hi = (first <= hi) & (hi <= F.col("cum_n"))
-    mids = ranked.filter(hit_lo | hit_hi).select(
-        *keys, "c",
-        F.when(hit_lo, F.col("v")).alias("v_lo"),
-        F.when(hit_hi, F.col("v")).alias("v_hi"),
-        "tot_n")
-    aggs = []
-    for i, v in enumerate(values):
-        sel = F.col("c") == i
-        m = (F.max(F.when(sel, F.col("v_lo"))) + F.max(F.when(sel, F.col("v_hi")))) / 2.0
-        aggs.append(m.alias(v))
-    for name, v in (counts or {}).items():
-        i = list(values).index(v)
-        aggs.append(F.coalesce(F.max(F.when(F.col("c") == i, F.col("tot_n"))), F.lit(0)).alias(name))
-    return mids.groupBy(*keys).agg(*aggs)
+    keys, hold = list(keys), max(hold, GRID_STEPS)
+    rows = df.select(*keys, *[F.col(v).cast("double").alias(f"_v{i}") for i, v in enumerate(values)])
+    rows = materialize(rows.repartition(num_partitions) if num_partitions else rows, "median-rows")
+    cols = range(len(values))
+
+    def c(name: str, i: int) -> Column:
+        return F.col(f"_{name}{i}")
+
+    def inside(i: int) -> Column:
+        above = c("v", i).isNotNull() & (c("lo", i).isNull() | (c("v", i) > c("lo", i)))
+        return above & (c("hi", i).isNull() | (c("v", i) < c("hi", i))) & ~F.isnan(c("v", i))
+
+    def ranks(i: int) -> tuple[Column, Column]:
+        return F.floor((c("n", i) + 1) / 2), F.floor(c("n", i) / 2) + 1
+
+    def wanted(i: int) -> Column:
+        """Whether a middle rank lies inside the bracket."""
+        low, high = ranks(i)
+        return (high > c("below", i)) & (low <= c("below", i) + c("in", i))
+
+    def count(df: DataFrame, brackets: list[str], first: list) -> DataFrame:
+        return materialize(df.groupBy(*keys, *brackets).agg(*first, *[e for i in cols for e in (
+            F.count(F.when(c("v", i) <= c("lo", i), True)).alias(f"_below{i}"),
+            F.count(F.when(inside(i), True)).alias(f"_in{i}"))]), "median-brackets")
+
+    open_ = rows.withColumns({f"_{x}{i}": F.lit(None).cast("double") for x in ("lo", "hi") for i in cols})
+    ends = [f"_{x}{i}" for i in cols for x in ("lo", "hi")]
+    state = count(open_, ends, [F.count(c("v", i)).alias(f"_n{i}") for i in cols])
+    points = F.array(*[F.lit(j / GRID_STEPS) for j in range(GRID_STEPS + 1)])
+    while True:
+        wide = [F.when(wanted(i) & (c("in", i) > hold), True) for i in cols]
+        if state.agg(F.count(F.coalesce(*wide))).first()[0] == 0:
+            break
+        met = rows.join(state, keys)
+        grid = met.groupBy(*keys).agg(*[
+            F.percentile_approx(F.when(wide[i] & inside(i), c("v", i)), points, GRID_ACCURACY).alias(f"_g{i}") for i in cols])
+        narrow = {}
+        for i in cols:
+            low, high = ranks(i)
+            at = F.floor((low - c("below", i)) / c("in", i) * GRID_STEPS).cast("int") - 1
+            to = F.ceil((high - c("below", i)) / c("in", i) * GRID_STEPS).cast("int") + 1
+            narrow[f"_lo{i}"] = F.coalesce(F.when(wide[i] & (at >= 0), F.get(c("g", i), at)), c("lo", i))
+            narrow[f"_hi{i}"] = F.coalesce(F.when(wide[i] & (to <= GRID_STEPS), F.get(c("g", i), to)), c("hi", i))
+        nets = state.join(grid, keys).select(*keys, *[f"_n{i}" for i in cols], *[e.alias(k) for k, e in narrow.items()])
+        old, state = state, count(rows.join(nets, keys), ends + [f"_n{i}" for i in cols], [])
+        discard(old)
+    held = rows.join(state, keys).groupBy(*keys).agg(*[
+        F.sort_array(F.collect_list(F.when(wanted(i) & inside(i), c("v", i)))).alias(f"_held{i}") for i in cols])
+
+    def at_rank(i: int, r: Column) -> Column:
+        past = r > c("below", i) + c("in", i)
+        return (F.when(r <= c("below", i), c("lo", i)).when(past, F.coalesce(c("hi", i), F.lit(float("nan"))))
+                .otherwise(F.get(c("held", i), (r - c("below", i) - 1).cast("int"))))
+
+    out = state.join(held, keys).select(
+        *keys,
+        *[F.when(c("n", i) > 0, (at_rank(i, ranks(i)[0]) + at_rank(i, ranks(i)[1])) / 2.0).alias(v)
+          for i, v in enumerate(values)],
+        *[c("n", list(values).index(v)).alias(name) for name, v in (counts or {}).items()])
+    out = materialize(out.filter(F.coalesce(*[F.col(v) for v in values]).isNotNull()), "medians")
+    discard(rows)
+    discard(state)
+    return out

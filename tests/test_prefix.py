@@ -93,3 +93,37 @@ def test_exact_medians_split_only_the_large_keys(spark):
     ref = pdf.groupby("k")["x"].agg(["median", "count"])
     assert (ref["count"] > 200).any() and (ref["count"] <= 200).any()
     assert np.allclose(ours["x"], ref["median"]) and ours["n"].tolist() == ref["count"].tolist()
+
+
+@pytest.mark.parametrize("hold", [64, 4096])
+def test_split_medians_select_in_rounds(spark, hold):
+    """Spread, tied, skewed, null, NaN, infinite and one-sided columns, odd and even counts, over several rounds."""
+    rng = np.random.default_rng(3)
+    n = 20_000
+    k = np.where(rng.random(n) < 0.7, 0, rng.integers(1, 5, n))
+    spread = rng.normal(size=n) * 10.0 ** rng.integers(-8, 9, n)
+    pdf = pd.DataFrame({"k": k.astype("int64"), "spread": spread, "tied": (rng.integers(0, 10, n) > 3) * 1.0,
+                        "steep": rng.random(n) ** 40, "half": np.where(np.arange(n) % 2, 1.0, -1.0),
+                        "ends": np.where(rng.random(n) < 0.6, np.inf, spread)})
+    df = (spark.createDataFrame(pdf).withColumn("nulls", F.when(F.col("spread") > 0, F.col("steep")))
+          .withColumn("nan", F.when(F.col("steep") > 1e-3, F.lit(float("nan"))).otherwise(F.col("spread")))
+          .withColumn("none", F.lit(None).cast("double")))
+    names = [*pdf.columns[1:], "nulls", "nan", "none"]
+    got = split_medians(df, ["k"], names, counts={"m": "nulls"}, num_partitions=5, hold=hold).toPandas()
+    ref = df.groupBy("k").agg(*[F.median(v).alias(v) for v in names], F.count("nulls").alias("m")).toPandas()
+    got, ref = (x.set_index("k").sort_index().astype("float64") for x in (got, ref))
+    assert got.index.tolist() == ref.index.tolist() and got.columns.tolist() == ref.columns.tolist()
+    assert got.equals(ref)
+
+
+def test_split_medians_read_the_source_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def note(it):
+        for pdf in it:
+            read.add(len(pdf))
+            yield pdf
+
+    df = spark.range(5000).select((F.col("id") % 2).alias("k"), F.xxhash64("id").cast("double").alias("x"))
+    got = split_medians(df.mapInPandas(note, df.schema), ["k"], ["x"], hold=64).toPandas()
+    assert len(got) == 2 and read.value == 5000
