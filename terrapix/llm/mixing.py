@@ -49,12 +49,13 @@ def tempered_shares(cells: DataFrame, dim: str, power: float) -> DataFrame:
 
 
 def rake(cells: DataFrame, shares: dict[str, DataFrame], max_sweeps: int = 40, tolerance: float = 1e-4) -> DataFrame:
-    """``cells`` with ``raked``: tokens fitted to ``shares`` ({dimension: (value, share)}), same grand total.
+    """``cells`` with ``raked``: tokens fitted to ``shares`` ({dimension: (value, share)}), same grand total;
+    ``sweeps`` made, and ``residual``: how far, relatively, the last of them still had to move a marginal.
 
     A value without a share gets 0; shares of values that do not occur are
     spread over the others in proportion.  Sweeps end when no marginal had to
     move by more than ``tolerance`` (relative), or after ``max_sweeps`` where
-    empty cells make the targets unreachable.  One row for each cell is all
+    empty cells make the targets unreachable; ``residual`` tells.  One row for each cell is all
     that moves; marginals are partial sums joined back, so a value holding
     most cells is no single task.
     """
@@ -73,7 +74,8 @@ def rake(cells: DataFrame, shares: dict[str, DataFrame], max_sweeps: int = 40, t
     total = cells.agg(F.sum("tokens")).first()[0] or 0.0
     present = [cur.where("raked > 0").groupBy(d).agg(F.first(f"share{i}").alias("s")).agg(F.sum("s")).first()[0] or 1.0
                for i, d in enumerate(dims)]
-    for _ in range(max_sweeps):
+    sweeps, residual = 0, 0.0
+    while sweeps < max_sweeps:
         step = cur.withColumn("moved", F.lit(0.0))
         for i, d in enumerate(dims):
             margin = step.groupBy(d).agg(F.sum("raked").alias("margin"))
@@ -85,9 +87,10 @@ def rake(cells: DataFrame, shares: dict[str, DataFrame], max_sweeps: int = 40, t
                     .withColumn("raked", F.col("raked") * factor).drop("margin"))
         old, cur = cur, materialize(step, "llm-cells")
         discard(old)
-        if (cur.agg(F.max("moved")).first()[0] or 0.0) <= tolerance:
+        sweeps, residual = sweeps + 1, cur.agg(F.max("moved")).first()[0] or 0.0
+        if residual <= tolerance:
             break
-    return cur.select(*known, "tokens", "raked")
+    return cur.select(*known, "tokens", "raked", F.lit(sweeps).alias("sweeps"), F.lit(float(residual)).alias("residual"))
 
 
 def budget_scale(cells: DataFrame, budget: float) -> float:
@@ -107,8 +110,12 @@ def budget_scale(cells: DataFrame, budget: float) -> float:
 
 def mix_documents(docs: DataFrame, shares: dict[str, DataFrame] | None = None, keep: float = 0.5, seed: int = 42,
                   doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang",
-                  topic: str | None = None, powers: dict[str, float] | None = None) -> DataFrame:
-    """Per row of ``docs``: doc_id, source, lang, topic, n_tokens, weight, prob, sampled, and the row as ``row``.
+                  topic: str | None = None, powers: dict[str, float] | None = None, with_row: bool = True) -> DataFrame:
+    """Per row of ``docs``: doc_id, source, lang, topic, n_tokens, weight, prob, sampled, the raking's sweeps and
+    residual (null in a cell without tokens), and, ``with_row``, the row as ``row``.
+
+    Texts are read once: what is kept of a row is written, and the rest of the
+    work reads that.  A text of any length is one row's word count and hash.
 
     ``shares`` gives (value, share) of dimensions; for the others they are
     the natural shares raised to ``powers`` (default: sources 0.3, languages
@@ -121,24 +128,29 @@ def mix_documents(docs: DataFrame, shares: dict[str, DataFrame] | None = None, k
     n = word_tokens(F.col(text))
     topic_of = F.col(topic).cast("string") if topic else length_topic(F.col("n_tokens"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    base = (docs.select(row.alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"),
-                        F.col(source).cast("string").alias("source"), F.col(lang).cast("string").alias("lang"),
-                        n.alias("n_tokens"), *([F.col(topic).cast("string").alias("topic")] if topic else [])))
+    u = F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"),
+                       F.col(lang).cast("string").alias("lang"), n.alias("n_tokens"), u.alias("_u"),
+                       *([F.col(topic).cast("string").alias("topic")] if topic else []),
+                       *([row.alias("row")] if with_row else []))
     if not topic:
         base = base.withColumn("topic", topic_of)
+    base = materialize(base, "llm-mixing")
     cells = materialize(cell_table(base), "llm-cells")
     raise_to = {"source": 0.3, "lang": 0.5, "topic": 0.7} | (powers or {})
     goal = {d: (shares or {}).get(d) or tempered_shares(cells, d, raise_to[d]) for d in DIMS}
     raked = rake(cells, goal)
     total = cells.agg(F.sum("tokens")).first()[0] or 0.0
+    discard(cells)
     scale = budget_scale(raked, keep * total)
-    rate = raked.select(*[F.col(d).alias(f"_{d}") for d in DIMS], (F.col("raked") / F.col("tokens")).alias("weight"))
+    rate = raked.select(*[F.col(d).alias(f"_{d}") for d in DIMS], (F.col("raked") / F.col("tokens")).alias("weight"),
+                        "sweeps", "residual")
     joined = base
     for d in DIMS:
         joined = joined.withColumn(f"_{d}", as_key(F.col(d)))
-    u = F.xxhash64(F.lit(seed), "doc_id", "_text").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
     return (joined.join(rate, [f"_{d}" for d in DIMS], "left")
             .withColumn("weight", F.coalesce("weight", F.lit(0.0)))
             .withColumn("prob", F.least(F.lit(1.0), F.col("weight") * F.lit(scale)))
-            .withColumn("sampled", u < F.col("prob"))
-            .select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "prob", "sampled", "row"))
+            .withColumn("sampled", F.col("_u") < F.col("prob"))
+            .select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "prob", "sampled", "sweeps", "residual",
+                    *(["row"] if with_row else [])))

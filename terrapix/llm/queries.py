@@ -71,7 +71,7 @@ def op7_document_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op8_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
-    return mixing.mix_documents(read(spark, sf, "documents").select("doc_id", "text", "lang", "source")).drop("row")
+    return mixing.mix_documents(read(spark, sf, "documents").select("doc_id", "text", "lang", "source"), with_row=False)
 
 
 def op9_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:

@@ -158,6 +158,37 @@ def test_budget_and_sampling(spark, edges, nothing):
     assert all(r["sampled"] for r in mixing.mix_documents(edges, keep=1.0).collect() if r["n_tokens"])
 
 
+def test_mixing_says_how_far_it_came(spark):
+    """Reachable targets end with a small residual; empty cells that rule targets out leave a large one."""
+    cells = "source string, lang string, topic string, tokens double"
+    full = spark.createDataFrame([(a, b, "t", float(n)) for a, b, n in (("x", "p", 5), ("x", "q", 9), ("y", "p", 2), ("y", "q", 4))], cells)
+    shares = {"source": spark.createDataFrame([("x", .5), ("y", .5)], "value string, share double"),
+              "lang": spark.createDataFrame([("p", .3), ("q", .7)], "value string, share double")}
+    met = mixing.rake(full, shares).collect()
+    assert {r["residual"] <= 1e-4 for r in met} == {True} and {r["sweeps"] < 40 for r in met} == {True}
+    apart = mixing.rake(full.where("(source = 'x') = (lang = 'p')"), shares, max_sweeps=7).collect()
+    assert {r["sweeps"] for r in apart} == {7} and {r["residual"] > 0.1 for r in apart} == {True}
+
+
+def test_mixing_reads_texts_once_and_keeps_rows(spark):
+    """Ties, a very long text and clashing columns; a row is evaluated once."""
+    read = spark.sparkContext.accumulator(0)
+
+    def note(it):
+        for pdf in it:
+            read.add(len(pdf))
+            yield pdf
+
+    rows = [(i, "w " * (200_000 if i in (7, 8) else i % 5), "en", "ab"[i % 2], "x", 1) for i in range(40)] + [(3, "w " * 3, "en", "b", "x", 1)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, topic string, _u int")
+    got = mixing.mix_documents(docs.mapInPandas(note, docs.schema), keep=0.5).collect()
+    assert read.value == len(rows) == len(got)
+    assert sorted(tuple(r["row"]) for r in got) == sorted(rows)
+    assert len({(r["prob"], r["sampled"]) for r in got if r["doc_id"] == 3}) == 1
+    assert {r["n_tokens"] for r in got if r["doc_id"] == 7} == {200_000}
+    assert "row" not in mixing.mix_documents(docs.limit(0), with_row=False).columns
+
+
 # -------------------------------------------------------------------- packing
 
 def best_fit_plain(sizes):
