@@ -408,3 +408,82 @@ def test_likeness_falls_with_the_shared_part():
     near = [fingerprint.likeness(s[:1], s[i:i + 1])[0] for i in range(4)]
     assert near[0] == 1 and 0.3 < near[1] < 0.8 and near[2] < 0.1 and near[3] == 0
     assert fingerprint.likeness(s[3:], s[3:])[0] == 1
+
+
+FULL = (1 << 64) - 1
+
+
+def plain_mix(x):
+    """The splitmix finaliser, on Python integers."""
+    x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & FULL
+    x = ((x ^ x >> 27) * 0x94D049BB133111EB) & FULL
+    return x ^ x >> 31
+
+
+def plain_toss(before, at):
+    low = next((b for b in range(63) if (before ^ at) >> b & 1), 63)
+    return 2 * low + (at >> low & 1)
+
+
+def plain_level(symbols):
+    """One level's phrase names, symbol by symbol."""
+    golden = 0x9E3779B97F4A7C15
+    runs = []
+    for s in symbols:
+        if runs and runs[-1][0] == s:
+            runs[-1][1] += 1
+        else:
+            runs.append([s, 1])
+    joined = [s if n == 1 else plain_mix((s + n * golden) & FULL) for s, n in runs]
+    labels = [plain_toss(b, a) for b, a in zip([FULL, *joined], joined)]
+    for _ in range(3):
+        labels = [plain_toss(b, a) for b, a in zip([254, *labels], labels)]
+    phrases = []
+    for i, s in enumerate(joined):
+        peak = 0 < i < len(joined) - 1 and labels[i - 1] < labels[i] > labels[i + 1]
+        if i == 0 or peak:
+            phrases.append([])
+        phrases[-1].append(s)
+    return [plain_mix(sum(plain_mix((s + (j + 1) * golden) & FULL) for j, s in enumerate(ph)) & FULL) for ph in phrases]
+
+
+def plain_fingerprint(text):
+    symbols, slots = [ord(c) for c in text], {}
+    for level in range(1, 5):
+        symbols = plain_level(symbols)
+        for name in symbols if level >= 2 else []:
+            h = plain_mix(name ^ level)
+            slot, rank = (level, h >> 59), h >> 20 & 0xFFFFFFFF
+            slots[slot] = min(slots.get(slot, rank), rank)
+    return {k: plain_mix(v) % 65535 + 1 for k, v in slots.items()}
+
+
+def plain_likeness(a, b):
+    shares = []
+    for level in (2, 3, 4):
+        filled = [k for k in a.keys() | b.keys() if k[0] == level]
+        if filled:
+            shares.append(sum(a.get(k) == b.get(k) for k in filled) / len(filled))
+    return sum(shares) / len(shares) if shares else 1.0
+
+
+def test_fingerprints_match_a_plain_twin(spark):
+    """Whole query rows against a twin that shares no code with the module: runs, edges, long and odd texts."""
+    texts = {1: prose(80, 60), 2: "", 3: None, 4: "a", 5: "aab" * 300, 6: "z" * 2000, 7: "\U0001f600\u00e9 " * 90,
+             8: prose(3000, 61), 9: prose(80, 60), 10: "ab", 12: "abc" + prose(200, 62), 40: " "}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    order = sorted(texts, reverse=True)
+    want = {}
+    for i, nxt in zip(order, [*order[1:], order[0]]):
+        t, f = texts[i] or "", texts[nxt] or ""
+        third = len(t) // 3
+        new = t[:len(t) - third] + f[:third]
+        a, b, c = plain_fingerprint(t), plain_fingerprint(new), plain_fingerprint(f)
+        hexed = ["".join(f"{x.get((level, k), 0):04x}" for level in (2, 3, 4) for k in range(32)) for x in (a, b)]
+        want[i] = (len(t), hashlib.sha256(new.encode()).hexdigest(), *hexed, plain_likeness(a, b), plain_likeness(a, c))
+    got = {r["doc_id"]: tuple(r)[1:7] for r in fingerprint.nearest(docs).select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next").collect()}
+    assert got.keys() == want.keys()
+    for i in want:
+        assert got[i][:4] == want[i][:4], i
+        assert got[i][4:] == pytest.approx(want[i][4:], abs=1e-12)
