@@ -182,7 +182,8 @@ def nearest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     The next document is the one before it by doc_id (after the smallest: the
     largest; null ids come last; repeated ids are ordered by a hash of their
     texts).  A sole document is its own next.  Null texts count as empty.
-    Likeness is 1 for equal texts, two empty ones too.
+    Likeness is 1 for equal texts, two empty ones too.  A text of any length
+    is parsed whole, a very long one in a batch of its own.
 
     Documents are dealt by ranges in descending order, so that a task holds
     a document and the next one; texts are moved once.  Each task writes its

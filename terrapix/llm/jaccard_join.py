@@ -335,7 +335,8 @@ def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     smallest doc_id connected by links.  Links between different texts are
     found with probability ``recall`` or more each.  Null and blank texts have
     no shingles and are copies of each other only.  Null ids are carried along
-    (and stand for a class only if it has no other).
+    (and stand for a class only if it has no other).  Texts of any length are
+    compared by all of their shingles; a row's shingles are held by one task.
     """
     prof = materialize(profiles(docs, doc_id, text, words), "llm-profiles")
     classes = materialize(

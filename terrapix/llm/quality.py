@@ -201,7 +201,8 @@ def scorer(model: Model):
     """A column function text -> probability of label 1, in [0, 1]; null texts count as empty.
 
     A text without words is scored by the bias alone; an untrained model
-    scores every text 1 (it has no ground to reject any).
+    scores every text 1 (it has no ground to reject any).  A text of any length
+    is scored whole, one longer than a group of texts in a group of its own.
     """
     bits, trained, w = model.bits, model.trained, model.weights()
 

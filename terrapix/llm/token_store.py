@@ -338,7 +338,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, do
     """Encode every whole text (null: empty), append ``end_id``, and write shards in ascending order of doc_id.
 
     Rows are dealt by ranges of (doc_id, hash of the text), nulls first, so
-    repeated ids keep a fixed order.  A document is never split over blocks.
+    repeated ids keep a fixed order.  A document is never split over blocks;
+    one longer than a block lengthens its block.
     """
     spark = docs.sparkSession
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
