@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-# Schema of a training-sample table (one row per sampled pixel-year).
+# Schema of a published training-sample table (one row per sampled pixel-year).
 SAMPLE_SCHEMA = T.StructType(
     [T.StructField("year", T.IntegerType()), T.StructField("presence", T.IntegerType()),
      T.StructField("nlcd_class", T.IntegerType())]
