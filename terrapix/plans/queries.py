@@ -277,7 +277,7 @@ def q_run_documents(spark: SparkSession, sf: str) -> DataFrame:
 def q_run_files(spark: SparkSession, sf: str) -> DataFrame:
     """Run documents in a file each, as printed over several lines, read whole; what is skipped is reported with its reason."""
     path = shared_path(spark, "run-files")
-    fx.run_documents(spark, sf).write.partitionBy("run_id").text(path)
+    sinks.write_run_files(fx.run_documents(spark, sf), path)
     runs = sinks.read_run_files(spark, path, pattern="*.txt")
     run_id = F.regexp_extract("source_file", r"run_id=(\d+)/", 1).cast("long")
     return runs.select(run_id.alias("run_id"), "n_bytes", "status", "reason", "app_name", F.col("metrics.val_auc").alias("val_auc"),

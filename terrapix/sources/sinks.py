@@ -5,11 +5,18 @@ Every writer writes the distributed rows directly (no driver round trip).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrapix.operators.report import RUN_METRICS_SCHEMA, good_runs
 
+# A small file costs its opening, not its bytes, by which Spark sizes tasks: documents written by one task, a file each,
+# and the scan's tasks that one task of ``read_run_files`` takes over.
+RUN_FILES_WRITTEN = 100
+RUN_SCANS_MERGED = 32
+
 
 def write_samples(df: DataFrame, path: str) -> None:
     """Training samples as Parquet, one directory per year.
@@ -41,6 +48,16 @@ def write_predictions(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def write_run_files(docs: DataFrame, path: str, key: str = "run_id") -> None:
+    """Run documents (``key`` and one text column) as text, in a file each: ``path/key=.../part-*.txt``.
+
+    The tasks follow the number of documents, and a key's rows come together in one
+    task: its file is the same however the input is split.
+    """
+    tasks = max(1, math.ceil(docs.count() / RUN_FILES_WRITTEN))
+    docs.repartition(tasks, key).write.partitionBy(key).text(path)
+
+
 def read_run_metrics(spark: SparkSession, path: str, pattern: str = "*_metrics.json",
                      multiline: bool = True) -> DataFrame:
     """All run-metrics documents under ``path`` whose file name matches ``pattern``.
@@ -66,8 +83,12 @@ def read_run_files(spark: SparkSession, path: str, pattern: str = "*_metrics.jso
     files that are not JSON (cut off, blank, not UTF-8) or no object; ``partial`` ones
     are objects with a field of another type, which is null here; the rest is ``read``.
     A file of no bytes has no row: Spark's listing leaves such files out.
+    Spark opens only a few small files in a task; their tasks are merged, without a shuffle, to
+    some for each core and more where there are very many files.
     """
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    tasks = max(8 * spark.sparkContext.defaultParallelism, math.ceil(found.rdd.getNumPartitions() / RUN_SCANS_MERGED))
+    files = (found.coalesce(tasks)
              .select(F.col("path").alias("source_file"), F.col("length").alias("n_bytes"),
                      F.try_validate_utf8(F.col("content").cast("string")).alias("value")))
     parsed = F.from_json("value", RUN_METRICS_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
@@ -102,4 +123,4 @@ def load_model(path: str):
 
 
 __all__ = ["good_runs", "load_model", "read_run_files", "read_run_metrics", "save_model", "unreadable_runs", "write_csv",
-           "write_metrics", "write_predictions", "write_samples"]
+           "write_metrics", "write_predictions", "write_run_files", "write_samples"]

@@ -99,6 +99,46 @@ def test_run_files_are_read_whole_and_skipped_ones_reported(spark, tmp_path):
     assert all(r["n_bytes"] == len(text[n]) for n, r in rows.items())
 
 
+def test_run_documents_are_written_by_many_tasks_in_a_file_each(spark, tmp_path, monkeypatch):
+    from terrapix.plans import queries
+
+    src, out = tmp_path / "tables", tmp_path / "files"
+    # One input file, read by one task; key 5 comes twice.
+    spark.createDataFrame([(i,) for i in [*range(450), 5]], "s_suppkey long").coalesce(1).write.parquet(str(src / "supplier.parquet"))
+    monkeypatch.setattr(queries, "shared_path", lambda _, label: str(out))
+    rows = {r["run_id"]: r for r in queries.q_run_files(spark, str(src)).collect()}
+    files = {d: [f for f in os.listdir(out / d) if f.endswith(".txt")] for d in os.listdir(out) if d.startswith("run_id=")}
+    assert set(files) == {f"run_id={i}" for i in range(450)} and all(len(f) == 1 for f in files.values())
+    assert len({f[0].split("-")[1] for f in files.values()}) == 5
+    assert len(rows) == 450 and rows[5]["n_bytes"] == 2 * rows[4]["n_bytes"] and rows[13]["app_name"] == "trial_13"
+    kinds = {7: "partial", 8: "skipped", 9: "skipped"}
+    assert all(r["status"] == kinds.get(i % 10, "read") for i, r in rows.items())
+
+
+def test_no_run_documents_make_no_files(spark, tmp_path):
+    from terrapix.sources.sinks import read_run_files, write_run_files
+
+    write_run_files(spark.createDataFrame([], "run_id long, value string"), str(tmp_path / "f"))
+    assert read_run_files(spark, str(tmp_path / "f"), pattern="*.txt").collect() == []
+
+
+def test_many_small_run_files_are_read_by_few_tasks(spark, tmp_path):
+    from terrapix.sources.sinks import read_run_files
+
+    cores = spark.sparkContext.defaultParallelism
+    for i in range(16 * cores):
+        (tmp_path / f"{i}_metrics.json").write_text(json.dumps({"app_name": str(i)}))
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1k")  # a task for each file
+    try:
+        files = read_run_files(spark, str(tmp_path))
+        assert files.rdd.getNumPartitions() == 8 * cores
+        assert sorted(int(r["app_name"]) for r in files.collect()) == list(range(16 * cores))
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_run_metrics_files(spark, tmp_path):
     d = tmp_path / "metrics"
     d.mkdir()
